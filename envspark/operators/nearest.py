@@ -1,0 +1,123 @@
+"""Nearest station by great-circle distance, exact and without a cross product.
+
+Stations are laid out on nested latitude / longitude grids. Each site starts
+from the few occupied cells of a coarse grid and descends: a cell's
+representative station bounds the answer from above, the distance to the
+bounding box of its stations bounds it from below, and cells that cannot hold
+the nearest station are dropped before the next, finer grid is joined. A dense
+cluster of stations is thus opened only along its near side, and equal
+coordinates are looked up once on either side.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from envspark.functions.geo import great_circle_km, km_to_box
+
+LEVELS = 9
+TOP_DEGREES = 22.5  # 9 x 17 cells cover the sphere, which bounds the first step
+START_CELLS = 64
+LEAF_STATIONS = 32
+TIE_KM = 1e-6
+
+
+def _cell(lat: Column, lon: Column, level: int) -> Column:
+    size = TOP_DEGREES / 4**level
+    return F.floor((lat + 90) / size) * F.lit(1 << 32) + F.floor((lon + 180) / size)
+
+
+def _boxes(stations: DataFrame, level: int) -> DataFrame:
+    """One row per occupied cell: bounding box of its stations and one of them."""
+    lat, lon = F.col("_slat"), F.col("_slon")
+    grouped = stations.groupBy(_cell(lat, lon, level).alias("_cell"))
+    if level:
+        grouped = stations.groupBy(_cell(lat, lon, level).alias("_cell"), _cell(lat, lon, level - 1).alias("_parent"))
+    return grouped.agg(
+        F.min(lat).alias("_south"),
+        F.max(lat).alias("_north"),
+        F.min(lon).alias("_west"),
+        F.max(lon).alias("_east"),
+        F.min(F.struct(lat, lon)).alias("_rep"),
+    )
+
+
+def _grid_levels(stations: DataFrame) -> tuple[int, int]:
+    """First level to start from and the level whose cells hold few enough stations; reads one row per level."""
+    cells = F.array(*[F.struct(F.lit(i).alias("level"), _cell(F.col("_slat"), F.col("_slon"), i).alias("cell")) for i in range(LEVELS)])
+    stats = (
+        stations.select(F.inline(cells))
+        .groupBy("level", "cell")
+        .count()
+        .groupBy("level")
+        .agg(F.count(F.lit(1)).alias("occupied"), F.max("count").alias("fullest"))
+        .collect()
+    )
+    by_level = {r["level"]: r for r in stats}
+    if not by_level:
+        return 0, 0
+    start = max([i for i in range(LEVELS) if by_level[i]["occupied"] <= START_CELLS], default=0)
+    leaf = next((i for i in range(start, LEVELS) if by_level[i]["fullest"] <= LEAF_STATIONS), LEVELS - 1)
+    return start, leaf
+
+
+def nearest(
+    left: DataFrame,
+    right: DataFrame,
+    label: str,
+    id: str = "id",
+    lat: str = "latitude",
+    lon: str = "longitude",
+    right_lat: str | None = None,
+    right_lon: str | None = None,
+    include_dist: bool = True,
+) -> DataFrame:
+    """Add ``<label>_id`` and ``<label>_dist_km``: one station per row, the lowest id among equally near ones.
+
+    Rows without coordinates get NULL; stations without coordinates are never chosen.
+    """
+    at = [F.col(lat).alias("_lat"), F.col(lon).alias("_lon")]
+    spots = left.select(*at).dropna().distinct()
+    stations = (
+        right.select(
+            F.col(id).alias("_id"), F.col(right_lat or lat).cast("double").alias("_slat"), F.col(right_lon or lon).cast("double").alias("_slon")
+        )
+        .dropna()
+        .groupBy("_slat", "_slon")
+        .agg(F.min("_id").alias("_id"))
+    )
+    start, leaf = _grid_levels(stations)
+    here = (F.col("_lat"), F.col("_lon"))
+
+    def floor_km(b) -> Column:
+        return km_to_box(*here, b("_south"), b("_north"), b("_west"), b("_east"))
+
+    # at most 9 x 17 boxes, held in every row as one array
+    first = _boxes(stations, start).agg(F.collect_list(F.struct("_cell", "_south", "_north", "_west", "_east", "_rep"))).scalar()
+    best = F.array_min(F.transform("_open", lambda b: great_circle_km(*here, b["_rep"]["_slat"], b["_rep"]["_slon"])))
+    open_cells = (
+        spots.withColumn("_open", first)
+        .withColumn("_best", best)
+        .withColumn("_cell", F.explode(F.filter("_open", lambda b: floor_km(lambda c: b[c]) <= F.col("_best") + TIE_KM)))
+        .select(*here, F.col("_cell._cell").alias("_cell"), "_best")
+    )
+    per_spot = Window.partitionBy(*here)
+    for level in range(start + 1, leaf + 1):
+        finer = open_cells.withColumnRenamed("_cell", "_parent").join(_boxes(stations, level), "_parent")
+        reach = F.min(great_circle_km(*here, F.col("_rep._slat"), F.col("_rep._slon"))).over(per_spot)
+        open_cells = (
+            finer.withColumn("_best", F.least("_best", reach)).filter(floor_km(F.col) <= F.col("_best") + TIE_KM).select(*here, "_cell", "_best")
+        )
+    homes = stations.withColumn("_cell", _cell(F.col("_slat"), F.col("_slon"), leaf))
+    km = great_circle_km(*here, F.col("_slat"), F.col("_slon"))
+    found = (
+        open_cells.join(homes, "_cell")
+        .select(*here, "_id", km.alias("_km"))
+        .groupBy("_lat", "_lon")
+        .agg(F.min_by(F.struct("_id", "_km"), F.struct(F.round("_km", 6), "_id")).alias("_near"))
+        .select(F.col("_lat").alias(lat), F.col("_lon").alias(lon), F.col("_near._id").alias(f"{label}_id"), F.col("_near._km").alias(f"{label}_dist_km"))
+    )
+    if not include_dist:
+        found = found.drop(f"{label}_dist_km")
+    return left.join(found, [lat, lon], "left").select(*left.columns, *[c for c in found.columns if c not in (lat, lon)])
