@@ -21,6 +21,7 @@ from envspark.operators.bins import bin_equal, label_bins  # noqa: F401
 from envspark.operators.joins import (  # noqa: F401
     cohort,
     compare_assignments,
+    fill_from_default,
     join_renamed,
     left_join_with_default,
     natural_join,

@@ -24,21 +24,25 @@ def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
 def left_join_with_default(
     left: DataFrame, right: DataFrame, by: Sequence[str], key: str, default, value_cols: Sequence[str], decide_on: str | None = None
 ) -> DataFrame:
-    """Left join; rows whose ``decide_on`` value (the first value column) stays NULL take the default key's row instead.
+    """Left join on ``by`` plus ``key``; rows left without a value take the default key's row (:func:`fill_from_default`)."""
+    others = [c for c in by if c != key]
+    joined = left.join(right.select(*others, key, *value_cols), [*others, key], "left")
+    return fill_from_default(joined, right, others, key, default, value_cols, decide_on)
+
 
-    The key of such rows becomes the default key, and all value columns come
-    from it. One pass over the left side, no split and union. ``right`` is
-    unique on ``by`` plus ``key``.
+def fill_from_default(
+    df: DataFrame, right: DataFrame, others: Sequence[str], key: str, default, value_cols: Sequence[str], decide_on: str | None = None
+) -> DataFrame:
+    """Rows whose ``decide_on`` value (the first value column) is NULL take key and all values from the default key's row.
+
+    One pass over the rows, no split and union. ``right`` is unique on
+    ``others`` plus ``key``.
     """
-    decide_on = decide_on or value_cols[0]
-    others = [c for c in by if c != key]
-    own = right.select(*others, key, *value_cols)
+    missing = F.col(decide_on or value_cols[0]).isNull()
     spare = right.filter(F.col(key) == F.lit(default)).select(*others, *[F.col(c).alias(f"_d_{c}") for c in value_cols])
-    joined = left.join(own, [*others, key], "left").join(spare, others, "left")
-    missing = F.col(decide_on).isNull()
-    values = [F.when(missing, F.col(f"_d_{c}")).otherwise(F.col(c)).alias(c) for c in value_cols]
-    rest = [c for c in left.columns if c != key]
-    return joined.select(*rest, F.when(missing, F.lit(default)).otherwise(F.col(key)).alias(key), *values)
+    joined = df.join(spare, list(others), "left")
+    values = {c: F.when(missing, F.col(f"_d_{c}")).otherwise(F.col(c)) for c in value_cols}
+    return joined.withColumns({key: F.when(missing, F.lit(default)).otherwise(F.col(key)), **values}).select(*df.columns)
 
 
 def cohort(df: DataFrame, key: str, having: Column, *aggs: Column) -> DataFrame:
