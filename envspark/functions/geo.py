@@ -19,7 +19,7 @@ def great_circle_km(lat1, lon1, lat2, lon2) -> Column:
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     chord = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
     # rounding can push the chord a hair above 1 for antipodes, where sqrt(1 - chord) would be NaN
-    chord = F.least(chord, F.lit(1.0))
+    chord = F.when(chord > 1, F.lit(1.0)).otherwise(chord)
     return F.lit(2 * EARTH_RADIUS_KM) * F.atan2(F.sqrt(chord), F.sqrt(F.lit(1.0) - chord))
 
 
