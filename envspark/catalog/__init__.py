@@ -1,7 +1,9 @@
 """Every registered query; importing the modules fills the registry."""
 
 from envspark.catalog import (  # noqa: F401
+    from_aggregate,
     from_columns,
+    from_joins,
     from_project,
     from_sources,
 )

@@ -46,7 +46,8 @@ def compass16(degrees) -> Column:
     """Sixteen-point compass name; sectors are 22.5° wide and centred on the points. Below 0 and from 360 on is N."""
     d = _col(degrees)
     sector = F.when(d < 0, F.lit(0)).when(d >= 360, F.lit(0)).otherwise(F.floor((d + 11.25) / 22.5).cast("int") % 16)
-    return F.element_at(F.array(*[F.lit(p) for p in COMPASS_POINTS]), sector + 1)
+    # get, not element_at: under ANSI the latter takes a NULL index into an all-literal array for an ordinary one
+    return F.get(F.array(*[F.lit(p) for p in COMPASS_POINTS]), sector)
 
 
 def direction(x) -> Column:

@@ -17,7 +17,7 @@ def _col(x) -> Column:
 
 
 def day_name(d) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in DAY_NAMES]), F.dayofweek(_col(d)))
+    return F.get(F.array(*[F.lit(n) for n in DAY_NAMES]), F.dayofweek(_col(d)) - 1)
 
 
 def position(df: DataFrame, name: str) -> Column:

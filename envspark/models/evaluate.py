@@ -130,7 +130,7 @@ def metrics(df: DataFrame, truth: str, pred: str, scores: dict[str, str], slice_
     ) / (n * n)
     own = reduce(lambda acc, lc: acc.when(t == lc[0], _q(lc[1])), scores.items(), F)
     tiny = 2.220446049250313e-16
-    loss = -F.ln(F.least(F.greatest(own, F.lit(tiny)), F.lit(1 - tiny)))
+    loss = F.when(own.isNotNull(), -F.ln(F.least(F.greatest(own, F.lit(tiny)), F.lit(1 - tiny))))
     one = df.agg(F.avg((t == p).cast("double")).alias("acc"), chance.alias("chance"), F.avg(loss).alias("loss"))
     rows = F.array(
         F.struct(F.lit("accuracy").alias("metric"), F.lit("multiclass").alias("estimator"), F.col("acc").alias("estimate")),
