@@ -91,7 +91,7 @@ def _pair_areas(df: DataFrame, truth: str, scores: dict[str, str], slice_rows: i
     for i, level in enumerate(scores):
         for j in range(k):
             if i != j:
-                area = F.try_divide(F.col(f"u{i}_{j}"), F.col(f"n{i}") * F.col(f"n{j}"))
+                area = F.try_divide(F.col(f"u{i}_{j}"), F.col(f"n{i}").cast("double") * F.col(f"n{j}"))
                 cells.append(
                     F.when(
                         F.col("level") == level,
@@ -123,7 +123,7 @@ def metrics(df: DataFrame, truth: str, pred: str, scores: dict[str, str], slice_
     """accuracy, kappa, mean log-loss and Hand-Till AUC as (metric, estimator, estimate) rows."""
     levels = list(scores)
     t, p = _q(truth), _q(pred)
-    n = F.count(F.lit(1))
+    n = F.count(F.lit(1)).cast("double")
     chance = reduce(
         lambda a, b: a + b,
         [F.sum((t == l).cast("long")).cast("double") * F.sum((p == l).cast("long")) for l in levels],
@@ -132,9 +132,12 @@ def metrics(df: DataFrame, truth: str, pred: str, scores: dict[str, str], slice_
     tiny = 2.220446049250313e-16
     loss = F.when(own.isNotNull(), -F.ln(F.least(F.greatest(own, F.lit(tiny)), F.lit(1 - tiny))))
     one = df.agg(F.avg((t == p).cast("double")).alias("acc"), chance.alias("chance"), F.avg(loss).alias("loss"))
+    found = {
+        "accuracy": F.col("acc"),
+        "kap": F.try_divide(F.col("acc") - F.col("chance"), 1 - F.col("chance")),
+        "mn_log_loss": F.col("loss"),
+    }
     rows = F.array(
-        F.struct(F.lit("accuracy").alias("metric"), F.lit("multiclass").alias("estimator"), F.col("acc").alias("estimate")),
-        F.struct(F.lit("kap"), F.lit("multiclass"), F.try_divide(F.col("acc") - F.col("chance"), 1 - F.col("chance"))),
-        F.struct(F.lit("mn_log_loss"), F.lit("multiclass"), F.col("loss")),
+        *[F.struct(F.lit(m).alias("metric"), F.lit("multiclass").alias("estimator"), v.alias("estimate")) for m, v in found.items()]
     )
     return one.select(F.inline(rows)).unionByName(roc_auc(df, truth, scores, slice_rows=slice_rows))
