@@ -5,6 +5,7 @@ from envspark.catalog import (  # noqa: F401
     from_columns,
     from_joins,
     from_models,
+    from_plans,
     from_project,
     from_sources,
     from_windows,

@@ -13,6 +13,7 @@ from envspark.models.evaluate import confusion, metrics, roc_curve
 from envspark.models.grouped_ols import ols_by
 from envspark.models.splits import fold_column, split_stratified
 from envspark.operators.reshape import tagged_union
+from envspark.session import staged
 
 PREFIX = ".pred_"
 
@@ -24,11 +25,14 @@ def score_columns(levels: Sequence[str]) -> dict[str, str]:
 def train_classifier(
     df: DataFrame, label: str, levels: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], key: str, prop: float = 0.75, seed: int = 123, **forest
 ) -> tuple[PipelineModel, DataFrame, DataFrame]:
-    """Stratified split, forest on the training part; returns model, train and test rows."""
+    """Stratified split, forest on the training part; returns model, train and test rows.
+
+    The split table is written once: every pass of the training reads it back.
+    """
     rows = label_index(df.select(key, label, *numeric, *categorical).dropna(), label, levels)
-    parts = split_stratified(rows, label, prop, key, seed)
+    parts = staged(split_stratified(rows, label, prop, key, seed), "split")
     train, test = parts.filter("split = 'train'").drop("split"), parts.filter("split = 'test'").drop("split")
-    forest.setdefault("max_bins", max(32, cardinality(rows, categorical) + 1))
+    forest.setdefault("max_bins", max(32, cardinality(parts, categorical) + 1))
     model = rf_classifier(numeric, categorical, seed=seed, **forest).fit(train)
     return model, train, test
 

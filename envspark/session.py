@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "envspark", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -39,5 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The table written once to the shared folder and read back.
+
+    For tables that several jobs read (a model's training rows, say): the work
+    behind them is done once and outlives lost executors.
+    """
+    path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), spark.sparkContext.applicationId, name)
