@@ -156,10 +156,10 @@ def _(spark, sf):
     return shown(table(spark, sf, "orders").select("o_orderkey", F.date_sub(day, 2).alias("two_before"), F.date_add(day, 1).alias("next")))
 
 
-@query("f13_hours_between", "SELECT event_id, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15 12:00:00')) / 3.6e9, 6) AS hours FROM events")
+@query("f13_hours_between", "SELECT event_id, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15 12:00:00')) / 3.6e9, 4) AS hours FROM events")
 def _(spark, sf):
     noon = F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
-    return shown(table(spark, sf, "events").select("event_id", hours_between(F.col("ts"), noon).alias("hours")))
+    return shown(table(spark, sf, "events").select("event_id", hours_between(F.col("ts"), noon).alias("hours")), 4)
 
 
 @query(
@@ -282,7 +282,7 @@ def _(spark, sf):
 
 @query(
     "f25_logs",
-    "SELECT event_id, round(least(ln(value + 1), 4.0), 6) AS capped, CASE WHEN event_id % 4 <> 0 THEN round(ln(value) * 100, 6) END AS radius FROM events",
+    "SELECT event_id, round(least(ln(value + 1), 4.0), 6) AS capped, CASE WHEN event_id % 4 <> 0 THEN round(ln(nullif(value, 0)) * 100, 6) END AS radius FROM events",
 )
 def _(spark, sf):
     zero = F.when(F.col("event_id") % 4 != 0, F.col("value")).otherwise(F.lit(0.0))

@@ -142,7 +142,7 @@ def _(spark, sf):
     "ml12_metrics",
     f"""WITH {d.SCORED}, {AREAS}, m AS (SELECT avg((quality = pred)::INT) AS acc, count(*)::DOUBLE AS n,
       count(*) FILTER (quality = 'Safe')::DOUBLE * count(*) FILTER (pred = 'Safe') + count(*) FILTER (quality = 'Caution')::DOUBLE * count(*) FILTER (pred = 'Caution') + count(*) FILTER (quality = 'Unsafe')::DOUBLE * count(*) FILTER (pred = 'Unsafe') AS pe,
-      avg(-ln(CASE quality WHEN 'Safe' THEN p_safe WHEN 'Caution' THEN p_caution ELSE p_unsafe END)) AS loss FROM scored)
+      avg(-ln(greatest(CASE quality WHEN 'Safe' THEN p_safe WHEN 'Caution' THEN p_caution ELSE p_unsafe END, 2.220446049250313e-16))) AS loss FROM scored)
     SELECT 'accuracy' AS metric, 'multiclass' AS estimator, round(acc, 6) AS estimate FROM m
     UNION ALL SELECT 'kap', 'multiclass', round((acc - pe / n / n) / (1 - pe / n / n), 6) FROM m
     UNION ALL SELECT 'mn_log_loss', 'multiclass', round(loss, 6) FROM m

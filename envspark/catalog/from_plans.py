@@ -370,10 +370,10 @@ def _(spark, sf):
 
 @query(
     "q22_station_annual_rain",
-    f"WITH {d.WEATHER} SELECT 2024::BIGINT AS year, ghcn_station_name, count(*) AS n, round(avg(precip_in) * 365, 5) AS precip FROM weather WHERE year(date) = 2024 GROUP BY 2 HAVING count(*) > 20 AND avg(precip_in) IS NOT NULL",
+    f"WITH {d.WEATHER} SELECT 2024::BIGINT AS year, ghcn_station_name, count(*) AS n, round(avg(precip_in) * 365, 7) AS precip FROM weather WHERE year(date) = 2024 GROUP BY 2 HAVING count(*) > 20 AND avg(precip_in) IS NOT NULL",
 )
 def _(spark, sf):
-    return shown(weather.station_annual_rain(d.weather(spark, sf), 2024, min_n=20), 5)
+    return shown(weather.station_annual_rain(d.weather(spark, sf), 2024, min_n=20), 7)
 
 
 # --- open data -----------------------------------------------------------------------------------------------

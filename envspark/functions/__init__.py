@@ -1,6 +1,6 @@
 """Column → Column functions; all of them compile to built-in Spark expressions."""
 
-from envspark.functions.geo import great_circle_km, km_to_box  # noqa: F401
+from envspark.functions.geo import great_circle_km, unit_vector  # noqa: F401
 from envspark.functions.measures import (  # noqa: F401
     annualised,
     bin_index,
@@ -31,6 +31,7 @@ from envspark.functions.text import (  # noqa: F401
     thousands,
 )
 from envspark.functions.times import (  # noqa: F401
+    at_second,
     at_time,
     day_name,
     hms_text,

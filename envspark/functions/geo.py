@@ -18,26 +18,11 @@ def great_circle_km(lat1, lon1, lat2, lon2) -> Column:
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     chord = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    # rounding can push the chord a hair above 1 for antipodes, where sqrt(1 - chord) would be NaN
-    chord = F.when(chord > 1, F.lit(1.0)).otherwise(chord)
-    return F.lit(2 * EARTH_RADIUS_KM) * F.atan2(F.sqrt(chord), F.sqrt(F.lit(1.0) - chord))
+    # rounding can push the chord a hair above 1 for antipodes; abs keeps the root real there
+    return F.lit(2 * EARTH_RADIUS_KM) * F.atan2(F.sqrt(chord), F.sqrt(F.abs(1 - chord)))
 
 
-def km_to_box(lat, lon, south, north, west, east) -> Column:
-    """Distance from a point to a latitude / longitude box that does not cross ±180°.
-
-    Zero inside the box. Beside the box's longitudes the nearest point lies on
-    one of the two bounding meridians: at the foot of the perpendicular, or at
-    an end of the edge when the foot falls outside it.
-    """
-    lat, lon, south, north, west, east = map(_col, (lat, lon, south, north, west, east))
-    level = great_circle_km(lat, lon, F.least(F.greatest(lat, south), north), lon)
-
-    def to_edge(edge: Column) -> Column:
-        dlon = F.radians(edge - lon)
-        foot = F.degrees(F.atan2(F.sin(F.radians(lat)), F.cos(F.radians(lat)) * F.cos(dlon)))
-        inside = foot.between(south, north)
-        ends = F.least(great_circle_km(lat, lon, south, edge), great_circle_km(lat, lon, north, edge))
-        return F.when(inside, great_circle_km(lat, lon, foot, edge)).otherwise(ends)
-
-    return F.when(lon.between(west, east), level).otherwise(F.least(to_edge(west), to_edge(east)))
+def unit_vector(lat, lon) -> list[Column]:
+    """x, y, z of the point on the unit sphere: distances compare like straight lines between such points."""
+    lat, lon = F.radians(_col(lat)), F.radians(_col(lon))
+    return [F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)]

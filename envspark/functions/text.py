@@ -38,26 +38,22 @@ def extract(x, pattern: str) -> Column:
     return F.when(x.rlike(pattern), F.regexp_extract(x, f"({pattern})", 1))
 
 
-def _token(x) -> Column:
-    """The value without a bracketed remark and outer blanks."""
-    return F.trim(F.regexp_replace(_col(x), r"\(.*\)", ""))
+# a bracketed remark may stand before or after the value
+_REMARK = r"(?:\([^)]*\))?"
+_BELOW = rf"^\s*{_REMARK}\s*(?:<\s*10|[Tt][Rr][Aa][Cc][Ee])\s*(?:\(.*\))?\s*$"
+_DRESSING = rf"^\s*{_REMARK}\s*>|\(.*\)"
 
 
 def parse_censored(x) -> Column:
-    """Laboratory text to a number: below detection and traces are 0, ``>`` is dropped, ``N/A`` is NULL."""
-    token = _token(x)
-    below = token.rlike(r"^<\s*10$") | (F.lower(token) == "trace")
-    return F.when(below, F.lit(0.0)).otherwise(F.regexp_replace(token, r"^>\s*", "").try_cast("double"))
+    """Laboratory text to a number: below detection and traces are 0, ``>`` and bracketed remarks are dropped, other text is NULL."""
+    x = _col(x)
+    return F.when(x.rlike(_BELOW), F.lit(0.0)).otherwise(F.regexp_replace(x, _DRESSING, "").try_cast("double"))
 
 
 def censor_flag(x) -> Column:
     """Why a value is not exact: ``<``, ``>``, ``trace`` or NULL."""
-    token = _token(x)
-    return (
-        F.when(token.startswith("<"), F.lit("<"))
-        .when(token.startswith(">"), F.lit(">"))
-        .when(F.lower(token) == "trace", F.lit("trace"))
-    )
+    mark = F.lower(F.regexp_extract(_col(x), rf"^\s*{_REMARK}\s*([<>]|[Tt][Rr][Aa][Cc][Ee]\b)", 1))
+    return F.when(mark != "", mark)
 
 
 def thousands(x) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,22 +61,40 @@ def hms_text(a, b) -> Column:
     return F.when(seconds.isNotNull(), F.concat_ws(" ", *parts))
 
 
-def seconds_of_day(hms) -> Column:
-    """Seconds since midnight of ``HH:mm`` or ``HH:mm:ss`` text; NULL for anything else."""
-    hms = _col(hms)
-    part = lambda i: F.get(F.split(hms, ":"), F.lit(i)).try_cast("int")
-    return F.when(hms.rlike(r"^\d{1,2}:\d{2}(:\d{2})?$"), part(0) * 3600 + part(1) * 60 + F.coalesce(part(2), F.lit(0)))
+_CLOCK_24 = r"^(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d)?$"
+_CLOCK_12 = r"^(?:0?[1-9]|1[0-2]):[0-5]\d(?::[0-5]\d)? ?[AP]M$"
+
+
+def clock_24(clock) -> Column:
+    """``H:mm[:ss]`` kept, ``h:mm[:ss] AM`` turned into it; NULL for anything else.
+
+    Texts are checked by pattern and then cast: a format parser raises and
+    catches an exception for every text it cannot read.
+    """
+    text = F.upper(F.trim(_col(clock)))
+    hour = F.substring_index(text, ":", 1).cast("int") % 12 + F.when(text.endswith("PM"), F.lit(12)).otherwise(F.lit(0))
+    rest = F.regexp_extract(text, "(:[0-9:]+)", 1)
+    return F.when(text.rlike(_CLOCK_24), text).when(text.rlike(_CLOCK_12), F.concat(hour.cast("string"), rest))
+
+
+def seconds_of_day(clock) -> Column:
+    """Seconds since midnight of clock text; NULL when it is none."""
+    at = F.concat(F.lit("1970-01-01 "), clock_24(clock)).try_cast("timestamp_ntz")
+    return F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+
+
+def at_second(d, seconds) -> Column:
+    """Timestamp in the session zone of a date and the seconds on its clock."""
+    d, s = _col(d), _col(seconds).cast("int")
+    return F.make_timestamp(F.year(d), F.month(d), F.day(d), F.floor(s / 3600).cast("int"), F.floor(s % 3600 / 60).cast("int"), s % 60)
 
 
-def at_time(d, hms) -> Column:
-    """Date plus ``HH:mm[:ss]`` text → timestamp in the session zone; NULL when either part is missing or malformed."""
-    text = F.when(_col(d).isNotNull() & _col(hms).isNotNull(), F.concat_ws(" ", _col(d).cast("string"), _col(hms)))
-    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd H:mm:ss")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd H:mm")))
+def at_time(d, clock) -> Column:
+    """Date plus clock text → timestamp in the session zone; NULL when either part is missing or malformed."""
+    return F.concat(_col(d).cast("string"), F.lit(" "), clock_24(clock)).try_cast("timestamp")
 
 
-def parse_ts(d, hms, formats: Sequence[str] = ("yyyy-MM-dd h:mm a", "yyyy-MM-dd H:mm"), default: str = "12:00") -> Column:
-    """Date text plus time text through several formats; an absent or unreadable time becomes ``default``."""
+def parse_ts(d, clock, default: str = "12:00") -> Column:
+    """Date text (only its first ten characters count) plus clock text; an absent or unreadable clock becomes ``default``."""
     day = F.substring(_col(d).cast("string"), 1, 10)
-    text = F.concat_ws(" ", day, F.upper(F.coalesce(F.trim(_col(hms)), F.lit(default))))
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
-    return F.coalesce(*tries, F.try_to_timestamp(F.concat_ws(" ", day, F.lit(default)), F.lit("yyyy-MM-dd H:mm")))
+    return F.concat(day, F.lit(" "), F.coalesce(clock_24(clock), F.lit(default))).try_cast("timestamp")

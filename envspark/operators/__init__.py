@@ -26,7 +26,7 @@ from envspark.operators.joins import (  # noqa: F401
     left_join_with_default,
     natural_join,
 )
-from envspark.operators.nearest import nearest  # noqa: F401
+from envspark.operators.spatial import nearest, nearest_to_spots  # noqa: F401
 from envspark.operators.project import (  # noqa: F401
     across,
     clean_names,

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from envspark.functions.measures import ENTEROCOCCI_BREAKS, QUALITY_LEVELS, cut, row_sum, season_index
 from envspark.functions.text import parse_censored, replace_first
-from envspark.functions.times import at_time, day_name, hours_between, seconds_of_day
+from envspark.functions.times import at_second, at_time, day_name, hours_between, seconds_of_day
 from envspark.operators.project import across, cols_like, cols_of_type, drop_na, fix_sign, place, with_levels
 from envspark.operators.reshape import unpivot_year
 from envspark.sources.landing import normalise_sheet
@@ -25,11 +25,6 @@ SITE_TYPOS = {"Daylighted Section": "daylighted section", "Govenors": "Governors
 WATER_CLASS_LEVELS = ["A", "AA", "A-S", "AA-S", "B", "C", "D", "SA", "SB", "SC", "I", "SD"]
 
 
-def _clock(seconds: Column) -> Column:
-    whole = F.round(seconds).cast("int")
-    return F.format_string("%02d:%02d:%02d", F.floor(whole / 3600).cast("int"), F.floor(whole % 3600 / 60).cast("int"), whole % 60)
-
-
 def clean_samples(raw: DataFrame) -> DataFrame:
     """The landed sample sheet (all text, sheet column order) → typed samples with day name, 48 h rain and class.
 
@@ -39,7 +34,7 @@ def clean_samples(raw: DataFrame) -> DataFrame:
     df = normalise_sheet(raw, SAMPLE_SHEET_COLUMNS, key="site")
     df = df.withColumns(
         {
-            "date": F.to_date(F.try_to_timestamp(F.substring("date", 1, 10), F.lit("yyyy-MM-dd"))),
+            "date": F.substring("date", 1, 10).try_cast("date"),
             "year": F.col("year").try_cast("int"),
             "month": F.col("month").try_cast("int"),
             "_at": seconds_of_day("sample_time"),
@@ -52,7 +47,7 @@ def clean_samples(raw: DataFrame) -> DataFrame:
     df = df.withColumns(
         {
             "site": F.nullif(site, F.lit("N/A")),
-            "sample_time": at_time("date", _clock(F.coalesce("_at", mean_time))),
+            "sample_time": at_second("date", F.round(F.coalesce("_at", mean_time))),
             "high_tide": at_time("date", "high_tide"),
             "sample_day": day_name("date"),
             "notes": F.coalesce(F.nullif("notes", F.lit("N/A")), F.lit("")),

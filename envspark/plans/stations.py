@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from envspark.operators.joins import compare_assignments
-from envspark.operators.nearest import nearest
+from envspark.operators.spatial import nearest, nearest_to_spots
 from envspark.operators.project import cols_like
 from envspark.operators.reshape import tagged_union
 from envspark.operators.windows import section_fill
@@ -24,9 +24,15 @@ def station_list(listing: DataFrame, row: str = "row_id") -> DataFrame:
 def station_key(sites: DataFrame, tide_stations: DataFrame, weather_stations: DataFrame, as_of_year: int) -> DataFrame:
     """Nearest tide, temperature and rain station of every site; weather stations must still report."""
     reporting = weather_stations.filter(F.col("last_year") == as_of_year)
-    keyed = nearest(sites, tide_stations, "tide_noaa")
-    keyed = nearest(keyed, reporting.filter("element = 'TMAX'"), "temperature_ghcn")
-    keyed = nearest(keyed, reporting.filter("element = 'PRCP'"), "precip_ghcn")
+    sources = {
+        "tide_noaa": tide_stations,
+        "temperature_ghcn": reporting.filter("element = 'TMAX'"),
+        "precip_ghcn": reporting.filter("element = 'PRCP'"),
+    }
+    spots = sites.select("latitude", "longitude").dropna().distinct()
+    keyed = sites
+    for label, stations in sources.items():
+        keyed = keyed.join(nearest_to_spots(spots, stations, label), ["latitude", "longitude"], "left")
     picked = [c for p in ("tide", "temperature", "precip") for c in cols_like(keyed, prefix=p)]
     return keyed.select("site", "site_id", *picked)
 

@@ -19,7 +19,7 @@ CODES = ["TMIN", "TMAX", "PRCP"]
 def widen_weather(long: DataFrame, stations: DataFrame, precip_scale: float = 10.0) -> DataFrame:
     """Service rows (date, station, datatype, value in tenths) → one row per station and day in °F and inches."""
     rows = long.select(
-        F.to_date(F.try_to_timestamp(F.substring(F.col("date").cast("string"), 1, 10), F.lit("yyyy-MM-dd"))).alias("date"),
+        F.substring(F.col("date").cast("string"), 1, 10).try_cast("date").alias("date"),
         remove_first("station", "GHCND:").alias("ghcn_station_id"),
         "datatype",
         F.col("value").cast("double").alias("value"),

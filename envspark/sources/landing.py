@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from envspark.functions.times import at_time
 from envspark.operators.project import across, clean_names
 from envspark.sources.schemas import CALENDAR_COLUMNS, TIDE_RESPONSE
 
@@ -40,7 +41,7 @@ def explode_predictions(df: DataFrame, json_col: str, station_col: str, schema:
     rows = df.select(
         F.col(station_col).alias("tide_noaa_id"), answer["error"].isNull().alias("good_tide_station"), answer["predictions"].alias("_p")
     ).select("tide_noaa_id", "good_tide_station", F.inline("_p").alias("_t", "_v", "hi_lo"))
-    when = F.coalesce(F.try_to_timestamp("_t", F.lit("yyyy-MM-dd HH:mm")), F.try_to_timestamp("_t", F.lit("yyyy-MM-dd HH:mm:ss")))
+    when = F.col("_t").try_cast("timestamp")
     return rows.select(
         F.to_date(when).alias("date"),
         when.alias("datetime"),
@@ -68,8 +69,8 @@ def calendar_to_events(df: DataFrame, year_month: str) -> DataFrame:
     ``year_month`` names a ``yyyy-MM`` column. Day numbers a month does not have
     give no date and drop out; so do empty cells.
     """
-    day = F.try_to_timestamp(F.concat_ws("-", F.col(year_month), F.lpad(F.trim("daynum"), 2, "0")), F.lit("yyyy-MM-dd"))
-    dated = df.withColumn("date", F.to_date(day)).filter(F.col("date").isNotNull())
+    day = F.concat_ws("-", F.col(year_month), F.trim("daynum")).try_cast("date")
+    dated = df.withColumn("date", day).filter(F.col("date").isNotNull())
     dated = across(dated, [c for c in CALENDAR_COLUMNS if c.endswith("_ft")], lambda c: c.try_cast("double"))
     cells = [
         F.struct(
@@ -83,5 +84,5 @@ def calendar_to_events(df: DataFrame, year_month: str) -> DataFrame:
     ]
     keep = [c for c in df.columns if c not in CALENDAR_COLUMNS and c != year_month]
     long = dated.select(*keep, "date", F.inline(F.array(*cells)))
-    stamp = F.try_to_timestamp(F.concat_ws(" ", F.col("date").cast("string"), F.trim("clock"), "half"), F.lit("yyyy-MM-dd h:mm a"))
+    stamp = at_time("date", F.concat_ws(" ", F.trim("clock"), F.col("half")))
     return long.withColumn("datetime", stamp).filter(F.col("datetime").isNotNull()).select(*keep, "date", "datetime", "tide_level", "hi_lo")
