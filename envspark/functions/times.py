@@ -42,14 +42,19 @@ def _interval_micros(gap: Column) -> Column:
     return whole.cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), gap) * 1_000_000).cast("long")
 
 
+def _micros_between(later: Column, earlier: Column) -> Column:
+    """Elapsed microseconds. Subtracting timestamps would compare clocks and miss a change of the clock in between."""
+    return F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
+
+
 def hours_between(later, earlier) -> Column:
-    """Signed hours from ``earlier`` to ``later``; both of the same timestamp type."""
-    return _interval_micros(_col(later) - _col(earlier)) / F.lit(3.6e9)
+    """Signed elapsed hours from ``earlier`` to ``later``; wall clocks (TIMESTAMP_NTZ) are read in the session zone."""
+    return _micros_between(_col(later), _col(earlier)) / F.lit(3.6e9)
 
 
 def hms_text(a, b) -> Column:
     """The absolute gap between two timestamps as ``1H 5M 30S``; hours and zero seconds are left out when absent."""
-    seconds = F.abs(_interval_micros(_col(a) - _col(b)) / 1_000_000).cast("long")
+    seconds = F.floor(F.abs(_micros_between(_col(a), _col(b))) / 1_000_000)
     h = F.floor(seconds / 3600)
     m = F.floor(seconds % 3600 / 60)
     s = seconds % 60

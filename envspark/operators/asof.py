@@ -29,6 +29,7 @@ def _asof(
     carry: Sequence[str],
     forward: bool,
     slice_rows: int | None,
+    plan_on: DataFrame | None = None,
 ) -> DataFrame:
     keys = [f"{_KEY}{i}" for i in range(len(by))] or [f"{_KEY}all"]
     sign = -1 if forward else 1
@@ -51,7 +52,7 @@ def _asof(
         F.struct(*carry).alias("_event"),
     )
     stream = rows.unionByName(events, allowMissingColumns=True)
-    filled = last_known(stream, keys, [F.col(POS), F.col("_kind"), F.col("_tie")], "_event", slice_rows)
+    filled = last_known(stream, keys, [F.col(POS), F.col("_kind"), F.col("_tie")], "_event", slice_rows, plan_on)
     found = filled.filter(F.col("_row").isNotNull())
     # a row without a key or a time has no match
     usable = F.col(POS).isNotNull()
@@ -141,13 +142,16 @@ def asof_with_fallback(
         carry = [*carry, right_time]
     gap = (position(left, left_time) - F.col("_event_pos")) / F.lit(3.6e9)
     events = right.withColumn("_event_pos", position(right, right_time))
-    args = dict(strict=True, tie_break=tie_break, carry=[*carry, "_event_pos"], slice_rows=slice_rows)
-    own = asof_backward(left, events, [pair], left_time, right_time, **args).withColumn("hours_since", gap)
+    at, event_at, taken = position(left, left_time), F.col("_event_pos"), [*carry, "_event_pos"]
+    own = _asof(left, events, [pair], at, event_at, True, tie_break, taken, False, slice_rows).withColumn("hours_since", gap)
     served = F.coalesce(F.col("hours_since") <= max_gap_hours, F.lit(False))
     default = events.filter(F.col(pair[1]) == F.lit(fallback_key))
     late = own.filter(~served).select(*left.columns)
+    # all late rows meet in one key; its slices are planned from the input times, not by running the first join again
+    one = F.lit(0).alias(f"{_KEY}all")
+    times = left.select(one, at.alias(POS)).unionByName(default.select(one, event_at.alias(POS)))
     rescued = (
-        asof_backward(late, default, [], left_time, right_time, **args)
+        _asof(late, default, [], at, event_at, True, tie_break, taken, False, slice_rows, plan_on=times)
         .withColumn("hours_since", gap)
         .withColumn(flag, F.when(F.col("hours_since").isNotNull(), F.lit(False)))
     )

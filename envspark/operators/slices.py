@@ -179,16 +179,22 @@ def running_sum(
 
 
 def last_known(
-    rows: DataFrame, by: Sequence[str], order: Sequence[Column], payload: str, slice_rows: int | None = None
+    rows: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column],
+    payload: str,
+    slice_rows: int | None = None,
+    plan_on: DataFrame | None = None,
 ) -> DataFrame:
     """Replace ``payload`` by its last non-NULL value at or before each row.
 
     ``rows`` carries ``_pos`` (rows of equal position stay together) and
-    ``order`` is led by it.
+    ``order`` is led by it. ``plan_on`` holds keys and positions to plan the
+    slices from where a cheaper superset of ``rows`` is at hand.
     """
     by = list(by)
     columns = rows.columns
-    slices = plan_slices(rows, by, slice_rows)
+    slices = plan_slices(rows if plan_on is None else plan_on, by, slice_rows)
     if slices is None:
         frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return rows.withColumn(payload, F.last(payload, ignorenulls=True).over(frame))
