@@ -107,13 +107,13 @@ def weather(spark: SparkSession, sf: str) -> DataFrame:
         "date",
         "ghcn_station_id",
         "ghcn_station_name",
-        F.when(F.col("_e") % 6 != 0, F.col("_mean") * 0.9137).alias("temperature_f"),
+        F.when(F.col("_e") % 6 != 0, F.col("_mean") * 0.91374891).alias("temperature_f"),
         F.when(F.col("_e") % 5 != 0, F.col("_least") / 10).alias("precip_in"),
     )
 
 
 WEATHER = """weather AS (SELECT date, 'G' || g AS ghcn_station_id, 'gauge ' || g AS ghcn_station_name,
-  CASE WHEN e % 6 <> 0 THEN m * 0.9137::DOUBLE END AS temperature_f, CASE WHEN e % 5 <> 0 THEN l / 10 END AS precip_in
+  CASE WHEN e % 6 <> 0 THEN m * 0.91374891::DOUBLE END AS temperature_f, CASE WHEN e % 5 <> 0 THEN l / 10 END AS precip_in
   FROM (SELECT CAST(ts AS DATE) AS date, CAST(user_id % 40 AS VARCHAR) AS g, avg(value) AS m, min(value) AS l, min(event_id) AS e
         FROM events WHERE event_type IN ('view', 'signup') GROUP BY 1, 2))"""
 
