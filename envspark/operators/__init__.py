@@ -8,11 +8,13 @@ from envspark.operators.aggregate import (  # noqa: F401
     null_profile,
     profile,
     profile_text,
+    quartiles,
     reference_agreement,
     site_summary,
     top_k,
     top_n_by,
     trend,
+    whiskers,
     with_totals,
     yearly_trend,
 )

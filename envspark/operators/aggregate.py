@@ -76,26 +76,37 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
     )
 
 
-def box_stats(df: DataFrame, by: Sequence[str], col: str, slice_rows: int | None = None) -> DataFrame:
-    """Box per group: n, quartiles, whiskers at the last value within 1.5 IQR of the box, values beyond them."""
-    by = list(by)
+_BOX = ("q1", "median", "q3")
+
+
+def quartiles(df: DataFrame, by: Sequence[str], col: str, slice_rows: int | None = None) -> DataFrame:
+    """Per group: n_rows, n non-NULL values, and the exact quartiles q1, median, q3."""
     q = group_quantiles(df, by, col, [0.25, 0.5, 0.75], slice_rows)
-    boxes = q.select(*by, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))])
+    return q.select(*by, "n_rows", "n", *[F.col("q")[i].alias(name) for i, name in enumerate(_BOX)])
+
+
+def whiskers(df: DataFrame, boxes: DataFrame, by: Sequence[str], col: str) -> DataFrame:
+    """Boxes with their whiskers, the last values within 1.5 IQR of the box, and the number of values beyond them."""
+    by = list(by)
     iqr = F.col("q3") - F.col("q1")
     fenced = join_on(df.select(*by, F.col(col).alias("_v")), boxes, by, "inner")
     within = F.col("_v").between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
-    return fenced.groupBy(*by, "n", "q1", "median", "q3").agg(
+    return fenced.groupBy(*boxes.columns).agg(
         F.min(F.when(within, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(within, F.col("_v"))).alias("whisker_high"),
         F.sum((~within).cast("long")).alias("n_outliers"),
     )
 
 
+def box_stats(df: DataFrame, by: Sequence[str], col: str, slice_rows: int | None = None) -> DataFrame:
+    """Five-number box per group: n, quartiles, whiskers, outliers."""
+    return whiskers(df, quartiles(df, by, col, slice_rows).drop("n_rows"), by, col)
+
+
 def site_summary(df: DataFrame, by: Sequence[str], col: str, min_n: int, slice_rows: int | None = None) -> DataFrame:
     """``n_obs`` and the median per site, for sites with more than ``min_n`` rows."""
-    by = list(by)
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_obs")).filter(F.col("n_obs") > min_n)
-    return counts.join(group_median(df, by, col, f"median_{col}", slice_rows).drop("n"), by)
+    q = group_quantiles(df, by, col, [0.5], slice_rows).filter(F.col("n_rows") > min_n)
+    return q.select(*by, F.col("n_rows").alias("n_obs"), F.col("q")[0].alias(f"median_{col}"))
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from envspark.operators.slices import POS, heavy_keys, join_on, running_sum, SLI
 def group_quantiles(
     df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], slice_rows: int | None = None
 ) -> DataFrame:
-    """One row per group: ``n`` non-NULL values and ``q``, the exact linearly interpolated quantiles in probs order.
+    """One row per group: ``n_rows``, ``n`` non-NULL values, and ``q``, the exact interpolated quantiles in probs order.
 
     Groups of ordinary size use the built-in exact percentile. Once some group
     outgrows one task's buffer, values are first counted per (group, value),
@@ -26,12 +26,14 @@ def group_quantiles(
     keys = by or ["_all"]
     known = keyed.select(*keys, F.col(col).cast("double").alias(POS))
     if not heavy_keys(known, keys, limit):
-        out = known.groupBy(*keys).agg(F.count(POS).alias("n"), F.percentile(POS, [float(p) for p in probs]).alias("q"))
+        out = known.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count(POS).alias("n"), F.percentile(POS, [float(p) for p in probs]).alias("q")
+        )
         return out if by else out.drop("_all")
 
     counts = known.filter(F.col(POS).isNotNull()).groupBy(*keys, POS).agg(F.count(F.lit(1)).alias("_c"))
     ranked = running_sum(counts, keys, {"_cum": "_c"}, slice_rows=limit)
-    sizes = known.groupBy(*keys).agg(F.count(POS).alias("n"))
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count(POS).alias("n"))
     placed = join_on(sizes, ranked, keys, "left")
     picks = []
     for i, p in enumerate(probs):
@@ -39,14 +41,14 @@ def group_quantiles(
         low = F.min(F.when(F.col("_cum") > F.floor(at), F.col(POS)))
         high = F.min(F.when(F.col("_cum") > F.ceil(at), F.col(POS)))
         picks += [low.alias(f"_lo{i}"), high.alias(f"_hi{i}")]
-    picked = placed.groupBy(*keys, "n").agg(*picks)
+    picked = placed.groupBy(*keys, "n_rows", "n").agg(*picks)
     values = []
     for i, p in enumerate(probs):
         at = (F.col("n") - 1) * float(p)
         low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         values.append(low + (high - low) * (at - F.floor(at)))
     any_value = F.col("n") > 0
-    return picked.select(*by, "n", F.when(any_value, F.array(*values)).alias("q"))
+    return picked.select(*by, "n_rows", "n", F.when(any_value, F.array(*values)).alias("q"))
 
 
 def group_median(df: DataFrame, by: Sequence[str], col: str, name: str | None = None, slice_rows: int | None = None) -> DataFrame:

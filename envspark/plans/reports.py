@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from envspark.functions.measures import DASHBOARD_BREAKS, DASHBOARD_LEVELS, annualised, cut, log_capped
 from envspark.functions.text import thousands
 from envspark.functions.times import hms_text
-from envspark.operators.aggregate import box_stats, reference_agreement, site_summary, top_k, trend
+from envspark.operators.aggregate import quartiles, reference_agreement, top_k, trend, whiskers
 from envspark.operators.bins import bin_equal
 from envspark.operators.joins import cohort
 from envspark.operators.quantiles import group_median
@@ -19,10 +19,8 @@ from envspark.operators.windows import roll_sum
 
 def ranked_sites(df: DataFrame, site: str, level: str, min_n: int, k: int, cleanest: bool) -> DataFrame:
     """The k cleanest or dirtiest sites by median (ties kept) among those with more than ``min_n`` rows, with their box."""
-    summary = site_summary(df, [site], level, min_n)
-    chosen = top_k(summary, f"median_{level}", k, ties=True, largest=not cleanest)
-    rows = df.join(chosen.select(site), site, "left_semi")
-    return chosen.select(site, "n_obs").join(box_stats(rows, [site], level).drop("n"), site)
+    boxes = quartiles(df, [site], level).filter(F.col("n_rows") > min_n).drop("n").withColumnRenamed("n_rows", "n_obs")
+    return whiskers(df, top_k(boxes, "median", k, ties=True, largest=not cleanest), [site], level)
 
 
 def cohort_trend(df: DataFrame, site: str, date: str, level: str, rain: str, min_years: int, since_year: int, periods: int = 52) -> DataFrame:
