@@ -455,11 +455,11 @@ def _(spark, sf):
 
 @query(
     "q16_impute_by_date",
-    f"""WITH {SUBSET} SELECT sampling_location, strftime(t, '%Y-%m-%d %H:%M') AS sample_datetime, current_direction, {', '.join(f'round(coalesce({c}, avg({c}) OVER (PARTITION BY CAST(t AS DATE))), 5) AS {c}' for c in NUMBERS)} FROM sub""",
+    f"""WITH {SUBSET} SELECT sampling_location, strftime(t, '%Y-%m-%d %H:%M') AS sample_datetime, current_direction, {', '.join(f'round(coalesce({c}, avg({c}) OVER (PARTITION BY CAST(t AS DATE))), 9) AS {c}' for c in NUMBERS)} FROM sub""",
 )
 def _(spark, sf):
     out = opendata.impute_by_date(_subset(spark, sf))
-    return shown(out.select("sampling_location", _minute(), "current_direction", *NUMBERS), 5)
+    return shown(out.select("sampling_location", _minute(), "current_direction", *NUMBERS), 9)
 
 
 @query(
