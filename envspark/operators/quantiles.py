@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from envspark.operators.slices import POS, heavy_keys, join_on, running_sum, SLICE_ROWS
+from envspark.operators.slices import POS, heavy_keys, join_on, running_sum
+
+BUFFER_VALUES = 1_000_000  # values of one group that an aggregate buffer holds comfortably
 
 
 def group_quantiles(
@@ -21,7 +23,7 @@ def group_quantiles(
     picked by a plain aggregate.
     """
     by = list(by)
-    limit = slice_rows or SLICE_ROWS
+    limit = slice_rows or BUFFER_VALUES
     keyed = df if by else df.withColumn("_all", F.lit(0))
     keys = by or ["_all"]
     known = keyed.select(*keys, F.col(col).cast("double").alias(POS))

@@ -16,19 +16,22 @@ CHUNK_ROWS = 100_000
 
 
 def append_distinct(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Union by name with one row per key; where both sides have the key the new row wins."""
-    key = list(key)
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in (*key, "_new")]
-    if not rest:
-        return both.select(*key).distinct()
-    # a partial aggregate, so repeats of one key collapse before the shuffle
-    newest = both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_new", *_orderable(both, rest))).alias("_row"))
-    return newest.select(*key, "_row.*").select(*[c for c in both.columns if c != "_new"])
-
+    """The store plus new rows, one row per key; where both have the key the new row wins.
 
-def _orderable(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    return [c for c in cols if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
+    ``old`` has one row per key already, as this function leaves it. Only the
+    new rows are grouped; the store passes an anti join, which needs no shuffle
+    of it while the new rows are few. Of new rows with the same key the one
+    sorting last is kept.
+    """
+    key = list(key)
+    rest = [c for c in new.columns if c not in key]
+    if rest:
+        newest = new.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_row"))
+        fresh = newest.select(*key, "_row.*").select(*new.columns)
+    else:
+        fresh = new.distinct()
+    kept = join_on(old, fresh.select(*key), key, "left_anti")
+    return kept.unionByName(fresh, allowMissingColumns=True)
 
 
 def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -108,14 +108,18 @@ def over_order(
     before: int = 0,
     after: int = 0,
     slice_rows: int | None = None,
+    plan_on: DataFrame | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Window columns that look at most ``before`` rows back and ``after`` rows ahead.
 
     ``df`` carries ``_pos``; ``order`` is the full row order, led by ``_pos``
     and unique within a key. ``build`` maps a window to the columns to add.
+    ``plan_on`` holds keys and positions of a cheaper superset of the rows;
+    ``bounded`` states that no key can outgrow a task, and skips the check.
     """
     by = list(by)
-    slices = plan_slices(df, by, slice_rows)
+    slices = None if bounded else plan_slices(df if plan_on is None else plan_on, by, slice_rows)
     if slices is None:
         return df.withColumns(build(Window.partitionBy(*by).orderBy(*order)))
     reach = max(before, after)

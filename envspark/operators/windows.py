@@ -32,28 +32,34 @@ def phase_features(
         hours = (F.lead(POS).over(w) - F.col(POS)) / F.lit(3.6e9)
         return {range_name: F.lead(level).over(w) - F.col(level), duration_name: F.when(hours <= max_hours, hours)}
 
-    return over_order(points, [station], [F.col(POS)], build, after=1, slice_rows=slice_rows).drop(POS)
+    raw = df.select(station, position(df, time).alias(POS))
+    return over_order(points, [station], [F.col(POS)], build, after=1, slice_rows=slice_rows, plan_on=raw).drop(POS)
 
 
 def lag_sum(
-    df: DataFrame, by: Sequence[str], order: str, col: str, lags: Sequence[int], name: str, slice_rows: int | None = None
+    df: DataFrame, by: Sequence[str], order: str, col: str, lags: Sequence[int], name: str, slice_rows: int | None = None, bounded: bool = False
 ) -> DataFrame:
-    """Sum of earlier rows' values, NULL when any of them is missing; one row per (by, order)."""
+    """Sum of earlier rows' values, NULL when any of them is missing; one row per (by, order).
+
+    ``bounded`` states that a key has no more rows than a task sorts, as in a
+    daily series, and saves the look for heavy keys.
+    """
     rows = df.withColumn(POS, position(df, order))
 
     def build(w):
         first, *rest = [F.lag(col, k).over(w) for k in lags]
         return {name: sum(rest, first)}
 
-    return over_order(rows, by, [F.col(POS)], build, before=max(lags), slice_rows=slice_rows).drop(POS)
+    return over_order(rows, by, [F.col(POS)], build, before=max(lags), slice_rows=slice_rows, bounded=bounded).drop(POS)
 
 
 def roll_sum(
-    df: DataFrame, by: Sequence[str], order: str, col: str, n: int, name: str, slice_rows: int | None = None
+    df: DataFrame, by: Sequence[str], order: str, col: str, n: int, name: str, slice_rows: int | None = None, bounded: bool = False
 ) -> DataFrame:
-    """Right-aligned n-row sum; NULL while incomplete or over a NULL; one row per (by, order)."""
+    """Right-aligned n-row sum; NULL while incomplete or over a NULL; one row per (by, order). ``bounded`` as in :func:`lag_sum`."""
     rows = df.withColumn(POS, position(df, order))
-    return over_order(rows, by, [F.col(POS)], lambda w: {name: rolling_sum(col, n, w)}, before=n - 1, slice_rows=slice_rows).drop(POS)
+    build = lambda w: {name: rolling_sum(col, n, w)}
+    return over_order(rows, by, [F.col(POS)], build, before=n - 1, slice_rows=slice_rows, bounded=bounded).drop(POS)
 
 
 def impute_group_mean(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:

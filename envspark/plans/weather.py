@@ -68,7 +68,7 @@ def daily_rain(weather: DataFrame) -> DataFrame:
     """
     facts = weather.select("ghcn_station_name", "ghcn_station_id", "date", "precip_in", "temperature_f")
     grid = densify(facts, ["ghcn_station_name", "ghcn_station_id"], "date")
-    return lag_sum(grid, ["ghcn_station_id"], "date", "precip_in", [1, 2], "precip_in_48")
+    return lag_sum(grid, ["ghcn_station_id"], "date", "precip_in", [1, 2], "precip_in_48", bounded=True)
 
 
 def rain_for_samples(samples: DataFrame, key: DataFrame, weather: DataFrame, default_station: str = DEFAULT_STATION) -> DataFrame:
