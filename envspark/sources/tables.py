@@ -17,9 +17,9 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = None, mode: str = "errorifexists") -> None:
     """Parquet sink of a stage.
 
-    With partition columns the rows are first brought together by them plus a
-    spread over row content, so one hot partition is written by several tasks
-    and none is split into one file per task.
+    With partition columns the rows are rebalanced by them first: small
+    partitions are not scattered over one file per task, and a hot one is split
+    over several tasks by size.
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
