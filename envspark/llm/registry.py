@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from envspark.llm import exact_dedup, mixing, near_dup, packing, url_rules
+from envspark.llm import chat, chunk_dedup, exact_dedup, licences, mixing, near_dup, neighbours, packing, toxicity, url_rules
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
+    "op2_hilbert_neighbours": neighbours.op2_hilbert_neighbours,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_source_mix": mixing.op4_source_mix,
+    "op5_licence_scan": licences.op5_licence_scan,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_url_rules": url_rules.op7_url_rules,
+    "op8_chunk_dedup": chunk_dedup.op8_chunk_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_simhash_near_dedup": near_dup.op10_simhash_near_dedup,
 }
@@ -15,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op3_exact_dedup": exact_dedup.SQL.strip(),
     "op4_source_mix": mixing.SQL.strip(),
+    "op5_licence_scan": licences.SQL.strip(),
     "op7_url_rules": url_rules.SQL.strip(),
 }
