@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,9 +18,6 @@ from envspark.llm.common import cut, table
 #: Ends every document.
 END_ID = 2
 
-#: Word pieces whose ids a worker remembers; the memory is emptied when full, which changes no result.
-REMEMBERED = 400_000
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -28,60 +27,50 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible Latin-1 for itself, others from 256 up."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
 
-    The tokenizer never joins what stands before a single space between two
-    visible characters with what follows it, so a text is cut at such spaces
-    and each part, with its space, is encoded once and remembered.
+@lru_cache(maxsize=4)
+def load_encoding(path: str):
+    """The byte-level BPE of a tokenizer file, run by the faster of the two libraries that give its ids.
+
+    Merging pairs by the smallest id of their join gives what the file's list of
+    merges gives, as ids follow that list; tests hold both against each other.
+    Strings of special tokens are ordinary text.
     """
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(path, encoding="utf-8") as f:
+        kept = json.load(f)
+    special = {x["content"] for x in kept["added_tokens"]}
+    if kept["model"]["type"] != "BPE" or kept["pre_tokenizer"]["type"] != "ByteLevel" or kept["pre_tokenizer"]["add_prefix_space"] or kept["normalizer"]:
+        raise ValueError(f"{path} is not a plain byte-level BPE")
+    byte = _byte_of()
+    ranks = {bytes(byte[c] for c in token): i for token, i in kept["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache(maxsize=4)
+def _load_tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        """Cut at single spaces with visible characters on both sides; the space itself is left out."""
-        found = text.split(" ")
-        if all(found) and not any(x[0].isspace() or x[-1].isspace() for x in found):
-            return found
-        joined, safe = [], False
-        for i, x in enumerate(found):
-            if i and safe and x and not x[0].isspace():
-                joined.append(x)
-            elif i:
-                joined[-1] += " " + x
-            else:
-                joined.append(x)
-            safe = bool(x) and not x[-1].isspace()
-        return joined
-
-    def _learn(self, memory: dict[str, bytes], parts: list[str], lead: str) -> None:
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        new = [x for x in dict.fromkeys(parts) if x not in memory]
-        for x, e in zip(new, self.tokenizer.encode_batch([lead + x for x in new], add_special_tokens=False)):
-            memory[x] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        head, *rest = self.parts(text)
-        out = []
-        for memory, parts, lead in ((self.first, [head], ""), (self.later, rest, " ")):
-            for i in range(0, len(parts), 100_000):
-                some = parts[i : i + 100_000]
-                try:
-                    out.extend([memory[x] for x in some])
-                except KeyError:
-                    self._learn(memory, some, lead)
-                    out.extend([memory[x] for x in some])
-        return b"".join(out)
+def text_ids(text: str, path: str) -> bytes:
+    """Ids of a whole text as little-endian unsigned 32-bit bytes."""
+    try:
+        ids = load_encoding(path).encode_to_numpy(text, disallowed_special=())
+    except ValueError:  # some hundred thousand blanks in a row overrun its pattern's stack
+        ids = np.array(_load_tokenizer(path).encode(text, add_special_tokens=False).ids)
+    return ids.astype("<u4").tobytes()
 
 
 def cut_lengths(total: int, size: int) -> list[tuple[int, int]]:
@@ -97,11 +86,10 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, size: int = 1024
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["_id"], pdf["_text"]):
-                ids = encoder.ids(text) + end
+                ids = text_ids(text, path) + end
                 for k, (a, n) in enumerate(cut_lengths(len(ids) // 4, size)):
                     rows.append((doc, k, a, n, zlib.crc32(memoryview(ids)[4 * a : 4 * (a + n)])))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
