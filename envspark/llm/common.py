@@ -6,6 +6,7 @@ import os
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from envspark.session import shared_dir
@@ -30,14 +31,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def star(keyed: DataFrame, key: list[str], node: str) -> DataFrame:
+def tasks(spark: SparkSession) -> int:
+    """Partitions to spread small rows over that become many rows each; asked for by number, they are not merged at run time."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def star(keyed: DataFrame, key: str, node: str) -> DataFrame:
     """Links (u, v) from every row to the smallest node of its key; one row per member, never one per pair.
 
-    The minimum is combined on the map side, and a key that holds many rows is
-    split by the skew handling of the join.
+    For keys that hold a bounded number of rows: one shuffle, and no map-side
+    combination, which would hold every key once more.
     """
-    hubs = keyed.groupBy(*key).agg(F.min(node).alias("v"), F.max(node).alias("_last")).filter("v < _last").drop("_last")
-    return keyed.join(hubs, key).filter(F.col(node) != F.col("v")).select(F.col(node).alias("u"), "v").distinct()
+    hub = F.min(node).over(W.partitionBy(key))
+    return keyed.select(F.col(node).alias("u"), hub.alias("v")).filter("u <> v").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -45,16 +51,19 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Alternates between pointing every node's larger neighbours and its smaller
     neighbours at its smallest one until the links no longer change. Each round
-    is two aggregations and two joins, cut to the checkpoint folder. Nulls and
-    self links are ignored; nodes without links are not returned.
+    is two aggregations and two joins, cut to the checkpoint folder; the minima
+    are cut before they are joined, so that the join can split a node with very
+    many links. Nulls and self links are ignored; nodes without links are not
+    returned.
     """
     links = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(links)
     while state[0]:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(links)

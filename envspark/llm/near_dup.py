@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envspark.llm.common import connected, cut, star, table
+from envspark.llm.common import connected, cut, star, table, tasks
 
 #: Shingles whose bits are counted at a time; bounds a worker's memory and changes no result.
 COUNTED = 1 << 15
@@ -107,11 +107,13 @@ def ball_links(nodes: DataFrame, radius: int, bits: int = 64) -> DataFrame:
     those of odd parity one flip less, and meet in a variant whose even and odd
     members are all within the radius; again each even one is linked to the
     variant's smallest odd one. Among 2h+1 differing bits, h+1 lie in one
-    half of the value, so only flips inside one half are emitted there.
+    half of the value, so only flips inside one half are emitted there. No
+    variant has more members than variants a value emits.
     """
     half = radius // 2
+    nodes = nodes.repartition(tasks(nodes.sparkSession), "fp")
     ball = [m for k in range(half + 1) for m in _masks(bits, k)]
-    links = star(nodes.select("fp", F.explode(F.lit(ball)).alias("_m")).select("fp", F.col("fp").bitwiseXOR(F.col("_m")).alias("_variant")), ["_variant"], "fp")
+    links = star(nodes.select("fp", F.explode(F.lit(ball)).alias("_m")).select("fp", F.col("fp").bitwiseXOR(F.col("_m")).alias("_variant")), "_variant", "fp")
     if radius % 2:
         odd = F.bit_count("fp") % 2 == 1
         far = nodes.filter(~odd).select("fp", F.explode(F.lit(_masks(bits, half + 1, (bits + 1) // 2))).alias("_m"))
@@ -138,7 +140,7 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = connected(ball_links(nodes, radius))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    lowest = cut(named.groupBy("root").agg(F.min("low").alias("component_id")))
     found = marked.join(named.join(lowest, "root").select("fp", "component_id"), "fp")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -146,19 +148,22 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
 def similar_links(marked: DataFrame, similarity: float, longs: int) -> DataFrame:
     """Links (u, v) between ids whose long fingerprints say a similarity of at least ``similarity``.
 
-    A fingerprint is a row of 32-bit words. Each word emits its variants within
-    one flip; ids that share a variant of a word are candidates, each against
-    the smallest of them, and are verified on the whole fingerprint: of two
-    texts with Jaccard similarity j, bits differ at a rate of
-    acos(2j / (1 + j)) / pi.
+    A fingerprint is a row of 32-bit words. Ids with an equal word are
+    candidates, each against the smallest of them; that one then emits the
+    word's variants within one flip, and of those that share a variant each is a
+    candidate against the smallest. So a variant has at most 33 members,
+    whatever the number of like texts. Candidates are verified on the whole
+    fingerprint: of two texts with Jaccard similarity j, bits differ at a rate
+    of acos(2j / (1 + j)) / pi.
     """
     limit = int(64 * longs * acos(2 * similarity / (1 + similarity)) / pi)
-    ball = [0, *_masks(32, 1)]
     words = F.flatten(F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit((1 << 32) - 1)))))
-    parts = marked.select("id", F.posexplode(words).alias("_word", "_value"))
-    keyed = parts.select("id", "_word", "_value", F.explode(F.lit(ball)).alias("_m"))
-    key = F.shiftleft(F.col("_word").cast("long"), 32).bitwiseOR(F.col("_value").bitwiseXOR(F.col("_m"))).alias("_variant")
-    met = star(keyed.select("id", key), ["_variant"], "id")
+    word = F.shiftleft(F.col("_at").cast("long"), 32).bitwiseOR(F.col("_value")).alias("_word")
+    parts = marked.select("id", F.posexplode(words).alias("_at", "_value")).select("id", word)
+    firsts = cut(parts.groupBy("_word").agg(F.min("id").alias("first")))
+    equal = parts.join(firsts, "_word").filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct()
+    spread = firsts.repartition(tasks(marked.sparkSession), "_word").select("first", "_word", F.explode(F.lit([0, *_masks(32, 1)])).alias("_m"))
+    met = equal.union(star(spread.select("first", F.col("_word").bitwiseXOR(F.col("_m")).alias("_variant")), "_variant", "first"))
     both = met.join(marked.select(F.col("id").alias("u"), F.col("fp").alias("_fu")), "u").join(marked.select(F.col("id").alias("v"), F.col("fp").alias("_fv")), "v")
     apart = F.aggregate(F.zip_with("_fu", "_fv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     return both.filter(apart <= limit).select("u", "v")
