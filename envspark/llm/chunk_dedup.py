@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from envspark.llm.common import cut, table
 
-#: Bits of the rolling hash that are zero at a cut, least and most bytes of a chunk.
-CUT_BITS, LEAST, MOST = 5, 24, 128
+#: Bytes the rolling hash sees, its bits that are zero at a cut, least and most bytes of a chunk.
+SEEN, CUT_BITS, LEAST, MOST = 16, 4, 16, 96
 
 #: Fewest words of a run of repeated chunks. A passage of over 50 words keeps that many between its first and last cut.
-RUN_WORDS = 28
+RUN_WORDS = 26
 
 #: Bytes hashed at a time; bounds a worker's memory and changes no result.
 PART = 1 << 20
@@ -25,18 +25,19 @@ PART = 1 << 20
 #: Chunks sent to Spark at a time.
 SENT = 100_000
 
-_GEAR = np.random.default_rng(2016).integers(0, 1 << 32, 256, dtype=np.uint32)
+_GEAR = np.random.default_rng(2016).integers(0, 1 << SEEN, 256, dtype=np.uint16)
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
-    """The gear hash after every byte: over the last 32 bytes, each byte's number shifted once per later byte.
+    """The gear hash after every byte: over the last 16 bytes, each byte's number shifted once per later byte.
 
-    Sums over windows of 1, 2, 4, ... 32 bytes, each made of two of the last.
+    Sums over windows of 1, 2, 4, 8 and 16 bytes, each made of two of the last.
+    Numbers have as many bits as bytes are seen, so older ones are shifted out.
     """
     h = _GEAR[data]
-    for n in (1, 2, 4, 8, 16):
+    for n in (1, 2, 4, 8):
         shifted = np.zeros_like(h)
-        shifted[n:] = h[:-n] << np.uint32(n)
+        shifted[n:] = h[:-n] << np.uint16(n)
         h = h + shifted
     return h
 
@@ -51,8 +52,8 @@ def cuts(data: np.ndarray) -> list[int]:
     total = len(data)
     low = np.empty(total, np.uint8)
     for a in range(0, total, PART):
-        back = min(a, 31)
-        low[a : a + PART] = rolling(data[a - back : a + PART])[back:] >> np.uint32(24)
+        back = min(a, SEEN - 1)
+        low[a : a + PART] = rolling(data[a - back : a + PART])[back:] >> np.uint16(8)
     low[:-1][(data[1:] & 0xC0) == 0x80] = 255
     ends, last = [], 0
     for at in [*(np.flatnonzero(low[:-1] < 256 >> CUT_BITS) + 1).tolist(), total]:
@@ -66,7 +67,7 @@ def cuts(data: np.ndarray) -> list[int]:
     return ends
 
 
-CHUNKS = "doc_id long, text_key long, start int, end int, words int, hi long, lo long"
+CHUNKS = "doc_id long, span long, digest long"
 
 
 def _text_chunks(doc: int, raw: bytes) -> tuple[np.ndarray, ...]:
@@ -76,9 +77,9 @@ def _text_chunks(doc: int, raw: bytes) -> tuple[np.ndarray, ...]:
     points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     space = (data == 32) | ((data >= 9) & (data <= 13))
     words = np.concatenate(([0], np.cumsum(~space & np.concatenate(([True], space[:-1])))))
-    digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begins.tolist(), ends.tolist())]), np.int64).reshape(-1, 2)
-    n = len(ends)
-    return np.full(n, doc), np.full(n, xxhash.xxh64_intdigest(raw) >> 1, np.int64), points[begins], points[ends], words[ends] - words[begins], digest[:, 0], digest[:, 1]
+    digest = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(begins.tolist(), ends.tolist())], np.uint64)
+    span = (points[begins] << 16) + (points[ends] - points[begins] << 8) + words[ends] - words[begins]
+    return np.full(len(ends), doc), span, digest.view(np.int64)
 
 
 def _frame(found: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
@@ -87,7 +88,7 @@ def _frame(found: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per chunk of every whole text: its span in code points, its words, and its 128-bit digest."""
+    """One row per chunk of every whole text: its digest, and its start and length in code points and its words in one number."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -115,18 +116,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     them only, so what is inserted earlier moves no cut of a passage beyond its
     edges. Documents without repeats have no row.
 
-    Null texts, empty texts and rows with a null id have no chunks; repeated rows of a
-    document are one; other columns are not read; an empty table gives no rows.
-    Chunks are joined with one row per repeated digest, so the frequency of a
-    chunk never multiplies rows.
+    Null texts, empty texts and rows with a null id have no chunks; an id names
+    one document, whose rows are read as one text; other columns are not read;
+    an empty table gives no rows. Digests have 64 bits: a run is several chunks,
+    and would need all of them to collide in a row. Chunks are joined with one
+    row per repeated digest, so its frequency never multiplies rows, and the
+    join can split it.
     """
     parts = chunks(docs, id_col, text_col)
-    held = cut(parts.groupBy("hi", "lo").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("_last")).filter("kept_in < _last").drop("_last"))
-    again = parts.join(held, ["hi", "lo"]).filter("doc_id > kept_in").select("doc_id", "text_key", "start", "end", "words", "kept_in").distinct()
-    order = W.partitionBy("doc_id", "text_key").orderBy("start")
+    held = cut(parts.groupBy("digest").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("_last")).filter("kept_in < _last").drop("_last"))
+    again = parts.join(held, "digest").filter("doc_id > kept_in").select("doc_id", "span", "kept_in").distinct()
+    start = F.shiftright("span", 16)
+    placed = again.select("doc_id", start.alias("start"), (start + F.shiftright("span", 8).bitwiseAND(F.lit(255))).alias("end"), F.col("span").bitwiseAND(F.lit(255)).alias("words"), "kept_in")
+    order = W.partitionBy("doc_id").orderBy("start", "end", "kept_in")
     breaks = F.when(F.lag("end").over(order) == F.col("start"), 0).otherwise(1)
-    runs = again.withColumn("_break", breaks).withColumn("_run", F.sum("_break").over(order))
-    spans = runs.groupBy("doc_id", "text_key", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("kept_in").alias("kept_in"))
+    runs = placed.withColumn("_break", breaks).withColumn("_run", F.sum("_break").over(order))
+    spans = runs.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("kept_in").alias("kept_in"))
     return spans.filter(F.col("words") >= run_words).select("doc_id", "start", "end", "words", "kept_in")
 
 

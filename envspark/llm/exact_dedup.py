@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from envspark.llm.common import lower_ascii, table
+from envspark.llm.common import cut, lower_ascii, table
 
 
 def normalised(text: Column) -> Column:
@@ -19,14 +19,15 @@ def _groups(rows: DataFrame, keep: str) -> DataFrame:
 
     Grouping by digest and text compares the bytes, so texts that collide on the
     digest stay apart. Map tasks send each distinct text once, however many
-    copies they hold. Two texts equal in both hashes would make the narrow join
+    copies they hold. The result is cut, so that a later join shuffles both sides
+    and can split a text with very many copies. Two texts equal in both hashes would make the narrow join
     ambiguous; the job then fails rather than answer wrongly.
     """
     best = {"smallest": F.min, "largest": F.max}[keep]
     by_text = rows.groupBy("_digest", "_text").agg(best("_id").alias("keep_id"), F.count("*").alias("group_size"))
     by_text = by_text.select("_digest", F.unhex(F.sha2("_text", 256)).alias("_sha"), "keep_id", "group_size")
     unique = F.when(F.count("*") > 1, F.raise_error(F.lit("two texts share both hashes")).cast("long")).otherwise(F.max("group_size"))
-    return by_text.groupBy("_digest", "_sha").agg(F.max("keep_id").alias("keep_id"), unique.alias("group_size"))
+    return cut(by_text.groupBy("_digest", "_sha").agg(F.max("keep_id").alias("keep_id"), unique.alias("group_size")))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:

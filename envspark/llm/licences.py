@@ -93,7 +93,7 @@ def scan_licences(docs: DataFrame, path: Column, id_col: str = "doc_id", text_co
     def best(tokens: Column) -> Column:
         each = F.transform(F.array_distinct(tokens), lambda t: times(tokens, t) * F.coalesce(F.element_at(weight, t), F.lit(unseen)))
         length = F.sqrt(F.aggregate(each, F.lit(0.0), lambda a, x: a + x * x))
-        scores = [F.struct((sum((times(tokens, t) * F.lit(w * idf[t]) for t, w in unit.items()), F.lit(0.0)) / length).alias("score"), F.lit(-i).alias("at"), F.lit(name).alias("own"), F.size(tokens).alias("n")) for i, (name, unit) in enumerate(sorted(units.items()))]
+        scores = [F.struct(F.round(sum((times(tokens, t) * F.lit(w * idf[t]) for t, w in unit.items()), F.lit(0.0)) / length, 9).alias("score"), F.lit(-i).alias("at"), F.lit(name).alias("own"), F.size(tokens).alias("n")) for i, (name, unit) in enumerate(sorted(units.items()))]
         return F.array_max(F.array(*scores))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
