@@ -97,9 +97,9 @@ PHASES = """phases AS (SELECT *, lead(tide_level) OVER w - tide_level AS tide_ra
 
 
 def weather(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per gauge (a tenth of the users share one) and day on which any of the gauge's ``view`` events fell."""
+    """One row per gauge (a tenth of the users share one) and day on which any of the gauge's events fell."""
     gauge = (F.col("user_id") % 40).cast("string")
-    daily = table(spark, sf, "events").filter("event_type IN ('view', 'signup')").groupBy(
+    daily = table(spark, sf, "events").groupBy(
         F.to_date("ts").alias("date"), F.concat(F.lit("G"), gauge).alias("ghcn_station_id"), F.concat(F.lit("gauge "), gauge).alias("ghcn_station_name")
     )
     out = daily.agg(F.avg("value").alias("_mean"), F.min("value").alias("_least"), F.min("event_id").alias("_e"))
@@ -115,7 +115,7 @@ def weather(spark: SparkSession, sf: str) -> DataFrame:
 WEATHER = """weather AS (SELECT date, 'G' || g AS ghcn_station_id, 'gauge ' || g AS ghcn_station_name,
   CASE WHEN e % 6 <> 0 THEN m * 0.91374891::DOUBLE END AS temperature_f, CASE WHEN e % 5 <> 0 THEN l / 10 END AS precip_in
   FROM (SELECT CAST(ts AS DATE) AS date, CAST(user_id % 40 AS VARCHAR) AS g, avg(value) AS m, min(value) AS l, min(event_id) AS e
-        FROM events WHERE event_type IN ('view', 'signup') GROUP BY 1, 2))"""
+        FROM events GROUP BY 1, 2))"""
 
 
 def station_key(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,11 +151,11 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Truth from an event's value, prediction from the user's previous one, scores that sum to 1."""
     from envspark.functions.measures import ENTEROCOCCI_BREAKS, QUALITY_LEVELS, cut
     from envspark.functions.times import position
-    from envspark.operators.slices import POS, over_order
+    from envspark.operators.slices import POS, TIME_BITS, over_order
 
     ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
     ev = ev.withColumn(POS, position(ev, "ts"))
-    ev = over_order(ev, ["user_id"], [F.col(POS), F.col("event_id")], lambda w: {"prev": F.lag("value").over(w)}, before=1)
+    ev = over_order(ev, ["user_id"], [F.col(POS), F.col("event_id")], lambda w: {"prev": F.lag("value").over(w)}, before=1, bits=TIME_BITS)
     v = F.col("prev")
     return ev.filter(v.isNotNull()).select(
         "event_id",

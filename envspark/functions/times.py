@@ -19,13 +19,16 @@ def day_name(d) -> Column:
 
 
 def position(df: DataFrame, name: str) -> Column:
-    """A number that orders rows like the column ``name``: microseconds for times, the value itself for numbers.
+    """A number that orders rows like the column ``name`` (see :func:`position_as`)."""
+    return position_as(F.col(name), df.schema[name].dataType)
+
+
+def position_as(col: Column, kind: T.DataType) -> Column:
+    """A number in the order of a column: microseconds for times, days for dates, the value itself for numbers.
 
     An instant (TIMESTAMP) counts true elapsed time, a wall clock
     (TIMESTAMP_NTZ) clock time; neither depends on the session zone.
     """
-    kind = df.schema[name].dataType
-    col = F.col(name)
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(col)
     if isinstance(kind, T.TimestampNTZType):
@@ -34,7 +37,25 @@ def position(df: DataFrame, name: str) -> Column:
         return F.unix_date(col).cast("long")
     if isinstance(kind, T.NumericType):
         return col
-    raise TypeError(f"{name}: cannot order along {kind.simpleString()}")
+    raise TypeError(f"cannot order along {kind.simpleString()}")
+
+
+def kind_of(df: DataFrame, name: str) -> str:
+    """What positions along a column count: days, instants, wall clock or plain values."""
+    kind = df.schema[name].dataType
+    names = {T.TimestampType: "instant", T.TimestampNTZType: "clock", T.DateType: "day"}
+    return names.get(type(kind), "value")
+
+
+#: Position units in an hour; plain values have none.
+UNITS_PER_HOUR = {"instant": 3_600_000_000, "clock": 3_600_000_000, "day": 1 / 24}
+
+
+def elapsed_hours(df: DataFrame, name: str, later: Column, earlier: Column) -> Column:
+    """Elapsed hours between two values of a column like ``name``; of plain values, which have no hours, an error."""
+    if kind_of(df, name) == "value":
+        raise TypeError(f"{name}: a plain number has no hours")
+    return hours_between(later, earlier)
 
 
 def _interval_micros(gap: Column) -> Column:

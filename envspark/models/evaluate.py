@@ -1,7 +1,7 @@
 """Confusion grids, ROC curves and metrics as DataFrames.
 
 Scores are counted per value before anything is ordered, and running counts
-along the score axis go through the sliced running sum, because here a "key" is
+along the score axis go through the bucketed running sum, because here a "key" is
 a class: a handful of groups that hold all rows between them.
 """
 
@@ -54,7 +54,7 @@ def _score_counts(df: DataFrame, truth: str, scores: dict[str, str]) -> DataFram
     return long.groupBy("level", POS).agg(*[F.sum((F.col("_truth") == l).cast("long")).alias(f"c{i}") for i, l in enumerate(levels)])
 
 
-def roc_curve(df: DataFrame, truth: str, scores: dict[str, str], slice_rows: int | None = None) -> DataFrame:
+def roc_curve(df: DataFrame, truth: str, scores: dict[str, str]) -> DataFrame:
     """One-vs-all curve per level: (level, threshold, sensitivity, specificity), with the -Inf and +Inf ends."""
     levels = list(scores)
     counts = _score_counts(df, truth, scores)
@@ -62,7 +62,7 @@ def roc_curve(df: DataFrame, truth: str, scores: dict[str, str], slice_rows: int
     everyone = reduce(lambda a, b: a + b, [F.col(f"c{i}") for i in range(len(levels))])
     hits = counts.select("level", POS, own.alias("pos"), (everyone - own).alias("neg"))
     totals = hits.groupBy("level").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))  # one row per class
-    above = running_sum(hits, ["level"], {"tp": "pos", "fp": "neg"}, descending=True, slice_rows=slice_rows)
+    above = running_sum(hits, ["level"], {"tp": "pos", "fp": "neg"}, descending=True)
     curve = above.join(F.broadcast(totals), "level").select(
         "level",
         F.col(POS).alias("threshold"),
@@ -75,11 +75,11 @@ def roc_curve(df: DataFrame, truth: str, scores: dict[str, str], slice_rows: int
     return curve.unionByName(ends)
 
 
-def _pair_areas(df: DataFrame, truth: str, scores: dict[str, str], slice_rows: int | None) -> DataFrame:
+def _pair_areas(df: DataFrame, truth: str, scores: dict[str, str]) -> DataFrame:
     """(i, j, area, n_i, n_j): chance that a row of class i scores higher on i's score than a row of class j, ties half."""
     k = len(scores)
     counts = _score_counts(df, truth, scores)
-    below = running_sum(counts, ["level"], {f"cum{i}": f"c{i}" for i in range(k)}, slice_rows=slice_rows)
+    below = running_sum(counts, ["level"], {f"cum{i}": f"c{i}" for i in range(k)})
     sums = [F.sum(f"c{i}").alias(f"n{i}") for i in range(k)]
     for i in range(k):
         for j in range(k):
@@ -101,13 +101,13 @@ def _pair_areas(df: DataFrame, truth: str, scores: dict[str, str], slice_rows: i
     return per_level.select(F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
 
 
-def roc_auc(df: DataFrame, truth: str, scores: dict[str, str], estimator: str = "hand_till", slice_rows: int | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, truth: str, scores: dict[str, str], estimator: str = "hand_till") -> DataFrame:
     """One row (metric, estimator, estimate): multiclass AUC.
 
     ``hand_till`` averages the pairwise areas; ``macro`` and ``macro_weighted``
     average the one-vs-all areas, plainly or by class frequency.
     """
-    areas = _pair_areas(df, truth, scores, slice_rows)
+    areas = _pair_areas(df, truth, scores)
     if estimator == "hand_till":
         value = F.avg("area")
     else:
@@ -119,7 +119,7 @@ def roc_auc(df: DataFrame, truth: str, scores: dict[str, str], estimator: str =
     return areas.agg(value.alias("estimate")).select(F.lit("roc_auc").alias("metric"), F.lit(estimator).alias("estimator"), "estimate")
 
 
-def metrics(df: DataFrame, truth: str, pred: str, scores: dict[str, str], slice_rows: int | None = None) -> DataFrame:
+def metrics(df: DataFrame, truth: str, pred: str, scores: dict[str, str]) -> DataFrame:
     """accuracy, kappa, mean log-loss and Hand-Till AUC as (metric, estimator, estimate) rows."""
     levels = list(scores)
     t, p = _q(truth), _q(pred)
@@ -140,4 +140,4 @@ def metrics(df: DataFrame, truth: str, pred: str, scores: dict[str, str], slice_
     rows = F.array(
         *[F.struct(F.lit(m).alias("metric"), F.lit("multiclass").alias("estimator"), v.alias("estimate")) for m, v in found.items()]
     )
-    return one.select(F.inline(rows)).unionByName(roc_auc(df, truth, scores, slice_rows=slice_rows))
+    return one.select(F.inline(rows)).unionByName(roc_auc(df, truth, scores))

@@ -1,6 +1,7 @@
 """DataFrame → DataFrame operators."""
 
-from envspark.operators.aggregate import (  # noqa: F401
+from envspark.operators.aggregate import (
+    with_place,  # noqa: F401
     box_stats,
     corr_matrix,
     first_last,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from envspark.operators.quantiles import group_median, group_quantiles
 from envspark.operators.reshape import first_by
-from envspark.operators.slices import join_on
+from envspark.operators.slices import POS, join_on, running_sum
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "variable", "value")
 
 
-def profile(df: DataFrame, cols: Sequence[str], slice_rows: int | None = None) -> DataFrame:
+def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Numeric columns: n_missing, complete_rate, mean, sd and exact p0 / p25 / p50 / p75 / p100."""
     long = _long(df, cols)
     moments = long.groupBy("variable").agg(
@@ -32,7 +32,7 @@ def profile(df: DataFrame, cols: Sequence[str], slice_rows: int | None = None) -
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("sd"),
     )
-    q = group_quantiles(long, ["variable"], "value", [0, 0.25, 0.5, 0.75, 1], slice_rows)
+    q = group_quantiles(long, ["variable"], "value", [0, 0.25, 0.5, 0.75, 1])
     named = [F.col("q")[i].alias(f"p{p}") for i, p in enumerate((0, 25, 50, 75, 100))]
     return moments.join(q.select("variable", *named), "variable")
 
@@ -79,9 +79,9 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
 _BOX = ("q1", "median", "q3")
 
 
-def quartiles(df: DataFrame, by: Sequence[str], col: str, slice_rows: int | None = None) -> DataFrame:
+def quartiles(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """Per group: n_rows, n non-NULL values, and the exact quartiles q1, median, q3."""
-    q = group_quantiles(df, by, col, [0.25, 0.5, 0.75], slice_rows)
+    q = group_quantiles(df, by, col, [0.25, 0.5, 0.75])
     return q.select(*by, "n_rows", "n", *[F.col("q")[i].alias(name) for i, name in enumerate(_BOX)])
 
 
@@ -94,18 +94,18 @@ def whiskers(df: DataFrame, boxes: DataFrame, by: Sequence[str], col: str) -> Da
     return fenced.groupBy(*boxes.columns).agg(
         F.min(F.when(within, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(within, F.col("_v"))).alias("whisker_high"),
-        F.sum((~within).cast("long")).alias("n_outliers"),
+        F.sum(F.coalesce(~within, F.lit(False)).cast("long")).alias("n_outliers"),
     )
 
 
-def box_stats(df: DataFrame, by: Sequence[str], col: str, slice_rows: int | None = None) -> DataFrame:
+def box_stats(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """Five-number box per group: n, quartiles, whiskers, outliers."""
-    return whiskers(df, quartiles(df, by, col, slice_rows).drop("n_rows"), by, col)
+    return whiskers(df, quartiles(df, by, col).drop("n_rows"), by, col)
 
 
-def site_summary(df: DataFrame, by: Sequence[str], col: str, min_n: int, slice_rows: int | None = None) -> DataFrame:
+def site_summary(df: DataFrame, by: Sequence[str], col: str, min_n: int) -> DataFrame:
     """``n_obs`` and the median per site, for sites with more than ``min_n`` rows."""
-    q = group_quantiles(df, by, col, [0.5], slice_rows).filter(F.col("n_rows") > min_n)
+    q = group_quantiles(df, by, col, [0.5]).filter(F.col("n_rows") > min_n)
     return q.select(*by, F.col("n_rows").alias("n_obs"), F.col("q")[0].alias(f"median_{col}"))
 
 
@@ -138,12 +138,12 @@ def with_totals(df: DataFrame, row: str, cols: Sequence[str], label: str = "Tota
     return sums.select(F.when(F.col("_grand") == 1, F.lit(label)).otherwise(F.col(row)).alias(row), *cols, total.alias(label))
 
 
-def yearly_trend(df: DataFrame, date: str, medians: Sequence[str], means: dict[str, Column], site: str, slice_rows: int | None = None) -> DataFrame:
+def yearly_trend(df: DataFrame, date: str, medians: Sequence[str], means: dict[str, Column], site: str) -> DataFrame:
     """Per year: exact medians of some columns, scaled means, and the number of reporting sites."""
     yearly = df.withColumn("year", F.year(date))
     out = yearly.groupBy("year").agg(F.countDistinct(site).alias("n_sites"), *[c.alias(n) for n, c in means.items()])
     for m in medians:
-        out = out.join(group_median(yearly, ["year"], m, f"median_{m}", slice_rows).drop("n"), "year", "left")
+        out = out.join(group_median(yearly, ["year"], m, f"median_{m}").drop("n"), "year", "left")
     return out
 
 
@@ -166,6 +166,13 @@ def top_k(df: DataFrame, col: str, k: int, ties: bool = True, largest: bool = Tr
     return df.filter(F.col(col) >= edge if largest else F.col(col) <= edge)
 
 
+def with_place(df: DataFrame, col: str, ties: Sequence[str], name: str, descending: bool = False) -> DataFrame:
+    """Each row's place in the order of a numeric column, ties by further columns; no window over the whole table."""
+    order = F.col(col).desc() if descending else F.col(col).asc()
+    rows = df.withColumns({POS: F.col(col), "_all": F.lit(0), "_one": F.lit(1)})
+    return running_sum(rows, ["_all"], {name: "_one"}, descending, order=[order, *[F.col(c) for c in ties]]).select(*df.columns, name)
+
+
 def top_n_by(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int = 1, ties: bool = False) -> DataFrame:
     """The first n rows per group; with ``ties`` every row as good as the n-th."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -1,8 +1,8 @@
 """As-of joins: the last (or next) event of the same key around each row's time.
 
-Both sides go into one stream per key, ordered by time, and the last known
-event is carried forward: one shuffle, no pairs of rows, no time buckets to
-tune. Heavy keys are cut into time slices (:mod:`envspark.operators.slices`).
+Distinct positions of both sides go into one stream per key, ordered by time,
+and the last known event is carried forward through time buckets
+(:mod:`envspark.operators.slices`): no pairs of rows, one lazy plan at any size.
 """
 
 from __future__ import annotations
@@ -12,10 +12,40 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from envspark.functions.times import position
-from envspark.operators.slices import POS, last_known
+from envspark.functions.times import UNITS_PER_HOUR, hours_between, kind_of, position_as
+from envspark.operators.slices import POS, TIME_BITS, VALUE_BITS, last_known
 
-_KEY = "_key"
+_ROW_KEYS = "_key"
+
+
+def _same_kind(left: DataFrame, left_time: str, right: DataFrame, right_time: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with times of one kind. A date meets a timestamp as its midnight; other mixtures are an error."""
+    mine, theirs = kind_of(left, left_time), kind_of(right, right_time)
+    if mine == theirs:
+        return left, right
+    stamps = {"instant": "timestamp", "clock": "timestamp_ntz"}
+    if mine == "day" and theirs in stamps:
+        return left.withColumn(_AT, F.col(left_time).cast(stamps[theirs])), right.withColumn(_AT, F.col(right_time))
+    if theirs == "day" and mine in stamps:
+        return left.withColumn(_AT, F.col(left_time)), right.withColumn(_AT, F.col(right_time).cast(stamps[mine]))
+    raise TypeError(f"{left_time} ({mine}) and {right_time} ({theirs}) are times of different kinds; cast one of them")
+
+
+_AT = "_asof_at"
+
+
+def _positions(left: DataFrame, left_time: str, right: DataFrame, right_time: str) -> tuple[Column, Column, str]:
+    """Comparable positions of both sides, and their kind."""
+    both = _same_kind(left, left_time, right, right_time)
+    mine = _AT if _AT in both[0].columns else left_time
+    theirs = _AT if _AT in both[1].columns else right_time
+    kind = kind_of(both[0], mine)
+    cast = {"instant": "timestamp", "clock": "timestamp_ntz"}.get(kind)
+
+    def at(df: DataFrame, name: str, source: str) -> Column:
+        return position_as(F.col(source).cast(cast) if cast else F.col(source), df.schema[name].dataType)
+
+    return at(both[0], mine, left_time), at(both[1], theirs, right_time), kind
 
 
 def _asof(
@@ -24,42 +54,33 @@ def _asof(
     by: Sequence[tuple[str, str]],
     left_pos: Column,
     right_pos: Column,
+    bits: int,
     strict: bool,
     tie_break: Sequence[Column],
     carry: Sequence[str],
     forward: bool,
-    slice_rows: int | None,
-    plan_on: DataFrame | None = None,
 ) -> DataFrame:
-    keys = [f"{_KEY}{i}" for i in range(len(by))] or [f"{_KEY}all"]
+    """Left rows with the struct ``_event`` found for them.
+
+    Distinct (key, position) pairs are looked up once and joined back to their
+    rows, and of the events at one position only the one that wins the tie
+    goes into the stream, so rows at one single time cannot pile up in a task.
+    """
+    keys = [f"{_ROW_KEYS}{i}" for i in range(len(by))] or [f"{_ROW_KEYS}all"]
     sign = -1 if forward else 1
-    mine = [F.col(l).alias(k) for k, (l, _) in zip(keys, by)] or [F.lit(0).alias(keys[0])]
-    theirs = [F.col(r).alias(k) for k, (_, r) in zip(keys, by)] or [F.lit(0).alias(keys[0])]
+    mine = {k: F.col(l) for k, (l, _) in zip(keys, by)} or {keys[0]: F.lit(0)}
+    theirs = {k: F.col(r) for k, (_, r) in zip(keys, by)} or {keys[0]: F.lit(0)}
+    known = [f"{k} is not null" for k in (*keys, POS)]
+    rows = left.withColumns(mine | {POS: left_pos * sign})
+    tie = F.struct(*tie_break) if tie_break else F.struct(F.lit(0).alias("t"))
+    events = right.select(*[c.alias(k) for k, c in theirs.items()], (right_pos * sign).alias(POS), F.struct(tie.alias("tie"), F.struct(*carry).alias("row")).alias("_event"))
+    events = events.filter(" and ".join(known)).groupBy(*keys, POS).agg(F.max("_event")["row"].alias("_event"))
+    wanted = rows.select(*keys, POS).filter(" and ".join(known)).distinct()
     # at equal positions a strict join must not see the event, so the event sorts after the row
     row_first, event_first = (0, 1) if strict else (1, 0)
-    tie = F.struct(*tie_break) if tie_break else F.struct(F.lit(0).alias("t"))
-    rows = left.select(
-        *mine,
-        (left_pos * sign).alias(POS),
-        F.lit(row_first).alias("_kind"),
-        F.struct(*left.columns).alias("_row"),
-    )
-    events = right.filter(right_pos.isNotNull()).select(
-        *theirs,
-        (right_pos * sign).alias(POS),
-        F.lit(event_first).alias("_kind"),
-        tie.alias("_tie"),
-        F.struct(*carry).alias("_event"),
-    )
-    stream = rows.unionByName(events, allowMissingColumns=True)
-    filled = last_known(stream, keys, [F.col(POS), F.col("_kind"), F.col("_tie")], "_event", slice_rows, plan_on)
-    found = filled.filter(F.col("_row").isNotNull())
-    # a row without a key or a time has no match
-    usable = F.col(POS).isNotNull()
-    for k in keys:
-        usable = usable & F.col(k).isNotNull()
-    event = F.when(usable, F.col("_event"))
-    return found.select("_row.*", *[event[c].alias(c) for c in carry])
+    stream = wanted.withColumn("_kind", F.lit(row_first)).unionByName(events.withColumn("_kind", F.lit(event_first)), allowMissingColumns=True)
+    found = last_known(stream, keys, [F.col(POS), F.col("_kind")], "_event", bits).filter(F.col("_kind") == row_first).drop("_kind")
+    return rows.join(found, [*keys, POS], "left").select(*left.columns, "_event")
 
 
 def _pairs(by) -> list[tuple[str, str]]:
@@ -77,19 +98,24 @@ def asof_backward(
     strict: bool = True,
     tie_break: Sequence[Column] = (),
     carry: Sequence[str] | None = None,
-    slice_rows: int | None = None,
+    bits: int | None = None,
 ) -> DataFrame:
     """Every left row with the latest right event of its key before its time (at or before, unless ``strict``).
 
-    ``by`` holds key names, or (left, right) pairs. Of events at the same time
+    ``by`` holds key names, or (left, right) pairs. Times are of one kind on
+    both sides (a date meets a timestamp as its midnight). Of events at the same time
     the one sorting last by ``tie_break`` is taken. ``carry`` names the right
     columns to add; unmatched rows carry NULL.
     """
     pairs = _pairs(by)
     carry = list(carry or [c for c in right.columns if c not in {r for _, r in pairs}])
-    return _asof(
-        left, right, pairs, position(left, left_time), position(right, right_time), strict, tie_break, carry, False, slice_rows
-    )
+    at, event_at, kind = _positions(left, left_time, right, right_time)
+    found = _asof(left, right, pairs, at, event_at, _bits(kind, bits), strict, tie_break, carry, False)
+    return found.select(*left.columns, *[F.col("_event")[c].alias(c) for c in carry])
+
+
+def _bits(kind: str, bits: int | None) -> int:
+    return bits if bits is not None else TIME_BITS if kind in ("instant", "clock") else VALUE_BITS
 
 
 def asof_forward(
@@ -102,7 +128,7 @@ def asof_forward(
     tie_break: Sequence[Column] = (),
     carry: Sequence[str] | None = None,
     offset_hours: float = 0.0,
-    slice_rows: int | None = None,
+    bits: int | None = None,
 ) -> DataFrame:
     """The earliest right event after (at or after, unless ``strict``) the left time plus ``offset_hours``.
 
@@ -110,10 +136,16 @@ def asof_forward(
     """
     pairs = _pairs(by)
     carry = list(carry or [c for c in right.columns if c not in {r for _, r in pairs}])
-    at = position(left, left_time)
+    at, event_at, kind = _positions(left, left_time, right, right_time)
     if offset_hours:
-        at = at + F.lit(int(offset_hours * 3_600_000_000))
-    return _asof(left, right, pairs, at, position(right, right_time), strict, tie_break, carry, True, slice_rows)
+        if kind not in UNITS_PER_HOUR:
+            raise TypeError(f"{left_time}: a plain number has no hours to move it by")
+        step = offset_hours * UNITS_PER_HOUR[kind]
+        if step != int(step):
+            raise ValueError(f"{offset_hours} hours are no whole number of days, and {left_time} is a date")
+        at = at + F.lit(int(step))
+    found = _asof(left, right, pairs, at, event_at, _bits(kind, bits), strict, tie_break, carry, True)
+    return found.select(*left.columns, *[F.col("_event")[c].alias(c) for c in carry])
 
 
 def asof_with_fallback(
@@ -127,7 +159,7 @@ def asof_with_fallback(
     flag: str,
     tie_break: Sequence[Column] = (),
     carry: Sequence[str] | None = None,
-    slice_rows: int | None = None,
+    bits: int | None = None,
 ) -> DataFrame:
     """Backward as-of; rows with no event within ``max_gap_hours`` take the fallback key's event and ``flag`` false.
 
@@ -140,40 +172,41 @@ def asof_with_fallback(
         raise ValueError(f"the events carry no column {flag}")
     if right_time not in carry:
         carry = [*carry, right_time]
-    gap = (position(left, left_time) - F.col("_event_pos")) / F.lit(3.6e9)
-    events = right.withColumn("_event_pos", position(right, right_time))
-    at, event_at, taken = position(left, left_time), F.col("_event_pos"), [*carry, "_event_pos"]
-    own = _asof(left, events, [pair], at, event_at, True, tie_break, taken, False, slice_rows).withColumn("hours_since", gap)
-    served = F.coalesce(F.col("hours_since") <= max_gap_hours, F.lit(False))
-    default = events.filter(F.col(pair[1]) == F.lit(fallback_key))
-    late = own.filter(~served).select(*left.columns)
-    # all late rows meet in one key; its slices are planned from the input times, not by running the first join again
-    one = F.lit(0).alias(f"{_KEY}all")
-    times = left.select(one, at.alias(POS)).unionByName(default.select(one, event_at.alias(POS)))
-    rescued = (
-        _asof(late, default, [], at, event_at, True, tie_break, taken, False, slice_rows, plan_on=times)
-        .withColumn("hours_since", gap)
-        .withColumn(flag, F.when(F.col("hours_since").isNotNull(), F.lit(False)))
-    )
-    columns = [*left.columns, *carry, "hours_since"]
-    return own.filter(served).select(*columns).unionByName(rescued.select(*columns))
-
-
-def nearest_value(left: DataFrame, right: DataFrame, left_col: str, right_col: str, name: str, slice_rows: int | None = None) -> DataFrame:
+    at, event_at, kind = _positions(left, left_time, right, right_time)
+    if kind not in UNITS_PER_HOUR:
+        raise TypeError(f"{left_time}: a plain number has no hours")
+    width = _bits(kind, bits)
+    own = _asof(left, right, [pair], at, event_at, width, True, tie_break, carry, False).withColumnRenamed("_event", "_own")
+    default = right.filter(F.col(pair[1]) == F.lit(fallback_key))
+    both = _asof(own, default, [], at, event_at, width, True, tie_break, carry, False)
+
+    def gap(event: str) -> Column:
+        return hours_between(F.col(left_time), F.col(event)[right_time])
+
+    served = F.coalesce(gap("_own") <= max_gap_hours, F.lit(False))
+    spare = {c: F.when(F.col("_event").isNotNull(), F.lit(False)) if c == flag else F.col("_event")[c] for c in carry}
+    values = [F.when(served, F.col("_own")[c]).otherwise(spare[c]).alias(c) for c in carry]
+    return both.select(*left.columns, *values, F.when(served, gap("_own")).otherwise(gap("_event")).alias("hours_since"))
+
+
+def _distance(df: DataFrame, high: str, low: str) -> Column:
+    return position_as(F.col(high), df.schema[high].dataType) - position_as(F.col(low), df.schema[low].dataType)
+
+
+def nearest_value(left: DataFrame, right: DataFrame, left_col: str, right_col: str, name: str, bits: int | None = None) -> DataFrame:
     """The value of ``right`` closest to each left value; of two equally close ones the smaller."""
     wanted = left.select(left_col).filter(F.col(left_col).isNotNull()).distinct()
     values = right.select(F.col(right_col).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-    below = asof_backward(wanted, values.withColumnRenamed("_v", "_below"), [], left_col, "_below", strict=False, slice_rows=slice_rows)
-    both = asof_forward(below, values.withColumnRenamed("_v", "_above"), [], left_col, "_above", strict=False, slice_rows=slice_rows)
-    down = position(both, left_col) - position(both, "_below")
-    up = position(both, "_above") - position(both, left_col)
+    below = asof_backward(wanted, values.withColumnRenamed("_v", "_below"), [], left_col, "_below", strict=False, bits=bits)
+    both = asof_forward(below, values.withColumnRenamed("_v", "_above"), [], left_col, "_above", strict=False, bits=bits)
+    down, up = _distance(both, left_col, "_below"), _distance(both, "_above", left_col)
     pick = F.when(F.col("_above").isNull() | (down <= up), F.col("_below")).otherwise(F.col("_above"))
     return left.join(both.select(left_col, pick.alias(name)), left_col, "left")
 
 
-def next_value(left: DataFrame, right: DataFrame, left_col: str, right_col: str, name: str, slice_rows: int | None = None) -> DataFrame:
+def next_value(left: DataFrame, right: DataFrame, left_col: str, right_col: str, name: str, bits: int | None = None) -> DataFrame:
     """The smallest value of ``right`` that is not below each left value; NULL past the last one."""
     wanted = left.select(left_col).filter(F.col(left_col).isNotNull()).distinct()
     values = right.select(F.col(right_col).alias(name)).filter(F.col(name).isNotNull()).distinct()
-    found = asof_forward(wanted, values, [], left_col, name, strict=False, slice_rows=slice_rows)
+    found = asof_forward(wanted, values, [], left_col, name, strict=False, bits=bits)
     return left.join(found, left_col, "left")

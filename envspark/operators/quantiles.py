@@ -1,4 +1,4 @@
-"""Exact order statistics per group that never hold a whole group in one aggregate buffer."""
+"""Exact order statistics per group, from counts per (group, value); no group is ever held in one aggregate buffer."""
 
 from __future__ import annotations
 
@@ -7,36 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from envspark.operators.slices import POS, heavy_keys, join_on, running_sum
-
-BUFFER_VALUES = 1_000_000  # values of one group that an aggregate buffer holds comfortably
+from envspark.operators.slices import POS, VALUE_BITS, join_on, running_sum
 
 
 def group_quantiles(
-    df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], slice_rows: int | None = None
+    df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], bits: int = VALUE_BITS
 ) -> DataFrame:
     """One row per group: ``n_rows``, ``n`` non-NULL values, and ``q``, the exact interpolated quantiles in probs order.
 
-    Groups of ordinary size use the built-in exact percentile. Once some group
-    outgrows one task's buffer, values are first counted per (group, value),
-    ranked by a sliced running sum, and the two neighbours of every wanted rank
-    picked by a plain aggregate.
+    Values are counted per (group, value), ranked by a bucketed running sum, and
+    the two neighbours of every wanted rank picked by a plain aggregate.
     """
     by = list(by)
-    limit = slice_rows or BUFFER_VALUES
     keyed = df if by else df.withColumn("_all", F.lit(0))
     keys = by or ["_all"]
     known = keyed.select(*keys, F.col(col).cast("double").alias(POS))
-    if not heavy_keys(known, keys, limit):
-        out = known.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n_rows"), F.count(POS).alias("n"), F.percentile(POS, [float(p) for p in probs]).alias("q")
-        )
-        return out if by else out.drop("_all")
-
     counts = known.filter(F.col(POS).isNotNull()).groupBy(*keys, POS).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running_sum(counts, keys, {"_cum": "_c"}, slice_rows=limit)
+    ranked = running_sum(counts, keys, {"_cum": "_c"}, bits=bits)
     sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count(POS).alias("n"))
-    placed = join_on(sizes, ranked, keys, "left")
+    # dealt anew, so that the join shuffles both sides and can split a group that holds most values
+    placed = join_on(ranked, sizes.hint("rebalance"), keys)
     picks = []
     for i, p in enumerate(probs):
         at = (F.col("n") - 1) * float(p)
@@ -49,11 +39,11 @@ def group_quantiles(
         at = (F.col("n") - 1) * float(p)
         low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         values.append(low + (high - low) * (at - F.floor(at)))
-    any_value = F.col("n") > 0
-    return picked.select(*by, "n_rows", "n", F.when(any_value, F.array(*values)).alias("q"))
+    found = picked.select(*keys, F.array(*values).alias("q"))
+    return join_on(sizes, found, keys, "left").select(*by, "n_rows", "n", "q")
 
 
-def group_median(df: DataFrame, by: Sequence[str], col: str, name: str | None = None, slice_rows: int | None = None) -> DataFrame:
+def group_median(df: DataFrame, by: Sequence[str], col: str, name: str | None = None) -> DataFrame:
     """One row per group: ``n`` and the exact median."""
-    out = group_quantiles(df, by, col, [0.5], slice_rows)
+    out = group_quantiles(df, by, col, [0.5])
     return out.select(*by, "n", F.col("q")[0].alias(name or f"median_{col}"))

@@ -9,10 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from envspark.operators.slices import heavy_keys, join_on
-from pyspark.sql import types as T
-
-CHUNK_ROWS = 100_000
+from envspark.operators.slices import join_on
 
 
 def append_distinct(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -63,31 +60,14 @@ def unpivot_year(df: DataFrame, ids: Sequence[str], pattern: str, value: str) ->
     return long.filter(F.col(value).isNotNull()).select(*ids, F.regexp_extract("_name", r"\d+", 0).cast("int").alias("year"), value)
 
 
-def nest(df: DataFrame, by: Sequence[str], name: str = "data", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Rows per group as a list column.
-
-    A group longer than ``chunk_rows`` is spread over several lists, numbered
-    in ``chunk``, so that no list grows with the data; every other group is one
-    list with chunk 0.
-    """
-    by = list(by)
+def nest(df: DataFrame, by: Sequence[str], name: str = "data") -> DataFrame:
+    """One row per group with its rows as a list column; a group has to fit in one row, whatever its size."""
     rest = [c for c in df.columns if c not in by]
-    heavy = heavy_keys(df, by, chunk_rows)
-    if heavy:
-        fields = [T.StructField(c, df.schema[c].dataType) for c in by] + [T.StructField("_chunks", T.IntegerType())]
-        rows = [tuple(r[c] for c in by) + (-(-2 * r["_n"] // chunk_rows),) for r in heavy]
-        sizes = df.sparkSession.createDataFrame(rows, T.StructType(fields))
-        spread = join_on(df, F.broadcast(sizes), by, "left")
-        chunk = F.when(F.col("_chunks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rest), F.col("_chunks")).cast("int"))
-        df = spread.withColumn("chunk", chunk).drop("_chunks")
-    else:
-        df = df.withColumn("chunk", F.lit(0))
-    return df.groupBy(*by, "chunk").agg(F.collect_list(F.struct(*rest)).alias(name))
+    return df.groupBy(*by).agg(F.collect_list(F.struct(*rest)).alias(name))
 
 
 def unnest(df: DataFrame, name: str = "data") -> DataFrame:
-    keep = [c for c in df.columns if c not in (name, "chunk")]
-    return df.select(*keep, F.inline(name))
+    return df.select(*[c for c in df.columns if c != name], F.inline(name))
 
 
 def separate(df: DataFrame, col: str, into: Sequence[str], sep: str = " ") -> DataFrame:

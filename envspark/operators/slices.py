@@ -1,61 +1,37 @@
-"""Cutting hot keys into ordered slices, so that ordered windows never meet an unbounded group.
-
-A window over (key, order) puts a whole key into one task. When one key holds
-a third of all rows that task never ends. Here the few heavy keys are found
-first and their order column is cut at its quantiles; every other key stays
-whole. Window work then runs per (key, slice), and what a slice needs from its
-predecessors (the last rows, the last known value, a running total) is carried
-over from a per-slice summary, which keeps the result exact.
-
-What reaches the driver is bounded by construction: at most ``MAX_HOT_KEYS``
-keys (no key outside the heaviest ``n`` can hold more than ``1/n`` of the rows)
-with at most ``MAX_CUTS`` cut points each.
+"""Ordered work along a key's position, for keys of any size, as one lazy plan that is the same at every size.
+
+A window over (key, order) puts a whole key into one task. Here positions fall
+into buckets of a declared width, and buckets into spans of 1024 buckets.
+Windows run per (key, bucket); what a bucket needs from its predecessors comes
+from one row per (key, bucket), carried along the span, and from one row per
+(key, span). Nothing is counted beforehand and no job runs before the result is
+asked for. A task holds one bucket of a key: with micros and the default width
+72 minutes of it, with integers 4096 values, with decimals 1/4096 of a factor e.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_ROWS = 2_000_000  # rows of one key that a single task sorts comfortably
-MAX_HOT_KEYS = 4096
-MAX_CUTS = 1023
-
-SLICE = "_slice"
 POS = "_pos"
-_CUTS = "_cuts"
-_HOT = "_hot"
-
-
-def heavy_keys(df: DataFrame, by: Sequence[str], min_rows: int) -> list:
-    """The keys with more than ``min_rows`` rows, heaviest first, at most ``MAX_HOT_KEYS`` of them."""
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.filter(F.col("_n") > min_rows).orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).collect()
+_KEY, _BUCKET, _SPAN = "_slice_key", "_slice_bucket", "_slice_span"
 
+#: Low bits of a position inside one bucket: 2^32 micros are 72 minutes. The width changes tasks, never results.
+TIME_BITS, VALUE_BITS = 32, 12
+SPAN_BITS = 10
 
-@dataclass(frozen=True)
-class Slices:
-    """Cut points of the heavy keys; ``hot`` has one row per heavy key: the key columns and an array of cuts."""
+#: Rows of one key that a window with a short reach sees at a time.
+BLOCK_ROWS = 1_000_000
 
-    by: tuple[str, ...]
-    hot: DataFrame
 
-    def tag(self, df: DataFrame) -> DataFrame:
-        """Add the slice number: how many cuts lie at or below the row's position (0 for all other keys)."""
-        steps = ",".join(str(1 << b) for b in reversed(range(MAX_CUTS.bit_length())))
-        search = f"aggregate(array({steps}), 0, (lo, s) -> if(get({_CUTS}, lo + s - 1) <= {POS}, lo + s, lo))"
-        tagged = join_on(df, F.broadcast(self.hot), self.by, "left")  # at most MAX_HOT_KEYS rows
-        number = F.when(F.col(_CUTS).isNull(), F.lit(0)).otherwise(F.expr(search))
-        return tagged.select(*df.columns, number.alias(SLICE), F.col(_CUTS).isNotNull().alias(_HOT))
-
-    def numbers(self) -> DataFrame:
-        """Every (heavy key, slice)."""
-        return self.hot.select(*self.by, F.explode(F.sequence(F.lit(0), F.size(_CUTS))).alias(SLICE))
+def position_bits(df: DataFrame, name: str) -> int:
+    """The bucket width for positions along a column: time in micros, or plain values."""
+    return TIME_BITS if isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType)) else VALUE_BITS
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -65,39 +41,58 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(theirs, condition, how).drop(*[f"_r_{c}" for c in keys])
 
 
-def plan_slices(df: DataFrame, by: Sequence[str], slice_rows: int | None = None) -> Slices | None:
-    """Cut points for the keys of ``df`` that are too big for one task; None when there are none.
+def _bucketed(df: DataFrame, by: Sequence[str], bits: int) -> DataFrame:
+    """The rows with their key as one struct (in which NULL equals NULL), bucket and span; both grow with ``_pos``."""
+    kind = df.schema[POS].dataType
+    at = F.col(POS)
+    if isinstance(kind, T.IntegralType):
+        bucket = F.shiftright(at.cast("long"), bits)
+    else:
+        size = F.signum(at.cast("double")) * F.asinh(F.abs(at.cast("double")) * 1e6)
+        bucket = F.floor(size * float(1 << bits))
+    # a NULL position sorts first, and so does its bucket
+    rows = df.withColumns({_KEY: F.struct(*by), _BUCKET: F.coalesce(bucket.cast("long"), F.lit(-(1 << 63)).cast("long"))})
+    return rows.withColumn(_SPAN, F.shiftright(_BUCKET, SPAN_BITS))
+
+
+def _earlier(partition: Sequence[str], step: Column):
+    return Window.partitionBy(*partition).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running_sum(
+    df: DataFrame, by: Sequence[str], sums: dict[str, str], descending: bool = False, bits: int = VALUE_BITS, order: Sequence[Column] = ()
+) -> DataFrame:
+    """Inclusive running sums ``{new: source}`` along ``_pos``; rows are unique per (key, ``_pos``), or by ``order``."""
+    way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    rows = _bucketed(df, by, bits)
+    frame = Window.partitionBy(_KEY, _BUCKET).orderBy(*(order or [way(POS)])).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumns({new: F.sum(src).over(frame) for new, src in sums.items()})
+    buckets = rows.groupBy(_KEY, _BUCKET, _SPAN).agg(*[F.sum(src).alias(f"_sum_{new}") for new, src in sums.items()])
+    spans = buckets.groupBy(_KEY, _SPAN).agg(*[F.sum(f"_sum_{new}").alias(f"_sum_{new}") for new in sums])
+    of_span = spans.select(_KEY, _SPAN, *[F.sum(f"_sum_{new}").over(_earlier([_KEY], way(_SPAN))).alias(f"_far_{new}") for new in sums])
+    of_bucket = buckets.select(_KEY, _SPAN, _BUCKET, *[F.sum(f"_sum_{new}").over(_earlier([_KEY, _SPAN], way(_BUCKET))).alias(f"_near_{new}") for new in sums])
+    before = of_bucket.join(of_span, [_KEY, _SPAN]).drop(_SPAN)
+    zero = F.lit(0)
+    total = {new: F.col(new) + F.coalesce(F.col(f"_near_{new}"), zero) + F.coalesce(F.col(f"_far_{new}"), zero) for new in sums}
+    return local.join(before, [_KEY, _BUCKET]).withColumns(total).select(*df.columns, *sums)
+
+
+def last_known(rows: DataFrame, by: Sequence[str], order: Sequence[Column], payload: str, bits: int = VALUE_BITS) -> DataFrame:
+    """Replace ``payload`` by its last non-NULL value at or before each row.
 
-    ``df`` carries its position in the column ``_pos``.
+    ``rows`` carries ``_pos``, not NULL, and ``order`` is led by it; a (key,
+    ``_pos``) has a bounded number of rows.
     """
-    slice_rows = slice_rows or SLICE_ROWS
-    by = tuple(by)
-    rows = heavy_keys(df, by, slice_rows)
-    if not rows:
-        return None
-    spark = df.sparkSession
-    fields = [df.schema[c] for c in by]
-    keys = spark.createDataFrame(
-        [tuple(r[c] for c in by) + (r["_n"],) for r in rows],
-        T.StructType([T.StructField(f.name, f.dataType, True) for f in fields] + [T.StructField("_n", T.LongType())]),
-    )
-    pieces = max(2, min(MAX_CUTS + 1, -(-rows[0]["_n"] // slice_rows)))
-    cuts = (
-        join_on(df, F.broadcast(keys), by)
-        .groupBy(*by)
-        .agg(
-            F.percentile_approx(POS, [i / pieces for i in range(1, pieces)], 10_000).alias(_CUTS),
-            F.first("_n").alias("_n"),
-        )
-        .collect()
-    )
-    thinned = []
-    for r in cuts:
-        stride = max(1, pieces // max(2, -(-r["_n"] // slice_rows)))
-        thinned.append(tuple(r[c] for c in by) + (sorted({c for c in r[_CUTS][stride - 1 :: stride] if c is not None}),))
-    kind = T.ArrayType(df.schema[POS].dataType)
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields] + [T.StructField(_CUTS, kind)])
-    return Slices(by, spark.createDataFrame(thinned, schema))
+    placed = _bucketed(rows, by, bits)
+    frame = Window.partitionBy(_KEY, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.withColumn(payload, F.last(payload, ignorenulls=True).over(frame))
+    known = F.col(payload).isNotNull()
+    buckets = placed.groupBy(_KEY, _BUCKET, _SPAN).agg(F.max_by(payload, F.when(known, F.struct(*order))).alias(payload))
+    spans = buckets.groupBy(_KEY, _SPAN).agg(F.max_by(payload, F.when(known, F.col(_BUCKET))).alias(payload))
+    of_span = spans.select(_KEY, _SPAN, F.last(payload, ignorenulls=True).over(_earlier([_KEY], F.col(_SPAN))).alias("_far"))
+    of_bucket = buckets.select(_KEY, _SPAN, _BUCKET, F.last(payload, ignorenulls=True).over(_earlier([_KEY, _SPAN], F.col(_BUCKET))).alias("_near"))
+    before = of_bucket.join(of_span, [_KEY, _SPAN]).select(_KEY, _BUCKET, F.coalesce("_near", "_far").alias("_before"))
+    return local.join(before, [_KEY, _BUCKET]).withColumn(payload, F.coalesce(payload, "_before")).select(*rows.columns)
 
 
 def over_order(
@@ -107,114 +102,27 @@ def over_order(
     build: Callable[[Window], dict[str, Column]],
     before: int = 0,
     after: int = 0,
-    slice_rows: int | None = None,
-    plan_on: DataFrame | None = None,
+    bits: int = VALUE_BITS,
+    block_rows: int = BLOCK_ROWS,
     bounded: bool = False,
 ) -> DataFrame:
     """Window columns that look at most ``before`` rows back and ``after`` rows ahead.
 
     ``df`` carries ``_pos``; ``order`` is the full row order, led by ``_pos``
     and unique within a key. ``build`` maps a window to the columns to add.
-    ``plan_on`` holds keys and positions of a cheaper superset of the rows;
-    ``bounded`` states that no key can outgrow a task, and skips the check.
+    Every row gets its rank within its key, ranks are cut into blocks, and the
+    rows at a block's edges visit the next block. ``bounded`` states that no
+    key can outgrow a task, as in a daily series; then one window does.
     """
-    by = list(by)
-    slices = None if bounded else plan_slices(df if plan_on is None else plan_on, by, slice_rows)
-    if slices is None:
+    if bounded:
         return df.withColumns(build(Window.partitionBy(*by).orderBy(*order)))
-    reach = max(before, after)
-    tagged = slices.tag(df).withColumn("_home", F.lit(True))
-    hot = tagged.filter(_HOT)
-    rank = Window.partitionBy(*by, SLICE)
-
-    # the edges of every slice: a bounded number of rows per (heavy key, slice)
-    def edge(direction: list[Column]) -> DataFrame:
-        return hot.withColumn("_edge", F.row_number().over(rank.orderBy(*direction))).filter(F.col("_edge") <= reach).drop("_edge")
-
-    reverse = [F.struct(*order).desc()]
-    forward = [F.struct(*order).asc()]
-    halos = []
-    if before:
-        halos.append(_halo(edge(reverse), by, order, back=True, reach=before))
-    if after:
-        halos.append(_halo(edge(forward), by, order, back=False, reach=after))
-    whole = tagged
-    for halo in halos:
-        whole = whole.unionByName(halo.select(*tagged.columns))
-    window = Window.partitionBy(*by, SLICE).orderBy(*order)
-    return whole.withColumns(build(window)).filter("_home").drop("_home", SLICE, _HOT)
-
-
-def _halo(edges: DataFrame, by: list[str], order: Sequence[Column], back: bool, reach: int) -> DataFrame:
-    """For every slice the ``reach`` rows of the key just outside it, marked as visitors of that slice."""
-    ranked = edges.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    spans = ranked.groupBy(*by, SLICE).agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
-    if back:
-        reach_rows = F.sequence(F.greatest(F.col("_lo") - reach, F.lit(1)), F.col("_lo") - 1)
-        spans = spans.filter("_lo > 1")
-    else:
-        reach_rows = F.sequence(F.col("_hi") + 1, F.col("_hi") + reach)
-    wanted = spans.select(*by, F.col(SLICE).alias("_for"), F.explode(reach_rows).alias("_at"))
-    visitors = join_on(ranked, wanted, [*by, "_at"])
-    return visitors.withColumn(SLICE, F.col("_for")).withColumn("_home", F.lit(False)).drop("_at", "_for")
-
-
-def running_sum(
-    df: DataFrame, by: Sequence[str], sums: dict[str, str], descending: bool = False, slice_rows: int | None = None
-) -> DataFrame:
-    """Inclusive running sums ``{new: source}`` along ``_pos``; rows are unique per (key, ``_pos``)."""
-    by = list(by)
-    order = F.col(POS).desc() if descending else F.col(POS).asc()
-    slices = plan_slices(df, by, slice_rows)
-    if slices is None:
-        frame = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({new: F.sum(src).over(frame) for new, src in sums.items()})
-    tagged = slices.tag(df)
-    frame = Window.partitionBy(*by, SLICE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = tagged.withColumns({new: F.sum(src).over(frame) for new, src in sums.items()})
-    step = F.col(SLICE).desc() if descending else F.col(SLICE).asc()
-    earlier = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    # one row per (heavy key, slice), so this window is at most MAX_CUTS + 1 rows a key
-    totals = tagged.filter(_HOT).groupBy(*by, SLICE).agg(*[F.sum(src).alias(f"_sum_{new}") for new, src in sums.items()])
-    offsets = totals.select(*by, SLICE, *[F.sum(f"_sum_{new}").over(earlier).alias(f"_off_{new}") for new in sums])
-    joined = join_on(local, offsets, [*by, SLICE], "left")
-    shifted = {new: F.col(new) + F.coalesce(F.col(f"_off_{new}"), F.lit(0)) for new in sums}
-    return joined.withColumns(shifted).drop(SLICE, _HOT, *[f"_off_{new}" for new in sums])
-
-
-def last_known(
-    rows: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column],
-    payload: str,
-    slice_rows: int | None = None,
-    plan_on: DataFrame | None = None,
-) -> DataFrame:
-    """Replace ``payload`` by its last non-NULL value at or before each row.
-
-    ``rows`` carries ``_pos`` (rows of equal position stay together) and
-    ``order`` is led by it. ``plan_on`` holds keys and positions to plan the
-    slices from where a cheaper superset of ``rows`` is at hand.
-    """
-    by = list(by)
-    columns = rows.columns
-    slices = plan_slices(rows if plan_on is None else plan_on, by, slice_rows)
-    if slices is None:
-        frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn(payload, F.last(payload, ignorenulls=True).over(frame))
-    tagged = slices.tag(rows).withColumn("_first", F.lit(1))
-    ends = (
-        tagged.filter(F.col(_HOT) & F.col(payload).isNotNull())
-        .groupBy(*by, SLICE)
-        .agg(F.max_by(payload, F.struct(*order)).alias(payload))
-    )
-    earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        join_on(slices.numbers(), ends, [*by, SLICE], "left")
-        .withColumn(payload, F.last(payload, ignorenulls=True).over(earlier))
-        .filter(F.col(payload).isNotNull())
-        .withColumn("_first", F.lit(0))
-    )
-    whole = tagged.unionByName(carried, allowMissingColumns=True)
-    frame = Window.partitionBy(*by, SLICE).orderBy("_first", *order).rowsBetween(Window.unboundedPreceding, 0)
-    return whole.withColumn(payload, F.last(payload, ignorenulls=True).over(frame)).filter("_first = 1").select(*columns)
+    ranked = running_sum(df.withColumn("_one", F.lit(1)), by, {"_rank": "_one"}, bits=bits, order=order).drop("_one")
+    at, block = F.col("_rank") - 1, F.floor((F.col("_rank") - 1) / block_rows)
+    targets = F.array_compact(F.array(
+        block,
+        F.when(at % block_rows >= block_rows - before, block + 1),
+        F.when(at % block_rows < after, block - 1),
+    ))
+    whole = ranked.withColumns({"_home": block, "_block": F.explode(targets), _KEY: F.struct(*by)})
+    window = Window.partitionBy(_KEY, "_block").orderBy("_rank")
+    return whole.withColumns(build(window)).filter("_home = _block").drop("_home", "_block", "_rank", _KEY)

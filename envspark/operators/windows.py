@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from envspark.functions.measures import rolling_sum
-from envspark.functions.times import position
-from envspark.operators.slices import POS, join_on, last_known, over_order
+from envspark.functions.times import elapsed_hours, position
+from envspark.operators.slices import BLOCK_ROWS, POS, join_on, last_known, over_order, position_bits
 
 
 def phase_features(
@@ -20,29 +20,31 @@ def phase_features(
     range_name: str = "tide_range_ft",
     duration_name: str = "tide_duration_hrs",
     max_hours: float = 8.0,
-    slice_rows: int | None = None,
 ) -> DataFrame:
     """Change to the next turning point and hours until it; longer phases than ``max_hours`` have no duration.
 
-    Repeated (station, time) rows are taken once.
+    Of rows repeating a (station, time) the one with the highest level counts,
+    then the one whose other columns sort last. Hours are elapsed time: wall
+    clocks (TIMESTAMP_NTZ) are read in the session zone.
     """
-    points = df.dropDuplicates([station, time]).withColumn(POS, position(df, time))
+    rest = [level, *[c for c in df.columns if c not in (station, time, level)]]
+    points = df.groupBy(station, time).agg(F.max(F.struct(*rest)).alias("_row")).select(station, time, "_row.*").select(*df.columns)
+    points = points.withColumn(POS, position(df, time))
 
     def build(w):
-        hours = (F.lead(POS).over(w) - F.col(POS)) / F.lit(3.6e9)
+        hours = elapsed_hours(df, time, F.lead(time).over(w), F.col(time))
         return {range_name: F.lead(level).over(w) - F.col(level), duration_name: F.when(hours <= max_hours, hours)}
 
-    raw = df.select(station, position(df, time).alias(POS))
-    return over_order(points, [station], [F.col(POS)], build, after=1, slice_rows=slice_rows, plan_on=raw).drop(POS)
+    return over_order(points, [station], [F.col(POS)], build, after=1, bits=position_bits(df, time)).drop(POS)
 
 
 def lag_sum(
-    df: DataFrame, by: Sequence[str], order: str, col: str, lags: Sequence[int], name: str, slice_rows: int | None = None, bounded: bool = False
+    df: DataFrame, by: Sequence[str], order: str, col: str, lags: Sequence[int], name: str, bounded: bool = False, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Sum of earlier rows' values, NULL when any of them is missing; one row per (by, order).
 
     ``bounded`` states that a key has no more rows than a task sorts, as in a
-    daily series, and saves the look for heavy keys.
+    daily series; then one window per key does.
     """
     rows = df.withColumn(POS, position(df, order))
 
@@ -50,16 +52,16 @@ def lag_sum(
         first, *rest = [F.lag(col, k).over(w) for k in lags]
         return {name: sum(rest, first)}
 
-    return over_order(rows, by, [F.col(POS)], build, before=max(lags), slice_rows=slice_rows, bounded=bounded).drop(POS)
+    return over_order(rows, by, [F.col(POS)], build, before=max(lags), bits=position_bits(df, order), block_rows=block_rows, bounded=bounded).drop(POS)
 
 
 def roll_sum(
-    df: DataFrame, by: Sequence[str], order: str, col: str, n: int, name: str, slice_rows: int | None = None, bounded: bool = False
+    df: DataFrame, by: Sequence[str], order: str, col: str, n: int, name: str, bounded: bool = False, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Right-aligned n-row sum; NULL while incomplete or over a NULL; one row per (by, order). ``bounded`` as in :func:`lag_sum`."""
     rows = df.withColumn(POS, position(df, order))
     build = lambda w: {name: rolling_sum(col, n, w)}
-    return over_order(rows, by, [F.col(POS)], build, before=n - 1, slice_rows=slice_rows, bounded=bounded).drop(POS)
+    return over_order(rows, by, [F.col(POS)], build, before=n - 1, bits=position_bits(df, order), block_rows=block_rows, bounded=bounded).drop(POS)
 
 
 def impute_group_mean(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -87,7 +89,7 @@ def group_extreme(df: DataFrame, by: Sequence[str], name: str, expression: Colum
 
 
 def section_fill(
-    df: DataFrame, order: str, is_header: Column, name: Column, into: str, by: Sequence[str] = (), slice_rows: int | None = None
+    df: DataFrame, order: str, is_header: Column, name: Column, into: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Rows of a sectioned list with their section's name; the header rows themselves are dropped.
 
@@ -97,5 +99,5 @@ def section_fill(
     rows = df if by else df.withColumn("_all", F.lit(0))
     header = F.coalesce(is_header, F.lit(False))
     rows = rows.withColumns({POS: position(df, order), into: F.when(header, name), "_header": header})
-    filled = last_known(rows, keys, [F.col(POS)], into, slice_rows)
+    filled = last_known(rows, keys, [F.col(POS)], into, position_bits(df, order))
     return filled.filter(~F.col("_header")).select(*df.columns, into)

@@ -47,15 +47,15 @@ def test_forward_looks_from_the_offset(spark):
     assert asof_forward(left, right, "k", "t", "rt").first()["v"] == 3
 
 
-@pytest.mark.parametrize("slice_rows", [None, 7])
-def test_asof_against_brute_force_with_a_hot_key(spark, slice_rows):
+@pytest.mark.parametrize("bits", [None, 1, 3])
+def test_asof_against_brute_force_with_a_hot_key(spark, bits):
     rng = random.Random(5)
     key = lambda: rng.choice(["hot", "hot", "hot", "a", "b"])
     lefts = [(i, key(), rng.randrange(60)) for i in range(150)]
     rights = [(i, key(), rng.randrange(60)) for i in range(150)]
     left = spark.createDataFrame(lefts, "i int, k string, t int")
     right = spark.createDataFrame(rights, "j int, k string, rt int")
-    got = {r["i"]: r["j"] for r in asof_backward(left, right, "k", "t", "rt", tie_break=[F.col("j")], slice_rows=slice_rows).collect()}
+    got = {r["i"]: r["j"] for r in asof_backward(left, right, "k", "t", "rt", tie_break=[F.col("j")], bits=bits).collect()}
     want = {}
     for i, k, t in lefts:
         before = [(rt, j) for j, rk, rt in rights if rk == k and rt < t]
@@ -63,14 +63,14 @@ def test_asof_against_brute_force_with_a_hot_key(spark, slice_rows):
     assert got == want
 
 
-@pytest.mark.parametrize("slice_rows", [None, 5])
-def test_nearest_and_next_value(spark, slice_rows):
+@pytest.mark.parametrize("bits", [None, 0, 2])
+def test_nearest_and_next_value(spark, bits):
     values = spark.createDataFrame([(float(v),) for v in range(0, 100, 10)], "v double")
     rows = [(-3.0,), (15.0,), (16.0,), (90.0,), (200.0,), (None,)]
     wanted = spark.createDataFrame(rows, "x double")
-    got = {r["x"]: r["n"] for r in nearest_value(wanted, values, "x", "v", "n", slice_rows).collect()}
+    got = {r["x"]: r["n"] for r in nearest_value(wanted, values, "x", "v", "n", bits).collect()}
     assert got == {-3.0: 0.0, 15.0: 10.0, 16.0: 20.0, 90.0: 90.0, 200.0: 90.0, None: None}
-    got = {r["x"]: r["n"] for r in next_value(wanted, values, "x", "v", "n", slice_rows).collect()}
+    got = {r["x"]: r["n"] for r in next_value(wanted, values, "x", "v", "n", bits).collect()}
     assert got == {-3.0: 0.0, 15.0: 20.0, 16.0: 20.0, 90.0: 90.0, 200.0: None, None: None}
 
 

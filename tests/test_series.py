@@ -23,7 +23,7 @@ from envspark.operators import (
     unnest,
     unswap,
 )
-from envspark.operators.slices import POS, heavy_keys, plan_slices, running_sum
+from envspark.operators.slices import POS, over_order, running_sum
 from envspark.streaming import missing_keys, top_up
 
 D0 = dt.date(2024, 1, 1)
@@ -54,42 +54,83 @@ def test_sliced_windows_equal_plain_ones(spark, fn):
     rows = [(rng.choice(["hot", "hot", "hot", "x", "y"]), i, float(rng.randrange(100))) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, t long, v double")
 
-    def run(slice_rows):
-        if fn == "roll":
-            out = roll_sum(df, ["k"], "t", "v", 7, "s", slice_rows=slice_rows)
-        elif fn == "lag":
-            out = lag_sum(df, ["k"], "t", "v", [1, 2], "s", slice_rows=slice_rows)
-        else:
-            out = phase_features(df, "k", "t", "v", range_name="s", slice_rows=slice_rows)
-        return sorted((r["k"], r["t"], r["s"]) for r in out.collect() if r["s"] is not None), out.count()
+    def run(bits, block):
+        rows = df.dropDuplicates(["k", "t"]).withColumn(POS, F.col("t"))
+        build = {
+            "roll": lambda w: {"s": F.sum("v").over(w.rowsBetween(-6, 0))},
+            "lag": lambda w: {"s": F.lag("v", 1).over(w) + F.lag("v", 2).over(w)},
+            "phase": lambda w: {"s": F.lead("v").over(w) - F.col("v")},
+        }[fn]
+        out = over_order(rows, ["k"], [F.col(POS)], build, before=6, after=1, bits=bits, block_rows=block)
+        return sorted((r["k"], r["t"], str(r["s"])) for r in out.collect())
 
-    assert run(None) == run(20) == run(3)
+    plain = over_order(df.withColumn(POS, F.col("t")), ["k"], [F.col(POS)], lambda w: {"s": F.lit(0)}, bounded=True)
+    assert plain.count() == len(run(12, 1000)) == 400
+    assert run(12, 1000) == run(3, 20) == run(6, 7)
 
 
 @pytest.mark.parametrize("descending", [False, True])
 def test_sliced_running_sum(spark, descending):
     rows = [(k, float(i), i % 5) for k in ("hot", "b") for i in range(300 if k == "hot" else 4)]
     df = spark.createDataFrame(rows, f"k string, {POS} double, n long")
-    run = lambda s: sorted(tuple(r) for r in running_sum(df, ["k"], {"c": "n"}, descending, s).collect())
-    assert run(None) == run(25)
-
-
-def test_slices_are_even_and_bounded(spark):
-    df = spark.range(10_000).select(F.lit("hot").alias("k"), (F.col("id") * F.col("id")).alias(POS))
-    slices = plan_slices(df, ["k"], 500)
-    sizes = [r["count"] for r in slices.tag(df).groupBy("_slice").count().collect()]
-    assert len(sizes) == 20 and max(sizes) < 700 and sum(sizes) == 10_000
-    assert heavy_keys(df, ["k"], 10_000) == []
-
-
-@pytest.mark.parametrize("limit", [None, 30])
-def test_exact_quantiles(spark, limit):
+    run = lambda bits: sorted(tuple(r) for r in running_sum(df, ["k"], {"c": "n"}, descending, bits).collect())
+    assert run(12) == run(2) == run(20)
+    ahead = [r for r in rows if r[0] == "hot" and (r[1] >= 7 if descending else r[1] <= 7)]
+    assert ("hot", 7.0, 2, sum(n for _, _, n in ahead)) in run(4)
+
+
+def jobs_started(spark, define):
+    """Jobs that defining a frame starts, before anything is asked of it."""
+    spark.sparkContext.setJobGroup("definition", "")
+    try:
+        define()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("definition"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_ordered_work_starts_no_jobs_when_defined(spark):
+    from envspark.models import roc_curve
+    from envspark.operators import asof_backward, asof_forward, asof_with_fallback, nearest_value, next_value, profile
+
+    rows = spark.createDataFrame([("a", D0, 1.0, True)], "k string, t date, v double, good boolean")
+    events = rows.withColumnsRenamed({"t": "rt", "v": "rv"})
+    for define in (
+        lambda: asof_backward(rows, events, "k", "t", "rt", carry=["rv"]),
+        lambda: asof_forward(rows, events, "k", "t", "rt", carry=["rv"]),
+        lambda: asof_with_fallback(rows.drop("good"), events, "k", "t", "rt", 8.0, "z", "good", carry=["rv", "good"]),
+        lambda: nearest_value(rows, events, "v", "rv", "n"),
+        lambda: next_value(rows, events, "v", "rv", "n"),
+        lambda: phase_features(rows, "k", "t", "v"),
+        lambda: lag_sum(rows, ["k"], "t", "v", [1, 2], "s"),
+        lambda: group_quantiles(rows, ["k"], "v", [0.5]),
+        lambda: box_stats(rows, ["k"], "v"),
+        lambda: profile(rows, ["v"]),
+        lambda: roc_curve(rows, "k", {"a": "v"}),
+        lambda: nest(rows, ["k"]),
+    ):
+        assert jobs_started(spark, define) == 0
+
+
+def test_a_third_of_all_rows_at_one_time(spark):
+    from envspark.operators import asof_backward
+
+    n = 3000
+    left = spark.range(n).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.when(F.col("id") % 3 == 0, 100).otherwise(F.col("id")).alias("t"))
+    right = spark.createDataFrame([("hot", t % 99, t) for t in range(400)] + [("hot", 100, -1)], "k string, rt long, x long")
+    for bits in (0, 3, 12):
+        got = asof_backward(left, right, "k", "t", "rt", tie_break=[F.col("x")], bits=bits).groupBy("x").count().collect()
+        assert {r["x"]: r["count"] for r in got} == {395: 1000, None: 2000}
+
+
+@pytest.mark.parametrize("bits", [12, 2])
+def test_exact_quantiles(spark, bits):
     import numpy as np
 
     rng = random.Random(2)
     rows = [(k, round(rng.lognormvariate(3, 2), 2)) for k, n in (("hot", 500), ("b", 3), ("c", 1)) for _ in range(n)] + [("d", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r["k"]: (r["n"], r["q"]) for r in group_quantiles(df, ["k"], "v", [0, 0.25, 0.5, 0.9, 1], limit).collect()}
+    got = {r["k"]: (r["n"], r["q"]) for r in group_quantiles(df, ["k"], "v", [0, 0.25, 0.5, 0.9, 1], bits).collect()}
     for k in ("hot", "b", "c"):
         data = [v for kk, v in rows if kk == k]
         assert got[k][0] == len(data)
@@ -97,11 +138,10 @@ def test_exact_quantiles(spark, limit):
     assert got["d"] == (0, None)
 
 
-@pytest.mark.parametrize("limit", [None, 5])
-def test_section_fill(spark, limit):
+def test_section_fill(spark):
     rows = [(i, "" if i % 6 == 2 else str(i), f"n{i}") for i in range(30)]
     df = spark.createDataFrame(rows, "row long, id string, name string")
-    got = {r["row"]: r["area"] for r in section_fill(df, "row", F.col("id") == "", F.col("name"), "area", slice_rows=limit).collect()}
+    got = {r["row"]: r["area"] for r in section_fill(df, "row", F.col("id") == "", F.col("name"), "area").collect()}
     assert len(got) == 25 and got[1] is None and got[3] == "n2" and got[13] == "n8" and got[29] == "n26"
 
 
@@ -146,11 +186,11 @@ def test_top_up_twice_is_once(spark):
     assert missing_keys(new, append_distinct(old, new, ["id"]), ["id"]).count() == 0
 
 
-def test_nest_spreads_long_groups_and_loses_nothing(spark):
-    df = spark.createDataFrame([("hot", i) for i in range(300)] + [("b", 1)], "k string, v int")
-    nested = nest(df, ["k"], chunk_rows=50)
-    assert max(r["n"] for r in nested.select(F.size("data").alias("n")).collect()) <= 50
-    assert sorted(unnest(nested).collect()) == sorted(df.collect())
+def test_nest_gives_one_row_per_group_and_loses_nothing(spark):
+    df = spark.createDataFrame([("hot", i % 7) for i in range(300)] + [("b", 1), (None, 2)], "k string, v int")
+    nested = nest(df, ["k"])
+    assert {r["k"]: r["n"] for r in nested.select("k", F.size("data").alias("n")).collect()} == {"hot": 300, "b": 1, None: 1}
+    assert sorted(unnest(nested).collect(), key=repr) == sorted(df.collect(), key=repr)
 
 
 def test_swap_reads_old_values(spark):
