@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from envspark.models.estimators import HandTillEvaluator, augment, cardinality, label_index, rf_classifier, tune
+from envspark.models.estimators import HandTillEvaluator, augment, label_index, rf_classifier, tune
 from envspark.models.evaluate import confusion, metrics, roc_curve
 from envspark.models.grouped_ols import ols_by
 from envspark.models.splits import fold_column, split_stratified
@@ -28,11 +28,12 @@ def train_classifier(
     """Stratified split, forest on the training part; returns model, train and test rows.
 
     The split table is written once: every pass of the training reads it back.
+    ``max_bins`` among ``forest`` has to cover every categorical column's
+    values (64 by default); the training raises an error where it does not.
     """
     rows = label_index(df.select(key, label, *numeric, *categorical).dropna(), label, levels)
     parts = staged(split_stratified(rows, label, prop, key, seed), "split")
     train, test = parts.filter("split = 'train'").drop("split"), parts.filter("split = 'test'").drop("split")
-    forest.setdefault("max_bins", max(32, cardinality(parts, categorical) + 1))
     model = rf_classifier(numeric, categorical, seed=seed, **forest).fit(train)
     return model, train, test
 
@@ -70,10 +71,11 @@ def compare_feature_sets(
 
 
 def best_group_models(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], min_n: int = 100) -> DataFrame:
-    """One regression per group, without exact fits and small groups, best R² first."""
+    """One regression per group, without exact fits and small groups, best R² first; ``best`` marks the highest, with ties."""
     fits = ols_by(df, by, y, xs)
     kept = fits.filter((F.col("nobs") > min_n) & ~(F.round("r_squared", 12) == 1.0))
-    return kept.orderBy(F.desc("r_squared"), *by)
+    top = kept.agg(F.max(F.round("r_squared", 9))).scalar()
+    return kept.withColumn("best", F.round("r_squared", 9) == top).orderBy(F.desc("r_squared"), *by)
 
 
 def log_level(df: DataFrame, level: str, name: str, warm: Column | None = None) -> DataFrame:

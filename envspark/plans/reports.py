@@ -37,8 +37,13 @@ def stations_per_year(df: DataFrame, site: str, date: str) -> DataFrame:
 
 
 def weather_gauges(weather: DataFrame, dates: DataFrame, bins: int = 5) -> DataFrame:
-    """Daily gauge values on sampled dates: temperature, seven-day rain, and a colour bin of each (date, temp, rain)."""
-    rolled = roll_sum(weather.withColumn("_series", F.lit(0)), ["_series"], "date", "rain", 7, "rain_7d", bounded=True).drop("_series")
+    """Daily gauge values on sampled dates: temperature, seven-day rain, and a colour bin of each (date, temp, rain).
+
+    ``weather`` is one station's series; of repeated rows of a date the one
+    with the most rain counts, so the series is at most as long as the calendar.
+    """
+    daily = weather.groupBy("date").agg(F.max(F.struct("rain", "temp")).alias("_row")).select("date", "_row.*")
+    rolled = roll_sum(daily.withColumn("_series", F.lit(0)), ["_series"], "date", "rain", 7, "rain_7d", bounded=True).drop("_series")
     sampled = rolled.join(dates.select("date").distinct(), "date", "left_semi")
     return bin_equal(bin_equal(sampled, "temp", bins), "rain_7d", bins)
 

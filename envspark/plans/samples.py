@@ -120,21 +120,27 @@ def sample_features(samples: DataFrame, sites: DataFrame, labs: DataFrame | None
     return drop_na(df)
 
 
+def _once(links: DataFrame, key: list[str]) -> DataFrame:
+    rest = [c for c in links.columns if c not in key]
+    return links.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_row")).select(*key, "_row.*")
+
+
 def model_table(samples: DataFrame, sites: DataFrame, tides: DataFrame, temperature: DataFrame, rain: DataFrame, sheet_prefix: str = "sheet_") -> DataFrame:
     """Samples with place, tide position, temperature and gauge rain: one row per sample.
 
     Tides are linked on (site_id, sample_time), weather on (site_id, date).
     Links of a site's further samples on the same day repeat the same values,
-    so each key is taken once and no site-day is multiplied with itself.
+    so each key is taken once and no site-day is multiplied with itself; where
+    repeats differ, the row sorting last counts.
     """
     base = samples.select("bacteria", "quality", "site_id", "date", "sample_time", "precip_t0", "precip_t1", "precip_48")
     base = base.withColumnsRenamed({c: f"{sheet_prefix}{c}" for c in ("precip_t0", "precip_t1", "precip_48")})
     places = sites.select("site_id", "site", *[c for c in PLACE_LEVELS if c in sites.columns])
-    tide = tides.select("site_id", "sample_time", "tide_level", "hours_since_last", "current").dropDuplicates(["site_id", "sample_time"])
-    warm = temperature.select("site_id", "date", "temperature_f").dropDuplicates(["site_id", "date"])
+    tide = tides.select("site_id", "sample_time", "tide_level", "hours_since_last", "current")
+    warm = temperature.select("site_id", "date", "temperature_f")
     wet = rain.select("site_id", "date", F.col("precip_in").alias("ghcn_precip_in"), F.col("precip_in_48").alias("ghcn_precip_in_48"))
-    df = base.join(places, "site_id", "left").join(tide, ["site_id", "sample_time"], "left").drop("sample_time")
-    for link in (warm, wet.dropDuplicates(["site_id", "date"])):
-        df = df.join(link, ["site_id", "date"], "left")
+    df = base.join(places, "site_id", "left").join(_once(tide, ["site_id", "sample_time"]), ["site_id", "sample_time"], "left").drop("sample_time")
+    for link in (warm, wet):
+        df = df.join(_once(link, ["site_id", "date"]), ["site_id", "date"], "left")
     first = ["bacteria", "quality", "site_id", "site", "date"]
     return df.select(*first, *[c for c in df.columns if c not in first])

@@ -23,9 +23,11 @@ def widen_weather(long: DataFrame, stations: DataFrame, precip_scale: float = 10
         remove_first("station", "GHCND:").alias("ghcn_station_id"),
         "datatype",
         F.col("value").cast("double").alias("value"),
-    ).dropDuplicates(["date", "ghcn_station_id", "datatype"])
+    )
+    # of repeated readings the largest counts
+    rows = rows.groupBy("date", "ghcn_station_id", "datatype").agg(F.max("value").alias("value"))
     wide = pivot(rows, ["date", "ghcn_station_id"], "datatype", "value", CODES)
-    names = stations.select(F.col("id").alias("ghcn_station_id"), F.col("name").alias("ghcn_station_name")).distinct()
+    names = stations.groupBy(F.col("id").alias("ghcn_station_id")).agg(F.max("name").alias("ghcn_station_name"))
     return wide.join(names, "ghcn_station_id", "left").select(
         "date",
         "ghcn_station_id",
@@ -51,7 +53,7 @@ def needed_weather(key: DataFrame, samples: DataFrame, stations: DataFrame) -> D
 
 
 def missing_weather(needed: DataFrame, have: DataFrame) -> DataFrame:
-    """What the store lacks, as one request list of stations per date."""
+    """What the store lacks, as one request list of stations per date; a list is at most as long as the station table."""
     pairs = needed.join(have.select("ghcn_station_id", "date"), ["date", "ghcn_station_id"], "left_anti").dropna()
     return nest(pairs.select("date", "ghcn_station_id").distinct(), ["date"], "station_ids")
 
@@ -64,10 +66,12 @@ def _linked(samples: DataFrame, key: DataFrame) -> DataFrame:
 def daily_rain(weather: DataFrame) -> DataFrame:
     """Every station on every reported date with rain and the sum of the two reported days before.
 
-    One row per station and date makes a station at most as long as the calendar.
+    A station is its id, whatever names it went by; of repeated rows of a date
+    the one with the most rain counts. One row per station and date makes a
+    station at most as long as the calendar.
     """
-    facts = weather.select("ghcn_station_name", "ghcn_station_id", "date", "precip_in", "temperature_f")
-    grid = densify(facts, ["ghcn_station_name", "ghcn_station_id"], "date")
+    facts = weather.groupBy("ghcn_station_id", "date").agg(F.max(F.struct("precip_in", "temperature_f")).alias("_row")).select("ghcn_station_id", "date", "_row.*")
+    grid = densify(facts, ["ghcn_station_id"], "date")
     return lag_sum(grid, ["ghcn_station_id"], "date", "precip_in", [1, 2], "precip_in_48", bounded=True)
 
 
@@ -86,7 +90,7 @@ def rain_for_samples(samples: DataFrame, key: DataFrame, weather: DataFrame, def
 
 def temperature_for_samples(samples: DataFrame, key: DataFrame, weather: DataFrame, default_station: str = DEFAULT_STATION) -> DataFrame:
     """Temperature of every sample's station and date, or of the default station on that date."""
-    daily = weather.select("date", F.col("ghcn_station_id").alias("temperature_ghcn_id"), "temperature_f")
+    daily = weather.groupBy("date", F.col("ghcn_station_id").alias("temperature_ghcn_id")).agg(F.max("temperature_f").alias("temperature_f"))
     links = _linked(samples, key).select("date", "temperature_ghcn_id", "site", "site_id")
     return left_join_with_default(links, daily, ["date", "temperature_ghcn_id"], "temperature_ghcn_id", default_station, ["temperature_f"])
 

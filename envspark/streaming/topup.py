@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from envspark.operators.reshape import append_distinct
 
 
+#: A value below all others, by type.
+_LEAST = {"date": "0001-01-01", "timestamp": "0001-01-01 00:00:00", "timestamp_ntz": "0001-01-01 00:00:00", "long": -(1 << 63), "integer": -(1 << 31)}
+
+
 def missing_keys(needed: DataFrame, have: DataFrame, key: Sequence[str]) -> DataFrame:
     """The needed keys the store does not hold yet; running it again after the top-up gives nothing."""
     return needed.select(*key).distinct().join(have.select(*key), list(key), "left_anti")
@@ -18,9 +22,13 @@ def missing_keys(needed: DataFrame, have: DataFrame, key: Sequence[str]) -> Data
 def top_up(old: DataFrame, new: DataFrame, time_col: str, key: Sequence[str]) -> DataFrame:
     """Append the rows of ``new`` later than the store's newest row; a repeated key keeps the new row.
 
-    The high-water mark is one value read as a scalar subquery, so it prunes
-    the scan of ``new``. An empty store takes everything.
+    The high-water mark is one value read as a scalar subquery and compared
+    with the bare column, so it reaches the scan of ``new``. An empty store
+    takes everything but rows without a time.
     """
-    mark = old.agg(F.max(time_col)).scalar()
-    late = new.filter(F.coalesce(F.col(time_col) > mark, mark.isNull()))
+    least = "-infinity" if old.schema[time_col].dataType.typeName() in ("double", "float") else _LEAST.get(old.schema[time_col].dataType.typeName())
+    if least is None:
+        raise TypeError(f"{time_col}: no high-water mark along {old.schema[time_col].dataType.simpleString()}")
+    mark = old.agg(F.coalesce(F.max(time_col), F.lit(least).cast(old.schema[time_col].dataType))).scalar()
+    late = new.filter(F.col(time_col) > mark)
     return append_distinct(old, late, key)
