@@ -12,6 +12,7 @@ from envspark.operators import (
     corr_matrix,
     first_last,
     group_median,
+    with_place,
     histogram,
     null_profile,
     profile,
@@ -177,15 +178,15 @@ def _(spark, sf):
 
 @query(
     "ag17_weekly_against_reference",
-    """WITH days AS (SELECT CAST(ts AS DATE) AS date, avg(value) AS precip_week, avg(CASE WHEN event_id % 2 = 0 THEN value END) AS precip_t0 FROM events WHERE event_type = 'click' GROUP BY 1),
-    g AS (SELECT CAST(ts AS DATE) AS date, min(value) AS rain FROM events WHERE event_type = 'view' GROUP BY 1),
+    """WITH days AS (SELECT CAST(ts AS DATE) AS date, avg(value) AS precip_week, avg(CASE WHEN event_id % 2 = 0 THEN value END) AS precip_t0 FROM events GROUP BY 1),
+    g AS (SELECT CAST(ts AS DATE) AS date, min(value) AS rain FROM events GROUP BY 1),
     w AS (SELECT date, rain, CASE WHEN count(rain) OVER f = 7 THEN sum(rain) OVER f END AS rain_7d FROM g WINDOW f AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
     SELECT strftime(date, '%Y-%m-%d') AS date, round(precip_week, 6) AS precip_week, round(precip_t0, 6) AS precip_t0, round(rain, 6) AS rain, round(rain_7d, 6) AS rain_7d FROM days LEFT JOIN w USING (date)""",
 )
 def _(spark, sf):
     e = table(spark, sf, "events").withColumn("date", F.to_date("ts"))
-    daily = e.filter("event_type = 'click'").select("date", F.col("value").alias("precip_week"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("precip_t0"))
-    gauge = e.filter("event_type = 'view'").groupBy("date").agg(F.min("value").alias("rain")).withColumn("series", F.lit("all"))
+    daily = e.select("date", F.col("value").alias("precip_week"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("precip_t0"))
+    gauge = e.groupBy("date").agg(F.min("value").alias("rain")).withColumn("series", F.lit("all"))
     weekly = roll_sum(gauge, ["series"], "date", "rain", 7, "rain_7d").drop("series")
     return shown(reference_agreement(daily, "date", ["precip_week", "precip_t0"], weekly))
 
@@ -207,13 +208,10 @@ def _(spark, sf):
     return shown(out.select(position(out, "last").alias("last_us"), "top", "first_user"))
 
 
-@query("so1_sorted", "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+@query("so1_sorted", "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    top = table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)  # a report of 100 rows
-    place = F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    return top.select("o_orderkey", "o_totalprice", place.cast("long").alias("place"))
+    placed = with_place(table(spark, sf, "orders"), "o_totalprice", ["o_orderkey"], "place", descending=True)
+    return placed.select("o_orderkey", "o_totalprice", "place").orderBy(F.desc("o_totalprice"), "o_orderkey")
 
 
 @query("so2_first_after_sort", "SELECT user_id, arg_max(event_id, ts) AS newest, arg_min(event_id, ts) AS oldest FROM events GROUP BY 1")
@@ -226,11 +224,8 @@ def _(spark, sf):
     "SELECT p_type, round(m, 6) AS median_price, row_number() OVER (ORDER BY m, p_type) AS place FROM (SELECT p_type, median(p_retailprice) AS m FROM part GROUP BY 1)",
 )
 def _(spark, sf):
-    from pyspark.sql import Window
-
     medians = group_median(table(spark, sf, "part"), ["p_type"], "p_retailprice", "median_price").drop("n")
-    # one row per category level
-    return shown(medians.withColumn("place", F.row_number().over(Window.orderBy("median_price", "p_type"))))
+    return shown(with_place(medians, "median_price", ["p_type"], "place"))
 
 
 @query(

@@ -35,9 +35,9 @@ def _buys(spark, sf):
     )
 
 
-@query("j1_left_join", "SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') ON o_custkey = c_custkey")
+@query("j1_left_join", "SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN (SELECT CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey END AS k, c_name FROM customer) ON o_custkey = k")
 def _(spark, sf):
-    c = table(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    c = table(spark, sf, "customer").select(F.expr("CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey END").alias("o_custkey"), "c_name")
     return table(spark, sf, "orders").join(c, "o_custkey", "left").select("o_orderkey", "o_custkey", "c_name")
 
 
@@ -50,12 +50,12 @@ def _(spark, sf):
 @query(
     "j3_natural_join",
     """SELECT a.user_id, a.event_type, a.n, round(b.total, 4) AS total FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) a
-    JOIN (SELECT user_id, event_type, sum(value) AS total FROM events WHERE value > 20 GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.event_type = b.event_type""",
+    JOIN (SELECT user_id, event_type, sum(value) AS total FROM events GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.event_type = b.event_type""",
 )
 def _(spark, sf):
     e = table(spark, sf, "events")
     n = e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    total = e.filter("value > 20").groupBy("user_id", "event_type").agg(F.sum("value").alias("total"))
+    total = e.groupBy("user_id", "event_type").agg(F.sum("value").alias("total"))
     return shown(natural_join(n, total), 4)
 
 
@@ -66,9 +66,9 @@ def _(spark, sf):
     return joined.groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("customers"))
 
 
-@query("j5_right_join", "SELECT c_custkey, count(o_orderkey) AS orders FROM (SELECT * FROM orders WHERE o_orderstatus = 'P') RIGHT JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+@query("j5_right_join", "SELECT c_custkey, count(o_orderkey) AS orders FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN o_custkey END AS k FROM orders) RIGHT JOIN customer ON k = c_custkey GROUP BY 1")
 def _(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.expr("CASE WHEN o_orderstatus = 'P' THEN o_custkey END").alias("c_custkey"))
     return o.join(table(spark, sf, "customer"), "c_custkey", "right").groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"))
 
 
@@ -152,26 +152,26 @@ def _(spark, sf):
 
 @query(
     "j13_nearest_value",
-    """WITH v AS (SELECT DISTINCT o_totalprice AS p FROM orders WHERE o_orderkey % 10 = 0),
+    """WITH v AS (SELECT DISTINCT o_totalprice AS p FROM orders),
     w AS (SELECT c_custkey, c_acctbal * 50 AS x FROM customer),
     lo AS (SELECT c_custkey, x, p AS below FROM w ASOF LEFT JOIN v ON x >= p),
     hi AS (SELECT c_custkey, p AS above FROM w ASOF LEFT JOIN v ON x <= p)
     SELECT c_custkey, round(CASE WHEN above IS NULL OR x - below <= above - x THEN below ELSE above END, 6) AS closest FROM lo JOIN hi USING (c_custkey)""",
 )
 def _(spark, sf):
-    prices = table(spark, sf, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_totalprice").alias("p"))
+    prices = table(spark, sf, "orders").select(F.col("o_totalprice").alias("p"))
     wanted = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") * 50).alias("x"))
     return shown(nearest_value(wanted, prices, "x", "p", "closest").select("c_custkey", "closest"))
 
 
 @query(
     "j14_next_value",
-    """WITH v AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_totalprice > 490000), w AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS x FROM orders)
+    """WITH v AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE CASE WHEN o_totalprice > 490000 THEN o_orderdate END IS NOT NULL), w AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS x FROM orders)
     SELECT o_orderkey, strftime(d, '%Y-%m-%d') AS next_date FROM w ASOF LEFT JOIN v ON x <= d""",
 )
 def _(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.to_date("o_orderdate").alias("x"))
-    big = o.filter("o_totalprice > 490000").select(F.col("x").alias("d"))
+    big = o.select(F.expr("CASE WHEN o_totalprice > 490000 THEN x END").alias("d"))
     return shown(next_value(o, big, "x", "d", "next_date").select("o_orderkey", "next_date"))
 
 

@@ -523,23 +523,23 @@ def _(spark, sf):
     return shown(reports.stations_per_year(table(spark, sf, "orders"), "o_custkey", "o_orderdate"))
 
 
-CITY = """city AS (SELECT CAST(ts AS DATE) AS date, avg(value) AS temp, min(value) AS rain FROM events WHERE event_type = 'view' GROUP BY 1),
+CITY = """city AS (SELECT CAST(ts AS DATE) AS date, avg(value) AS temp, min(value) AS rain FROM events GROUP BY 1),
   g AS (SELECT *, CASE WHEN count(rain) OVER w = 7 THEN sum(rain) OVER w END AS rain_7d FROM city WINDOW w AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
   r AS (SELECT min(temp) AS t0, max(temp) AS t1, min(rain_7d) AS r0, max(rain_7d) AS r1 FROM g WHERE date IN (SELECT date FROM samples)),
   gauges AS (SELECT date, temp, rain, rain_7d, least(greatest(ceil((temp - t0) / (t1 - t0) * 5), 1), 5)::BIGINT AS temp_bin, CASE WHEN rain_7d IS NOT NULL THEN least(greatest(ceil((rain_7d - r0) / (r1 - r0) * 5), 1), 5)::BIGINT END AS rain_7d_bin FROM g, r WHERE date IN (SELECT date FROM samples))"""
 
 
 def _city(spark, sf):
-    return table(spark, sf, "events").filter("event_type = 'view'").groupBy(F.to_date("ts").alias("date")).agg(F.avg("value").alias("temp"), F.min("value").alias("rain"))
+    return table(spark, sf, "events").groupBy(F.to_date("ts").alias("date")).agg(F.avg("value").alias("temp"), F.min("value").alias("rain"))
 
 
 def _dashboard_samples(spark, sf):
-    return d.samples(spark, sf).filter("dayofmonth(date) % 3 = 0").withColumn("high_tide", F.date_trunc("day", "sample_time").cast("timestamp_ntz") + F.expr("INTERVAL 6 HOURS"))
+    return d.samples(spark, sf).withColumn("high_tide", F.date_trunc("day", "sample_time").cast("timestamp_ntz") + F.expr("INTERVAL 6 HOURS"))
 
 
 @query(
     "q23_day_view",
-    f"""WITH {d.SITES}, {d.SAMPLES.replace("FROM events", "FROM events WHERE day(ts) % 3 = 0")}, {CITY}, pick AS (SELECT min(date) AS day FROM samples WHERE date >= DATE '2024-01-10'),
+    f"""WITH {d.SITES}, {d.SAMPLES}, {CITY}, pick AS (SELECT min(date) AS day FROM samples WHERE date >= DATE '2024-01-10'),
     v AS (SELECT *, abs(epoch_us(sample_time) - epoch_us(date_trunc('day', sample_time) + INTERVAL 6 HOUR)) // 1000000 AS gap FROM samples WHERE date = (SELECT day FROM pick))
     SELECT event_id, strftime(v.date, '%Y-%m-%d') AS date, round(ln(bacteria) * 100, 6) AS radius, '<b> ' || v.site || ' </b><br/>Sample Time ' || strftime(sample_time, '%Y-%m-%d %H:%M:%S') || '<br/>' ||
       concat_ws(' ', CASE WHEN gap >= 3600 THEN (gap // 3600) || 'H' END, CASE WHEN gap >= 60 THEN (gap % 3600 // 60) || 'M' END, CASE WHEN gap % 60 > 0 OR gap < 60 THEN (gap % 60) || 'S' END) || ' From High Tide<br/>' || format('{{:,}}', round(bacteria)::BIGINT) || ' Enterococci Colonies' AS popup,

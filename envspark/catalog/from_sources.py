@@ -69,14 +69,14 @@ def _(spark, sf):
 
 @query(
     "io5_json_rows",
-    "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, round(value, 6) AS value FROM events WHERE value > 50",
+    "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, round(value, 6) AS value FROM events",
 )
 def _(spark, sf):
     path = scratch(spark, "rows-json")
     texts = table(spark, sf, "events").select(*[F.col(c).cast("string").alias(c) for c in ("event_id", "event_type", "value")])
     texts.write.json(path)
     rows = read_json(spark, path, "event_id string, event_type string, value string")
-    return shown(rows.withColumn("value", F.col("value").try_cast("double")).filter("value > 50"))
+    return shown(rows.withColumn("value", F.col("value").try_cast("double")))
 
 
 @query(

@@ -145,19 +145,19 @@ def _(spark, sf):
 
 @query(
     "se2_append_distinct",
-    "SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM events WHERE event_id % 3 = 0 OR event_id % 2 = 0",
+    "SELECT event_id, event_type, CASE WHEN event_id % 3 <> 2 THEN 'new' ELSE 'old' END AS version FROM events",
 )
 def _(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type")
-    old = e.filter("event_id % 2 = 0").withColumn("version", F.lit("old"))
-    new = e.filter("event_id % 3 = 0").withColumn("version", F.lit("new"))
+    old = e.filter("event_id % 3 <> 1").withColumn("version", F.lit("old"))
+    new = e.filter("event_id % 3 <> 2").withColumn("version", F.lit("new"))
     return append_distinct(old, new.unionByName(new), ["event_id"])
 
 
-@query("se2_union_distinct", "SELECT user_id, event_type FROM events WHERE value > 50 UNION SELECT user_id, event_type FROM events WHERE value < 5")
+@query("se2_union_distinct", "SELECT user_id, event_type FROM events WHERE value > 20 UNION SELECT user_id, event_type FROM events WHERE value < 50")
 def _(spark, sf):
     e = table(spark, sf, "events")
-    return union_distinct(e.filter("value > 50").select("user_id", "event_type"), e.filter("value < 5").select("event_type", "user_id"))
+    return union_distinct(e.filter("value > 20").select("user_id", "event_type"), e.filter("value < 50").select("event_type", "user_id"))
 
 
 @query(
@@ -225,23 +225,23 @@ def _(spark, sf):
 
 @query(
     "rs6_densify",
-    f"""WITH {DAILY}, w AS (SELECT user_id, user_id % 7 AS grp, date, total FROM daily WHERE day(date) % 9 <> 0),
-    g AS (SELECT * FROM (SELECT DISTINCT user_id, grp FROM w), (SELECT DISTINCT date FROM w))
+    f"""WITH {DAILY}, w AS (SELECT user_id, user_id % 7 AS grp, CASE WHEN day(date) % 9 <> 0 THEN date END AS date, total FROM daily),
+    g AS (SELECT * FROM (SELECT DISTINCT user_id, grp FROM w), (SELECT DISTINCT date FROM w WHERE date IS NOT NULL))
     SELECT g.user_id, g.grp, strftime(g.date, '%Y-%m-%d') AS date, total FROM g LEFT JOIN w ON g.user_id = w.user_id AND g.date = w.date""",
 )
 def _(spark, sf):
-    w = _daily(spark, sf).filter(F.dayofmonth("date") % 9 != 0).withColumn("grp", F.col("user_id") % 7)
+    w = _daily(spark, sf).withColumn("date", F.when(F.dayofmonth("date") % 9 != 0, F.col("date"))).withColumn("grp", F.col("user_id") % 7)
     return shown(densify(w.select("user_id", "grp", "date", "total"), ["user_id", "grp"], "date"), 4)
 
 
 @query(
     "rs6_densify_calendar",
-    f"""WITH {DAILY}, w AS (SELECT * FROM daily WHERE day(date) % 9 <> 0),
+    f"""WITH {DAILY}, w AS (SELECT user_id, CASE WHEN day(date) % 9 <> 0 THEN date END AS date, total FROM daily),
     g AS (SELECT u.user_id, CAST(t AS DATE) AS date FROM (SELECT DISTINCT user_id FROM w) u, (SELECT unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY)) AS t FROM w))
     SELECT g.user_id, strftime(g.date, '%Y-%m-%d') AS date, total FROM g LEFT JOIN w ON g.user_id = w.user_id AND g.date = w.date""",
 )
 def _(spark, sf):
-    w = _daily(spark, sf).filter(F.dayofmonth("date") % 9 != 0)
+    w = _daily(spark, sf).withColumn("date", F.when(F.dayofmonth("date") % 9 != 0, F.col("date")))
     return shown(densify(w, ["user_id"], "date", calendar=True), 4)
 
 

@@ -3,7 +3,6 @@
 from envspark.models.estimators import (  # noqa: F401
     HandTillEvaluator,
     augment,
-    cardinality,
     importance,
     label_index,
     node_stats,

@@ -20,20 +20,18 @@ from envspark.models.evaluate import _q, roc_auc
 MAX_DEPTH = 30  # Spark's limit
 
 
+def _depth(depth: int) -> int:
+    if depth > MAX_DEPTH:
+        raise ValueError(f"trees can be {MAX_DEPTH} deep, not {depth}")
+    return depth
+
+
 def label_index(df: DataFrame, label: str, levels: Sequence[str]) -> DataFrame:
     """Add ``label_index``, the 0-based position of the label in level order; other labels are dropped."""
     at = F.array_position(F.array(*[F.lit(l) for l in levels]), F.col(label))
     return df.withColumn("label_index", (at - 1).cast("double")).filter(F.col("label_index") >= 0)
 
 
-def cardinality(df: DataFrame, cols: Sequence[str]) -> int:
-    """The largest number of distinct values among categorical columns (trees need as many bins)."""
-    if not cols:
-        return 0
-    row = df.agg(*[F.countDistinct(c).alias(c) for c in cols]).first()
-    return max(row)
-
-
 def _feature_stages(numeric: Sequence[str], categorical: Sequence[str]) -> list:
     """Numbers centred and scaled with the training rows' statistics, categories indexed with a place for unseen ones."""
     stages: list = []
@@ -68,7 +66,7 @@ def rf_classifier(
         numTrees=trees,
         featureSubsetStrategy=str(mtry),
         minInstancesPerNode=min_n,
-        maxDepth=min(depth, MAX_DEPTH),
+        maxDepth=_depth(depth),
         maxBins=max_bins,
         seed=seed,
     )
@@ -92,7 +90,7 @@ def rf_regressor(
         numTrees=trees,
         featureSubsetStrategy=str(mtry),
         minInstancesPerNode=min_n,
-        maxDepth=min(depth, MAX_DEPTH),
+        maxDepth=_depth(depth),
         maxBins=max_bins,
         seed=seed,
     )
@@ -113,7 +111,7 @@ def tree_regressor(
     tree = DecisionTreeRegressor(
         labelCol=y,
         featuresCol="features",
-        maxDepth=min(depth, MAX_DEPTH),
+        maxDepth=_depth(depth),
         minInfoGain=min_gain,
         minInstancesPerNode=min_n,
         maxBins=max_bins,

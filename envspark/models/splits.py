@@ -16,19 +16,23 @@ from pyspark.sql import functions as F
 from envspark.operators.quantiles import group_quantiles
 from envspark.operators.slices import join_on
 
-BUCKET_DIGITS = 4  # hex digits: 65,536 buckets per stratum
+BUCKET_DIGITS = 4  # hex digits by default: 65,536 buckets per stratum
 
 
-def hash_rank(df: DataFrame, key: str, seed: int, strata: Sequence[str] = ()) -> DataFrame:
-    """Add ``_rank`` (1-based, by hash) and ``_size`` of the stratum; ``key`` is unique."""
+def hash_rank(df: DataFrame, key: str, seed: int, strata: Sequence[str] = (), digits: int = BUCKET_DIGITS) -> DataFrame:
+    """Add ``_rank`` (1-based, by hash) and ``_size`` of the stratum; ``key`` is unique.
+
+    ``digits`` leading hex digits of the hash make a bucket: 16^digits tasks can
+    share a stratum. It changes no rank.
+    """
     strata = list(strata)
     digest = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
-    marked = df.withColumns({"_hash": digest, "_bucket": F.substring(digest, 1, BUCKET_DIGITS)})
+    marked = df.withColumns({"_hash": digest, "_bucket": F.substring(digest, 1, digits)})
     if not strata:
         marked = marked.withColumn("_all", F.lit(0))
     groups = strata or ["_all"]
     counts = marked.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    ordered = Window.partitionBy(*groups).orderBy("_bucket")  # at most 65,536 rows per stratum
+    ordered = Window.partitionBy(*groups).orderBy("_bucket")  # one row per bucket
     offsets = counts.select(
         *groups,
         "_bucket",

@@ -36,47 +36,5 @@ CALENDAR_COLUMNS = [
     "low_tide_pm_ft",
 ]
 
-SAMPLE_SHEET = ", ".join(f"{c} string" for c in SAMPLE_SHEET_COLUMNS)
-CALENDAR = ", ".join(f"{c} string" for c in CALENDAR_COLUMNS)
-
-TIDE_STATIONS = "area string, name string, id string, latitude double, longitude double, Predictions string"
-STATION_NAMES = "Station string, Area string"
-WATER_CLASSES = "water_body_class string, best_uses string, first_best_use string"
-GHCND_STATIONS = (
-    "id string, name string, latitude double, longitude double, element string, first_year int, last_year int"
-)
-WEATHER_LONG = "date string, datatype string, station string, value double"
-WEATHER_GHCN = "date date, ghcn_station_id string, ghcn_station_name string, temperature_f double, precip_in double"
-TIDES_NOAA = (
-    "date date, datetime timestamp, tide_noaa_id string, tide_level double, hi_lo string, "
-    "good_tide_station boolean, tide_range_ft double, tide_duration_hrs double"
-)
-STATION_KEY = (
-    "site string, site_id string, tide_noaa_id string, tide_noaa_dist_km double, temperature_ghcn_id string, "
-    "temperature_ghcn_dist_km double, precip_ghcn_id string, precip_ghcn_dist_km double"
-)
-# The answer of the tide service; ``error`` is present only when the station has no data.
+# Fields of the tide service's answer.
 TIDE_RESPONSE = "predictions array<struct<t string, v string, type string>>, error struct<message string>"
-
-OPEN_DATA = ", ".join(
-    f"{c} string"
-    for c in (
-        "sampling_location",
-        "sample_date",
-        "sample_time",
-        "lat",
-        "long",
-        "current_direction_current_direction",
-        "current_speed_knot",
-        "winkler_method_top_dissolved_oxygen_mg_l",
-        "winkler_method_bottom_dissolved_oxygen_mg_l",
-        "top_sample_temperature_c",
-        "top_salinity_psu",
-        "top_ph",
-        "top_nitrate_nitrite_mg_l",
-        "total_phosphorus_mg_l",
-        "top_ammonium_mg_l",
-        "top_enterococci_bacteria_cells_100ml",
-        "top_fecal_coliform_bacteria_cells_100ml",
-    )
-)
