@@ -277,3 +277,103 @@ def _(spark, sf):
     rows = _samples(spark, sf)
     model = tree_regressor("value", NUMERIC, CATEGORICAL, depth=4, min_gain=0.0).fit(rows)
     return node_stats(model, rows, "value")
+
+
+# --- what holds of any fitted model, exactly ------------------------------------------------------------------
+
+
+TEST_PART = f"""s AS (SELECT event_id, {d.CLASS.format("value")} AS quality FROM events),
+  k AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(event_id || '|123'), event_id) AS rk, count(*) OVER (PARTITION BY quality) AS n FROM s WHERE quality IS NOT NULL),
+  test AS (SELECT event_id, quality FROM k WHERE rk > floor(n * 0.75::DOUBLE))"""
+
+
+@query("ml5_truth_totals", f"WITH {TEST_PART} SELECT quality AS truth, count(*) AS n, 1.0::DOUBLE AS share FROM test GROUP BY 1")
+def _(spark, sf):
+    model, _, test = train_classifier(_samples(spark, sf), "quality", QUALITY_LEVELS, NUMERIC, CATEGORICAL, "event_id", **SMALL)
+    grid = confusion_of(model, test, "quality", QUALITY_LEVELS)
+    return grid.groupBy("truth").agg(F.sum("n").alias("n"), F.round(F.sum("prop"), 6).alias("share")).filter("n > 0")
+
+
+@query("ml6_prediction_and_residual", "SELECT event_id, round(value, 6) AS total FROM events")
+def _(spark, sf):
+    rows = _samples(spark, sf)
+    model = rf_regressor("value", NUMERIC, CATEGORICAL, **SMALL).fit(rows)
+    return residuals(model, rows, "value").select("event_id", F.round(F.col("prediction") + F.col("residual"), 6).alias("total"))
+
+
+@query(
+    "ml8_candidate_points",
+    """SELECT 'featureSubsetStrategy' AS parameter, v AS value, 2::BIGINT AS n, 1::BIGINT AS best_points FROM (VALUES ('1'), ('3')) t(v)
+    UNION ALL SELECT 'minInstancesPerNode', v, 2, 1 FROM (VALUES ('2'), ('20')) t(v)""",
+)
+def _(spark, sf):
+    from envspark.models import rf_classifier
+
+    rows = label_index(_samples(spark, sf), "quality", QUALITY_LEVELS)
+    forest = rf_classifier(NUMERIC, CATEGORICAL, **SMALL)
+    _, points = tune_classifier(rows, "quality", QUALITY_LEVELS, forest, {"featureSubsetStrategy": ["1", "3"], "minInstancesPerNode": [2, 20]}, "event_id", folds=2)
+    best = points.filter("best").select("candidate").distinct().agg(F.count(F.lit(1))).scalar()
+    return points.groupBy("parameter", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("best_points", best)
+
+
+@query("ml13_importance_total", "SELECT 4::BIGINT AS variables, 1.0::DOUBLE AS total")
+def _(spark, sf):
+    model, _, _ = train_classifier(_samples(spark, sf), "quality", QUALITY_LEVELS, NUMERIC, CATEGORICAL, "event_id", **SMALL)
+    return importance(model, NUMERIC, CATEGORICAL).agg(F.count(F.lit(1)).alias("variables"), F.round(F.sum("importance"), 6).alias("total"))
+
+
+@query("ml14_score_totals", f"WITH {TEST_PART} SELECT event_id, quality, 1.0::DOUBLE AS total, 'true' AS is_largest FROM test")
+def _(spark, sf):
+    model, _, test = train_classifier(_samples(spark, sf), "quality", QUALITY_LEVELS, NUMERIC, CATEGORICAL, "event_id", **SMALL)
+    scored = augment(model, test, QUALITY_LEVELS)
+    p = [F.col(f"`{c}`") for c in score_columns(QUALITY_LEVELS).values()]
+    own = F.element_at(F.array(*p), F.array_position(F.array(*[F.lit(x) for x in QUALITY_LEVELS]), F.col("`.pred_class`")).cast("int"))
+    return scored.select("event_id", "quality", F.round(p[0] + p[1] + p[2], 6).alias("total"), (own == F.greatest(*p)).cast("string").alias("is_largest"))
+
+
+@query("ml20_leaf_moments", "SELECT count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance FROM events")
+def _(spark, sf):
+    rows = _samples(spark, sf)
+    leaves = node_stats(tree_regressor("value", NUMERIC, CATEGORICAL, depth=4, min_gain=0.0).fit(rows), rows, "value")
+    n = F.sum("n")
+    mean = F.sum(F.col("n") * F.col("mean")) / n
+    square = F.sum(F.col("n") * (F.col("variance") + F.col("mean") * F.col("mean"))) / n
+    return leaves.agg(n.alias("n"), F.round(mean, 6).alias("mean"), F.round(square - mean * mean, 4).alias("variance"))
+
+
+@query(
+    "ml20_fit_rows",
+    "SELECT event_id, round(value, 6) AS actual, 'true' AS within_range FROM events",
+)
+def _(spark, sf):
+    """Predicted next to actual, a regression tree's predictions lying between the smallest and the largest outcome."""
+    rows = _samples(spark, sf)
+    fitted = residuals(tree_regressor("value", NUMERIC, CATEGORICAL, depth=4, min_gain=0.0).fit(rows), rows, "value")
+    ends = rows.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    return shown(fitted.select("event_id", F.col("value").alias("actual"), F.col("prediction").between(lo - 1e-9, hi + 1e-9).alias("within_range")))
+
+
+@query(
+    "ml16_log_level_two_predictors",
+    """WITH w AS (SELECT ln(l_extendedprice + 1) AS y, l_quantity AS a, l_discount AS b FROM lineitem WHERE l_tax >= 0.02),
+    m AS (SELECT count(*)::DOUBLE AS n, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb, var_pop(y) AS yy, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM w),
+    f AS (SELECT *, aa * bb - ab * ab AS det, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS b1, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM m),
+    g AS (SELECT *, (b1 * ay + b2 * yb) / yy AS r2, n * (yy - b1 * ay - b2 * yb) / (n - 3) AS s2 FROM f),
+    t AS (SELECT 'l_quantity' AS term, b1 AS estimate, sqrt(s2 * bb / (n * det)) AS std_error, * FROM g
+      UNION ALL SELECT 'l_discount', b2, sqrt(s2 * aa / (n * det)), * FROM g
+      UNION ALL SELECT '(Intercept)', my - b1 * ma - b2 * mb, sqrt(s2 / n * (1 + (ma * ma * bb + mb * mb * aa - 2 * ma * mb * ab) / det)), * FROM g)
+    SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error, round(estimate / std_error, 2) AS statistic,
+      round(r2, 6) AS r_squared, round(1 - (1 - r2) * (n - 1) / (n - 3), 6) AS adj_r_squared, n::BIGINT AS nobs FROM t""",
+)
+def _(spark, sf):
+    from envspark.plans.modelling import log_level
+
+    warm = log_level(table(spark, sf, "lineitem"), "l_extendedprice", "y", warm=F.col("l_tax") >= 0.02)
+    coefficients, glance, _ = ols(warm, "y", ["l_quantity", "l_discount"])
+    fit = glance.first()  # one row of fit statistics
+    six = [F.round(c, 6).alias(c) for c in ("estimate", "std_error")]
+    return coefficients.select(
+        "term", *six, F.round("statistic", 2).alias("statistic"),
+        F.round(F.lit(fit["r_squared"]), 6).alias("r_squared"), F.round(F.lit(fit["adj_r_squared"]), 6).alias("adj_r_squared"), F.lit(fit["nobs"]).alias("nobs"),
+    )

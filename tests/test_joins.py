@@ -13,6 +13,7 @@ from envspark.operators import (
     nearest,
     nearest_value,
     next_value,
+    phase_features,
 )
 from envspark.operators import spatial
 from envspark.plans.tides import tide_positions
@@ -131,3 +132,58 @@ def test_tide_position_prefers_the_real_station(spark):
     )
     row = tide_positions(key, samples, tides).first()
     assert (row["tide_level"], row["good_tide_station"], row["hours_since_last"], row["current"]) == (2.0, True, 3.0, 4.0)
+
+
+DAY = dt.date(2024, 3, 11)
+
+
+def test_a_date_meets_a_timestamp_as_its_midnight(spark):
+    left = spark.createDataFrame([(1, "a", DAY)], "i int, k string, d date")
+    for kind in ("timestamp_ntz", "timestamp"):
+        right = spark.createDataFrame([("a", dt.datetime(2024, 3, 10, 23, 0), 7), ("a", dt.datetime(2024, 3, 11, 1, 0), 8)], f"k string, t {kind}, x int")
+        assert [r["x"] for r in asof_backward(left, right, "k", "d", "t").collect()] == [7]
+        assert [r["x"] for r in asof_forward(left, right, "k", "d", "t").collect()] == [8]
+    back = right.join(left.select("k", "d"), "k")
+    assert sorted(r["i"] or 0 for r in asof_backward(right, left, "k", "t", "d").collect()) == [0, 1]
+    assert back.count() == 2
+
+
+def test_times_of_different_kinds_are_refused(spark):
+    left = spark.createDataFrame([(1, "a", dt.datetime(2024, 3, 11))], "i int, k string, t timestamp")
+    with pytest.raises(TypeError):
+        asof_backward(left, left.select("k", F.col("t").cast("timestamp_ntz").alias("u")), "k", "t", "u")
+    with pytest.raises(TypeError):
+        asof_backward(left, left.select("k", F.lit(1).alias("u")), "k", "t", "u")
+
+
+def test_offsets_follow_the_kind_of_time(spark):
+    days = spark.createDataFrame([("a", DAY - dt.timedelta(days=n), n) for n in range(11)], "k string, e date, n int")
+    left = spark.createDataFrame([("a", DAY)], "k string, d date")
+    assert [r["n"] for r in asof_forward(left, days, "k", "d", "e", offset_hours=-48).collect()] == [1]
+    with pytest.raises(ValueError):
+        asof_forward(left, days, "k", "d", "e", offset_hours=-6)
+    numbers = spark.createDataFrame([("a", 1)], "k string, v int")
+    with pytest.raises(TypeError):
+        asof_forward(numbers, numbers.withColumnRenamed("v", "w"), "k", "v", "w", offset_hours=1)
+
+
+def test_phases_are_elapsed_time_across_a_clock_change(spark):
+    from envspark.operators import phase_features
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        turns = spark.createDataFrame([("a", dt.datetime(2024, 3, 9, 23, 0), 1.0), ("a", dt.datetime(2024, 3, 10, 7, 30), 4.0)], "s string, t timestamp_ntz, level double")
+        got = phase_features(turns, "s", "t", "level").orderBy("t").collect()
+        assert [(r["tide_range_ft"], r["tide_duration_hrs"]) for r in got] == [(3.0, 7.5), (None, None)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_repeated_turns_do_not_depend_on_input_order(spark):
+    from envspark.operators import phase_features
+
+    rows = [("a", dt.datetime(2024, 1, 1, 0, 0), 1.0), ("a", dt.datetime(2024, 1, 1, 0, 0), 2.0), ("a", dt.datetime(2024, 1, 1, 6, 0), 5.0)]
+    for some in (rows, rows[::-1]):
+        got = phase_features(spark.createDataFrame(some, "s string, t timestamp, level double").coalesce(1), "s", "t", "level").collect()
+        assert sorted((r["level"], r["tide_range_ft"] or -1) for r in got) == [(2.0, 3.0), (5.0, -1)]

@@ -119,3 +119,37 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
 
     plan = QUERIES["io1_parquet_scan"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(value,100.0)" in plan and "props" not in plan.split("ReadSchema")[1]
+
+
+def test_a_renamed_gauge_stays_one_gauge(spark):
+    from envspark.plans.weather import daily_rain, rain_for_samples
+
+    days = [dt.date(2024, 1, d) for d in range(1, 5)]
+    rows = [("old" if i < 2 else "new", "G1", d, float(i + 1), 50.0) for i, d in enumerate(days)] + [("new", "G1", days[3], 0.5, 40.0)]
+    for some in (rows, rows[::-1]):
+        weather = spark.createDataFrame(some, "ghcn_station_name string, ghcn_station_id string, date date, precip_in double, temperature_f double")
+        got = {r["date"]: (r["precip_in"], r["precip_in_48"]) for r in daily_rain(weather).collect()}
+        assert got == {days[0]: (1.0, None), days[1]: (2.0, None), days[2]: (3.0, 3.0), days[3]: (4.0, 5.0)}
+    key = spark.createDataFrame([("1", "G1", "G1")], "site_id string, precip_ghcn_id string, temperature_ghcn_id string")
+    samples = spark.createDataFrame([("s", "1", dt.datetime(2024, 1, 4, 9, 0))], "site string, site_id string, sample_time timestamp")
+    assert [r["precip_in_48"] for r in rain_for_samples(samples, key, weather).collect()] == [5.0]
+
+
+def test_the_mark_reaches_the_scan(spark, tmp_path):
+    from envspark.streaming import top_up
+
+    new = spark.range(100).select(F.col("id"), F.timestamp_seconds(F.col("id") * 86400).alias("t"))
+    new.write.parquet(str(tmp_path / "new"))
+    read = spark.read.parquet(str(tmp_path / "new"))
+    out = top_up(read.filter("id < 50"), read, "t", ["id"])
+    assert out.count() == 100
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+    assert "PushedFilters: [IsNotNull(t), GreaterThan(t,ScalarSubquery" in plan
+    assert top_up(read.filter("id < 0"), read, "t", ["id"]).count() == 100
+
+
+def test_depth_beyond_the_limit_is_refused():
+    from envspark.models import rf_classifier
+
+    with pytest.raises(ValueError):
+        rf_classifier(["a"], depth=31)
