@@ -46,7 +46,7 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     host, path = F.regexp_extract("rule", "^([^/]*)", 1), F.regexp_extract("rule", "^[^/]*(.*)$", 1)
     quoted = F.regexp_replace("rule", r"([^A-Za-z0-9_/])", r"\\$1")
     literals = F.filter(_tokens(host, F.regexp_extract(path, "^(.*)/", 1)), lambda x: ~x.isin("", "."))
-    return rows.select("rule", "action", F.concat(F.lit(r"(?s)^(?:.*\.)?"), quoted).alias("_pattern"), literals.alias("_literals"))
+    return rows.select("rule", "action", F.concat(F.lit(r"^(?:[^/]*\.)?"), quoted).alias("_pattern"), literals.alias("_literals"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = DEFAULT) -> DataFrame:

@@ -11,8 +11,8 @@ def judge(url):
 
 
 def test_matches_rules_tried_one_by_one(spark, clashing):
-    hosts = ["example.org", "a.example.org", "xexample.org", "org", "x.com", "COM", "net", "example.org:80", ""]
-    paths = ["", "/", "/es/", "/es", "/en/1", "/en/12/x", "/fr/", "/de/a\nb", "//fr/", "/fr/../de/"]
+    hosts = ["example.org", "a.example.org", "xexample.org", "org", "x.com", "COM", "net", "example.org:80", "", "org.x.net", "fr\n.com"]
+    paths = ["", "/", "/es/", "/es", "/en/1", "/en/12/x", "/fr/", "/de/a\nb", "//fr/", "/fr/../de/", "/a.org/b", "/x.com/fr/"]
     urls = [f"http://{h}{p}{end}" for h in hosts for p in paths for end in ("", "?org/", "#/de/")] + [None, "", "x", "a://b://c.com/fr/"]
     pages = clashing(spark.createDataFrame([(i, u) for i, u in enumerate(urls)] * 2, "page_id long, url string"))
     got = judge_urls(pages, rule_table(spark)).select("page_id", "url", "_url.*").collect()
