@@ -39,11 +39,10 @@ def train_classifier(
 
 
 def evaluate(model: PipelineModel, parts: dict[str, DataFrame], label: str, levels: Sequence[str]) -> DataFrame:
-    """Metrics of one model on several row sets (training against held-out rows, say)."""
+    """Metrics of one model on several row sets (training against held-out rows, say); rows are scored once each."""
     scores = score_columns(levels)
-    return tagged_union(
-        {name: metrics(augment(model, rows, levels), label, f"{PREFIX}class", scores) for name, rows in parts.items()}, "part"
-    )
+    scored = {name: staged(augment(model, rows, levels).select(label, f"`{PREFIX}class`", *[f"`{c}`" for c in scores.values()]), "scored") for name, rows in parts.items()}
+    return tagged_union({name: metrics(rows, label, f"{PREFIX}class", scores) for name, rows in scored.items()}, "part")
 
 
 def confusion_of(model: PipelineModel, rows: DataFrame, label: str, levels: Sequence[str], share_by: str = "truth") -> DataFrame:

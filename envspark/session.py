@@ -46,12 +46,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """The table written once to the shared folder and read back.
 
     For tables that several jobs read (a model's training rows, say): the work
-    behind them is done once and outlives lost executors.
+    behind them is done once and outlives lost executors. It is removed when
+    the application ends.
     """
     path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    remove_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have a written folder removed when the application ends."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), spark.sparkContext.applicationId, name)
