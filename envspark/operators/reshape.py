@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from envspark.operators.slices import join_on
 
@@ -83,8 +84,11 @@ def densify(df: DataFrame, entity_cols: Sequence[str], date: str, calendar: bool
 
     Dates are those that occur anywhere in the table, or with ``calendar`` all
     days from the first to the last. Either way the list is bounded by the days
-    of the span, not by the rows, and is held as one array.
+    of the span, not by the rows, and is held as one array; a column of another
+    type than DATE has no such bound and is refused.
     """
+    if not isinstance(df.schema[date].dataType, T.DateType):
+        raise TypeError(f"{date} is {df.schema[date].dataType.simpleString()}; cast it to a date")
     entity_cols = list(entity_cols)
     known = df.filter(F.col(date).isNotNull())
     if calendar:

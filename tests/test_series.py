@@ -149,6 +149,8 @@ def test_densify_has_every_entity_on_every_date(spark):
     df = spark.createDataFrame([("a", "A", D0, 1.0), ("b", "B", D0 + dt.timedelta(days=3), 2.0)], "id string, name string, d date, v double")
     assert densify(df, ["id", "name"], "d").count() == 4
     assert densify(df, ["id", "name"], "d", calendar=True).count() == 8
+    with pytest.raises(TypeError):
+        densify(df.withColumn("d", F.col("d").cast("timestamp")), ["id"], "d")
 
 
 def test_group_mean_and_shares(spark):
