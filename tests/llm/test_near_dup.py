@@ -94,3 +94,36 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(1000, 1001), (5, 5)], "u long, v long")
     got = {r.node: r.root for r in connected(links).collect()}
     assert got == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
+
+
+def jaccard(a, b, words=5):
+    sets = [{tuple(t.split()[i : i + words]) for i in range(len(t.split()) - words + 1)} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def family(rng, base, n, first, lengths):
+    """Texts that share all but the last words with the base."""
+    return [(first + i, " ".join([*base[: -int(m)], *(f"x{first + i}y{k}" for k in range(int(m)))])) for i, m in zip(range(n), lengths)]
+
+
+def test_links_follow_the_shingles_on_either_side_of_the_limit(make_docs):
+    rng = np.random.default_rng(5)
+    rows, wanted = [], set()
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(304)]
+        pair = [(10 * g, " ".join(base)), *family(rng, base, 1, 10 * g + 1, [(25, 33, 34, 45)[g % 4]])]
+        rows += pair
+        wanted |= {10 * g} | ({10 * g + 1} if jaccard(pair[0][1], pair[1][1]) < 0.8 else set())
+    assert len(rows) - len(wanted) == 30
+    kept = {r.doc_id for r in drop_near(make_docs(rows)).select("doc_id").collect()}
+    assert kept == wanted
+
+
+def test_templated_pages_stay(make_docs):
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(304)]
+    pages = family(rng, base, 120, 0, [54] * 120)
+    copies = [(1000 + i, pages[i][1] + " tail") for i in range(20)]
+    assert 0.68 < jaccard(pages[0][1], pages[1][1]) < 0.72
+    kept = {r.doc_id for r in drop_near(make_docs(pages + copies)).select("doc_id").collect()}
+    assert kept == {i for i, _ in pages}
