@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from envspark.llm.common import connected, cut, star, table, tasks
@@ -18,6 +19,9 @@ COUNTED = 1 << 15
 
 SEED = 42
 
+#: Marks keys that are variants of words, not words.
+VARIANT = 1 << 48
+
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
     """XXH64 of every run of ``words`` words joined by spaces, repeats included; a shorter text is one shingle.
@@ -217,7 +221,13 @@ def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, words: i
     of pairs at 0.8 78 % meet in words and 99.8 % in bands. Every link is verified on the
     shingle sets themselves.
 
-    The ids of a key are verified against its smallest.
+    The ids of a key (a word, a variant, a band) are verified against its
+    smallest, the hub. That joins up large groups of copies with one pair per
+    member. Then every two ids of a key that are still in different components
+    are verified, hub or not, but for pairs whose distances to the hub differ by
+    more than they may differ from each other (Jaccard distance is a metric).
+    So no two ids that share a key are left uncompared and unlinked. A key's
+    second pairs are those with a member outside the hub's component.
     """
     pieces = F.flatten(F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit((1 << 32) - 1)))))
     tagged = F.transform(pieces, lambda x, at: F.shiftleft(at.cast("long"), 32).bitwiseOR(x))
@@ -225,11 +235,51 @@ def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, words: i
     firsts = cut(parts.groupBy("word").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 or word >= 0"))
     equal = parts.join(firsts.filter("n > 1"), "word").filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
     spread = firsts.filter("word >= 0").repartition(tasks(nodes.sparkSession), "word").select("first", "word", F.explode(F.lit([0, *_masks(32, 1)])).alias("_m"))
-    met = star(spread.select("first", F.col("word").bitwiseXOR(F.col("_m")).alias("_variant")), "_variant", "first")
-    pairs = cut(equal.union(met).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    variant = F.col("word").bitwiseXOR(F.col("_m")).bitwiseOR(F.lit(VARIANT)).alias("key")
+    group = W.partitionBy("key")
+    groups = spread.select("first", "word", variant).withColumns({"hub": F.min("first").over(group), "_n": F.count("*").over(group)})
+    groups = cut(groups.filter("_n > 1").drop("_n"))
+    pairs = cut(_ordered(equal.union(groups.select("first", "hub"))))
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     sets = cut(shingle_sets(docs, ids, words, id_col, text_col))
-    return alike(pairs, sets).filter(F.col("alike") >= similarity).select("u", "v")
+    apart = cut(alike(pairs, sets))
+    links = apart.filter(F.col("alike") >= similarity).select("u", "v")
+    rest = cut(_second_pairs(parts, firsts, groups, apart, ids, connected(links), 1 - similarity))
+    return links.union(alike(rest, sets, similarity).filter(F.col("alike") >= similarity).select("u", "v"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    u, v = (F.col(c) for c in pairs.columns)
+    return pairs.filter(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
+
+
+def _second_pairs(parts: DataFrame, firsts: DataFrame, groups: DataFrame, apart: DataFrame, ids: DataFrame, roots: DataFrame, within: float) -> DataFrame:
+    """Pairs (u, v) that share a key, lie in different components and may be within the distance; none of them in ``apart``."""
+    labels = cut(ids.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+
+    def distance(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+        known = apart.select(F.col("u").alias("_u"), F.col("v").alias("_v"), (1 - F.col("alike")).alias(name))
+        found = df.withColumns({"_u": F.greatest(a, b), "_v": F.least(a, b)}).join(known, ["_u", "_v"], "left").drop("_u", "_v")
+        return found.withColumn(name, F.when(F.col(a) == F.col(b), 0.0).otherwise(F.col(name)))
+
+    held = parts.join(labels, "id").join(firsts.select("word", "first"), "word").join(labels.toDF("first", "first_root"), "first")
+    held = cut(distance(held, "id", "first", "d").select("word", "id", "root", "d", "first_root"))
+    mixed = cut(held.filter("root <> first_root").select("word").distinct())
+    hubs = distance(groups.join(labels.toDF("first", "first_root"), "first").join(labels.toDF("hub", "hub_root"), "hub"), "first", "hub", "dh")
+    hubs = cut(hubs.select("key", "word", "hub_root", "first_root", "dh"))
+    opened = hubs.filter("first_root <> hub_root").select("key").union(hubs.join(mixed, "word").select("key")).distinct()
+    wide = hubs.join(opened, "key").select("key", "word", "hub_root", "dh").join(held.select("word", "id", "root", "d"), "word")
+    wide = wide.select("key", "word", "id", "root", "hub_root", F.abs(F.col("dh") - F.col("d")).alias("low"), (F.col("dh") + F.col("d")).alias("high"))
+    close = held.join(mixed, "word").select(F.col("word").alias("key"), "word", "id", "root", F.col("first_root").alias("hub_root"), F.col("d").alias("low"), F.col("d").alias("high"))
+    members = cut(close.union(wide))
+    names = members.columns[1:]
+    one, two = (members.select("key", *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "ab")
+    slack = F.lit(within + 1e-9)
+    once = (F.col("root_a") == F.col("hub_root_a")) | (F.col("id_a") < F.col("id_b"))
+    other = (F.col("root_a") != F.col("root_b")) & ((F.col("key") < 0) | (F.col("key") < VARIANT) | (F.col("word_a") != F.col("word_b")))
+    near = (F.col("low_a") - F.col("high_b") <= slack) & (F.col("low_b") - F.col("high_a") <= slack)
+    met = two.filter("root_b <> hub_root_b").join(one, "key").filter(other & once & near).select("id_a", "id_b")
+    return _ordered(met).join(apart, ["u", "v"], "left_anti")
 
 
 def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, longs: int = 6, id_col: str = "doc_id", text_col: str = "text", bands: int = 16, rows: int = 5) -> DataFrame:

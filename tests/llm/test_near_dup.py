@@ -127,3 +127,15 @@ def test_templated_pages_stay(make_docs):
     assert 0.68 < jaccard(pages[0][1], pages[1][1]) < 0.72
     kept = {r.doc_id for r in drop_near(make_docs(pages + copies)).select("doc_id").collect()}
     assert kept == {i for i, _ in pages}
+
+
+def test_copies_link_though_the_hubs_of_their_keys_fail(make_docs):
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(304)]
+    pages = family(rng, base, 60, 0, [70] * 60)
+    copies = [(1000 + i, " ".join(t.split()[15:])) for i, t in pages]
+    assert jaccard(pages[0][1], pages[1][1]) < 0.65 and jaccard(pages[0][1], copies[0][1]) > 0.9
+    docs = make_docs(pages + copies)
+    for more in ({"bands": 4, "rows": 1, "longs": 1},):
+        kept = {r.doc_id for r in drop_near(docs, **more).select("doc_id").collect()}
+        assert kept == {i for i, _ in pages}
