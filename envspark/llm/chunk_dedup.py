@@ -107,10 +107,10 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """Passages that an earlier document holds too: doc_id, start, end, words, kept_in.
+    """Passages that stand earlier too, in the same or another document: doc_id, start, end, words, kept_in.
 
-    A chunk stays where it stands in the document with the smallest id; the
-    same bytes in any other document are repeats. Runs of adjoining repeated
+    A chunk stays where it first stands in the document with the smallest id;
+    the same bytes anywhere else, later in that document too, are repeats. Runs of adjoining repeated
     chunks of at least ``run_words`` words are returned, with the smallest
     document that keeps one of their chunks. Cuts depend on the 32 bytes before
     them only, so what is inserted earlier moves no cut of a passage beyond its
@@ -124,8 +124,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     join can split it.
     """
     parts = chunks(docs, id_col, text_col)
-    held = cut(parts.groupBy("digest").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("_last")).filter("kept_in < _last").drop("_last"))
-    again = parts.join(held, "digest").filter("doc_id > kept_in").select("doc_id", "span", "kept_in").distinct()
+    place = F.struct("doc_id", "span")
+    held = parts.groupBy("digest").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first < _last")
+    held = cut(held.select("digest", F.col("_first.doc_id").alias("kept_in"), F.col("_first.span").alias("_kept")))
+    again = parts.join(held, "digest").filter("doc_id > kept_in or span > _kept").select("doc_id", "span", "kept_in").distinct()
     start = F.shiftright("span", 16)
     placed = again.select("doc_id", start.alias("start"), (start + F.shiftright("span", 8).bitwiseAND(F.lit(255))).alias("end"), F.col("span").bitwiseAND(F.lit(255)).alias("words"), "kept_in")
     order = W.partitionBy("doc_id").orderBy("start", "end", "kept_in")

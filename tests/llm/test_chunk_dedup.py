@@ -59,3 +59,16 @@ def test_a_passage_everyone_has_multiplies_nothing(make_docs):
     shared = prose(rng, 80)
     got = repeated_spans(make_docs([(i, prose(rng, 20) + " " + shared) for i in range(400)])).collect()
     assert len(got) == 399 and {r.kept_in for r in got} == {0}
+
+
+def test_a_passage_repeated_inside_one_document_is_kept_once(make_docs):
+    rng = np.random.default_rng(5)
+    shared = prose(rng, 200) + "\n"
+    rows = [(1, shared * 20), (2, prose(rng, 30) + " " + shared + prose(rng, 300) + " " + shared), (3, prose(rng, 400))]
+    got = {}
+    for r in repeated_spans(make_docs(rows)).collect():
+        assert r.kept_in == 1
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+    assert set(got) == {1, 2}
+    assert len(shared) <= min(got[1])[0] < len(shared) + 2 * MOST and sum(b - a for a, b in got[1]) >= 18 * len(shared)
+    assert len(got[2]) == 2
