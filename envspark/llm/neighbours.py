@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,9 @@ from envspark.llm.common import cut, table
 #: Orderings, their projected dimensions and bits per dimension, and rows in a block of keys.
 CURVES, DIMS, BITS, BLOCK = 20, 12, 5, 1024
 
+#: Least share of all ranks of an ordering that a query meets, half of it on either side.
+SHARE = 0.06
+
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     """Position of each row of cell numbers on the Hilbert curve (Skilling's transform), as longs."""
@@ -48,7 +52,7 @@ def _valid(v: Column) -> Column:
     return v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, dims: int = DIMS, bits: int = BITS, block: int = BLOCK, seed: int = 7) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, dims: int = DIMS, bits: int = BITS, block: int = BLOCK, seed: int = 7, share: float = SHARE) -> DataFrame:
     """The ``k`` nearest rows found for every row that ``queries`` (a condition on the id column) marks.
 
     Rows (query_id, rank, vec_id, score), score being the Euclidean distance in
@@ -57,9 +61,9 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col:
     directions, shifts the grid, and sorts by position on the Hilbert curve. A
     range partitioning gives every vector its place, whatever the keys look
     like; places are cut into blocks of ``block`` rows. A query meets its own
-    block and the two beside it, and candidates of all orderings are merged.
-    Recall follows (curves x block) against the rows that lie about as near as
-    the k-th: see the README for measurements.
+    block and as many on either side as hold ``share`` of all rows together, one
+    at least; candidates of all orderings are merged. So the window follows the
+    table, and the work of a query grows with it: see the README for recall.
 
     Rows with a null id or a vector that is null, zero, or holds null or
     non-finite components take no part, nor do vectors of another length than
@@ -106,7 +110,8 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col:
     blocks = ranked.select("curve", "rep", F.floor((F.col("_before") + F.col("_at") - F.col("_first")) / block).alias("_block"))
     held = blocks.join(reps, "rep").select("curve", "_block", "rep", "v", F.lit(False).alias("_asks"))
     asking = asked.select(F.col("asked").alias("rep")).distinct()
-    asks = held.join(asking, "rep").select("curve", F.explode(F.array(F.col("_block") - 1, F.col("_block"), F.col("_block") + 1)).alias("_block"), "rep", "v", F.lit(True).alias("_asks"))
+    beside = max(1, math.ceil(share * reps.count() / (2 * block)))
+    asks = held.join(asking, "rep").select("curve", F.explode(F.sequence(F.col("_block") - beside, F.col("_block") + beside)).alias("_block"), "rep", "v", F.lit(True).alias("_asks"))
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         asks = pdf["_asks"].to_numpy()

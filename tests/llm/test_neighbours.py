@@ -71,3 +71,13 @@ def test_query(spark, sf_dir):
     got = as_rows(op2_hilbert_neighbours(spark, sf_dir))
     wanted = brute(rows, [i for i in rows if i % 100 == 0], 10)
     assert {q: [i for _, i, _ in near] for q, near in got.items()} == {q: [i for _, i in near] for q, near in wanted.items()}
+
+
+def test_the_window_follows_the_table(spark):
+    rng = np.random.default_rng(9)
+    rows = {i: rng.normal(size=32).tolist() for i in range(4000)}
+    vectors = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    got = as_rows(nearest_neighbours(vectors, F.col("vec_id") % 100 == 0, block=20))
+    wanted = brute(rows, [i for i in rows if i % 100 == 0], 10)
+    hits = sum(len({i for _, i in near} & {i for _, i, _ in got[q]}) for q, near in wanted.items())
+    assert hits >= 0.75 * 10 * len(wanted)
