@@ -55,6 +55,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for name in {os.path.dirname(f) for f in df.inputFiles()}:
+        folder = context._jvm.org.apache.hadoop.fs.Path(name)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def remove_at_end(spark: SparkSession, path: str) -> None:
     """Have a written folder removed when the application ends."""
     context = spark.sparkContext
