@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from envspark.session import shared_dir
+from envspark.session import remove, remove_at_end, shared_dir, staged
 
 #: ASCII white space as a character class; words are maximal runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,9 +28,27 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
+    remove_at_end(df.sparkSession, context.getCheckpointDir())
     return df.checkpoint()
 
 
+def sieve(rows: DataFrame, row_id: str, ids: DataFrame, id_col: str, slots: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
+    """The rows whose id may be among ``ids``, and those whose id is not, told apart before any shuffle.
+
+    A bitmap of ``slots`` bits holds the hashes of the ids: a table of at most
+    ``slots / 64`` rows (2 MB), whatever the number of ids, so it is broadcast.
+    Null ids are not among them.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(slots))
+    held = ids.select(slot(id_col).alias("s")).select(F.shiftright("s", 6).alias("_slot_of_ids"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    bitmap = F.broadcast(held.groupBy("_slot_of_ids").agg(F.bit_or("b").alias("_bits_of_ids")))
+    own = slot(f"`{row_id}`")
+    found = rows.join(bitmap, F.shiftright(own, 6) == F.col("_slot_of_ids"), "left")
+    bit = F.call_function("shiftright", F.col("_bits_of_ids"), own.bitwiseAND(F.lit(63)).cast("int"))
+    there = F.col(f"`{row_id}`").isNotNull() & (F.coalesce(F.col("_bits_of_ids"), F.lit(0)) != 0)
+    return tuple(found.filter(c).drop("_slot_of_ids", "_bits_of_ids") for c in (there & (bit.bitwiseAND(F.lit(1)) == 1), ~there | (bit.bitwiseAND(F.lit(1)) == 0)))
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions to spread small rows over that become many rows each; asked for by number, they are not merged at run time."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -46,26 +64,49 @@ def star(keyed: DataFrame, key: str, node: str) -> DataFrame:
     return keyed.select(F.col(node).alias("u"), hub.alias("v")).filter("u <> v").distinct()
 
 
+class Rounds:
+    """Tables that an iteration writes to the shared folder, read back with their true sizes.
+
+    Joins of joins of checkpoints would have the planner multiply size estimates
+    round after round. Tables of rounds before the last are removed.
+    """
+
+    def __init__(self) -> None:
+        self.before: list[DataFrame] = []
+        self.now: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.now.append(staged(df, "round"))
+        return self.now[-1]
+
+    def turn(self) -> None:
+        for df in self.before:
+            remove(df)
+        self.before, self.now = self.now, []
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Connected components of links (u, v): rows (node, root), root being the component's smallest node.
 
     Alternates between pointing every node's larger neighbours and its smaller
     neighbours at its smallest one until the links no longer change. Each round
-    is two aggregations and two joins, cut to the checkpoint folder; the minima
-    are cut before they are joined, so that the join can split a node with very
+    is two aggregations and two joins, written to the shared folder; the minima
+    are written before they are joined, so that the join can split a node with very
     many links. Nulls and self links are ignored; nodes without links are not
     returned.
     """
-    links = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    rounds = Rounds()
+    links = rounds.keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(links)
     while state[0]:
+        rounds.turn()
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = rounds.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = rounds.keep(large)
+        low = rounds.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        links = rounds.keep(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(links)
         if before == state:
             break

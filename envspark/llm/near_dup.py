@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -12,15 +13,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from envspark.llm.common import connected, cut, star, table, tasks
+from envspark.llm.common import Rounds, connected, cut, sieve, star, table, tasks
+from envspark.session import staged
 
 #: Shingles whose bits are counted at a time; bounds a worker's memory and changes no result.
 COUNTED = 1 << 15
 
 SEED = 42
 
+#: Words of the long fingerprint around which balls are laid, and their bits.
+BALLS, BITS = 4, 48
+
 #: Marks keys that are variants of words, not words.
-VARIANT = 1 << 48
+VARIANT = 1 << 52
+
+#: Times the hubs of a key that the next round takes.
+MORE_HUBS = 16
+
+#: Standard deviations by which two fingerprints may differ in more bits than expected before their shingles are compared.
+MARGIN = 4.0
+
+#: Distinct shingles from which on the share of differing bits is a normal variable.
+COARSE = 64
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -123,7 +137,7 @@ def ball_links(nodes: DataFrame, radius: int, bits: int = 64) -> DataFrame:
         near = nodes.filter(odd).select("fp", F.explode(F.lit(_masks(bits, half))).alias("_m"))
         variant = F.col("fp").bitwiseXOR(F.col("_m")).alias("_variant")
         hubs = near.select("fp", variant).groupBy("_variant").agg(F.min("fp").alias("v"))
-        met = far.select(F.col("fp").alias("u"), variant).join(hubs.hint("shuffle_hash"), "_variant")
+        met = far.select(F.col("fp").alias("u"), variant).join(hubs, "_variant")
         links = links.union(met.select("u", "v"))
     return links
 
@@ -170,7 +184,7 @@ def _lowest(hashes: list[np.ndarray], bands: int, rows: int) -> list[np.ndarray]
 
 
 def sketches(docs: DataFrame, words: int, longs: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, digest, fp, bands) over the set of a text's shingles; ``digest`` names the set."""
+    """Rows (doc_id, digest, size, fp, bands) over the set of a text's shingles; ``digest`` names the set, ``size`` counts it."""
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -181,12 +195,12 @@ def sketches(docs: DataFrame, words: int, longs: int, bands: int, rows: int, id_
                 some.append(np.unique(shingle_hashes(text, words)))
                 held += len(some[-1])
                 if held >= 8 * COUNTED or at == len(pdf):
-                    done += zip([xxhash.xxh3_128_digest(x.tobytes()) for x in some], fingerprints_of(some, longs), _lowest(some, bands, rows))
+                    done += zip([xxhash.xxh3_128_digest(x.tobytes()) for x in some], map(len, some), fingerprints_of(some, longs), _lowest(some, bands, rows))
                     some, held = [], 0
-            yield pd.DataFrame({"doc_id": pd.array([int(x) for x in pdf["_id"]], "Int64"), **{name: [x[k] for x in done] for k, name in enumerate(("digest", "fp", "bands"))}})
+            yield pd.DataFrame({"doc_id": pd.array([int(x) for x in pdf["_id"]], "Int64"), **{name: [x[k] for x in done] for k, name in enumerate(("digest", "size", "fp", "bands"))}})
 
     named = docs.select(F.col(id_col).cast("long").cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return named.filter("_id is not null").mapInPandas(compute, "doc_id long, digest binary, fp array<long>, bands array<long>")
+    return named.filter("_id is not null").mapInPandas(compute, "doc_id long, digest binary, size long, fp array<long>, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,55 +211,80 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str = "doc
             yield pd.DataFrame({"id": pdf["_id"], "set": [np.unique(shingle_hashes(x, words)).view(np.int64) for x in pdf["_text"]]})
 
     named = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return named.join(ids.withColumnRenamed("id", "_id"), "_id", "left_semi").mapInPandas(compute, "id long, set array<long>").distinct()
+    maybe, _ = sieve(named, "_id", ids, "id")
+    return maybe.join(ids.withColumnRenamed("id", "_id"), "_id", "left_semi").mapInPandas(compute, "id long, set array<long>").distinct()
 
 
-def alike(pairs: DataFrame, sets: DataFrame, least: float = 0.0) -> DataFrame:
-    """Pairs (u, v) with ``alike``, the Jaccard similarity of their shingle sets, exact; those that sizes keep below ``least`` are left out."""
-    sizes = sets.select("id", F.size("set").alias("n"))
-    if least:
-        few = F.least("_nu", "_nv") >= least * F.greatest("_nu", "_nv")
-        pairs = pairs.join(sizes.toDF("u", "_nu"), "u").join(sizes.toDF("v", "_nv"), "v").filter(few).select("u", "v").distinct()
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) with ``alike``, the Jaccard similarity of their shingle sets, exact."""
     both = pairs.join(sets.toDF("v", "_sv"), "v").join(sets.toDF("u", "_su"), "u")
     shared = F.size(F.array_intersect("_su", "_sv"))
     ratio = shared / F.greatest(F.size("_su") + F.size("_sv") - shared, F.lit(1))
     return both.select("u", "v", ratio.alias("alike")).groupBy("u", "v").agg(F.max("alike").alias("alike"))
 
 
+def _members(nodes: DataFrame) -> DataFrame:
+    """Rows (key, id) of keys that several ids share: equal bands, equal words, and words that share a variant.
+
+    Words are the low ``BITS`` bits of the first ``BALLS`` parts of the long
+    fingerprint. Each distinct word emits its variants within one flip, so that
+    words up to two flips apart meet; words that do stand for all their ids.
+    """
+    words = F.transform(F.slice("fp", 1, BALLS), lambda x, at: F.shiftleft(at.cast("long"), BITS).bitwiseOR(x.bitwiseAND(F.lit((1 << BITS) - 1))))
+    parts = nodes.select("id", F.explode(F.concat(words, "bands")).alias("key"))
+    counts = cut(parts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1 or key >= 0"))
+    equal = parts.join(counts.filter("n > 1").select("key"), "key").select("key", "id")
+    spread = counts.filter("key >= 0").select(F.col("key").alias("word")).repartition(tasks(nodes.sparkSession), "word")
+    spread = spread.select("word", F.explode(F.lit([0, *_masks(BITS, 1)])).alias("_m")).select("word", F.col("word").bitwiseXOR(F.col("_m")).bitwiseOR(F.lit(VARIANT)).alias("variant"))
+    met = cut(spread.withColumn("_n", F.count("*").over(W.partitionBy("variant"))).filter("_n > 1").drop("_n"))
+    return cut(equal.union(met.join(parts.withColumnRenamed("key", "word"), "word").select("variant", "id")))
+
+
 def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (u, v) between ids whose sets of shingles have a Jaccard similarity of at least ``similarity``.
-
-    Candidates are ids with an equal 32-bit word of the long fingerprint, with
-    words two flips apart (each distinct word emits its variants within one
-    flip; a variant holds at most 33 words), or with an equal band. By calculation,
-    of pairs at 0.8 78 % meet in words and 99.8 % in bands. Every link is verified on the
-    shingle sets themselves.
-
-    The ids of a key (a word, a variant, a band) are verified against its
-    smallest, the hub. That joins up large groups of copies with one pair per
-    member. Then every two ids of a key that are still in different components
-    are verified, hub or not, but for pairs whose distances to the hub differ by
-    more than they may differ from each other (Jaccard distance is a metric).
-    So no two ids that share a key are left uncompared and unlinked. A key's
-    second pairs are those with a member outside the hub's component.
+    """Links (u, v) that join up all ids of a key whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+
+    Keys are bands and balls around words of the fingerprint (:func:`_members`).
+    Every link is verified on the shingle sets themselves, after its
+    fingerprints, whose limit leaves a margin of four standard deviations.
+
+    It goes in rounds. In each, a key's hubs are compared with its ids of other
+    components, and leave the key; hubs are the smallest ids outside the key's
+    largest component, so that one stranger among many copies costs one row a
+    copy and no more rounds. A key is done when all its ids are of one
+    component, after the first round for a group of copies. A round takes
+    MORE_HUBS times as many hubs of a key as the one before, so rounds grow with
+    the logarithm of the ids that are like no other of their key. No two ids of a key are left uncompared
+    and in different components; no round compares ids of one component.
     """
-    pieces = F.flatten(F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit((1 << 32) - 1)))))
-    tagged = F.transform(pieces, lambda x, at: F.shiftleft(at.cast("long"), 32).bitwiseOR(x))
-    parts = nodes.select("id", F.explode(F.concat(tagged, "bands")).alias("word"))
-    firsts = cut(parts.groupBy("word").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 or word >= 0"))
-    equal = parts.join(firsts.filter("n > 1"), "word").filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
-    spread = firsts.filter("word >= 0").repartition(tasks(nodes.sparkSession), "word").select("first", "word", F.explode(F.lit([0, *_masks(32, 1)])).alias("_m"))
-    variant = F.col("word").bitwiseXOR(F.col("_m")).bitwiseOR(F.lit(VARIANT)).alias("key")
-    group = W.partitionBy("key")
-    groups = spread.select("first", "word", variant).withColumns({"hub": F.min("first").over(group), "_n": F.count("*").over(group)})
-    groups = cut(groups.filter("_n > 1").drop("_n"))
-    pairs = cut(_ordered(equal.union(groups.select("first", "hub"))))
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = cut(shingle_sets(docs, ids, words, id_col, text_col))
-    apart = cut(alike(pairs, sets))
-    links = apart.filter(F.col("alike") >= similarity).select("u", "v")
-    rest = cut(_second_pairs(parts, firsts, groups, apart, ids, connected(links), 1 - similarity))
-    return links.union(alike(rest, sets, similarity).filter(F.col("alike") >= similarity).select("u", "v"))
+    members, labels, tried, links = _members(nodes), None, None, None
+    rounds = Rounds()
+    prints = nodes.select("id", "size", "fp")
+    hubs = 1
+    while True:
+        held = members.withColumn("root", F.col("id")) if labels is None else members.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+        held = rounds.keep(held)
+        sizes = held.groupBy("key", "root").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.count("*").alias("n")).filter("n > 1").select("key", "main")
+        still = rounds.keep(held.join(main, "key"))
+        if still.isEmpty():
+            return nodes.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0) if links is None else links
+        place = F.row_number().over(W.partitionBy("key").orderBy("hub"))
+        outside = still.filter("root <> main").select("key", F.col("id").alias("hub"), F.col("root").alias("hub_root"))
+        picked = rounds.keep(outside.withColumn("_at", place).filter(F.col("_at") <= hubs).drop("_at"))
+        pairs = _ordered(still.join(picked, "key").filter("root <> hub_root").select("id", "hub"))
+        pairs = staged(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        near = rounds.keep(_near_prints(pairs, prints, similarity))
+        if not near.isEmpty():
+            ids = rounds.keep(near.select(F.col("u").alias("id")).union(near.select("v")).distinct())
+            sets = rounds.keep(shingle_sets(docs, ids, words, id_col, text_col))
+            found = staged(alike(near, sets).filter(F.col("alike") >= similarity).select("u", "v"), "links")
+            if not found.isEmpty():
+                links = found if links is None else links.union(found)
+                labels = staged(connected(links).withColumnRenamed("node", "id"), "labels")
+        members = still.join(picked.withColumnRenamed("hub", "id"), ["key", "id"], "left_anti").select("key", "id")
+        hubs *= MORE_HUBS
+        rounds.turn()
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -253,33 +292,23 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
 
 
-def _second_pairs(parts: DataFrame, firsts: DataFrame, groups: DataFrame, apart: DataFrame, ids: DataFrame, roots: DataFrame, within: float) -> DataFrame:
-    """Pairs (u, v) that share a key, lie in different components and may be within the distance; none of them in ``apart``."""
-    labels = cut(ids.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")))
-
-    def distance(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
-        known = apart.select(F.col("u").alias("_u"), F.col("v").alias("_v"), (1 - F.col("alike")).alias(name))
-        found = df.withColumns({"_u": F.greatest(a, b), "_v": F.least(a, b)}).join(known, ["_u", "_v"], "left").drop("_u", "_v")
-        return found.withColumn(name, F.when(F.col(a) == F.col(b), 0.0).otherwise(F.col(name)))
-
-    held = parts.join(labels, "id").join(firsts.select("word", "first"), "word").join(labels.toDF("first", "first_root"), "first")
-    held = cut(distance(held, "id", "first", "d").select("word", "id", "root", "d", "first_root"))
-    mixed = cut(held.filter("root <> first_root").select("word").distinct())
-    hubs = distance(groups.join(labels.toDF("first", "first_root"), "first").join(labels.toDF("hub", "hub_root"), "hub"), "first", "hub", "dh")
-    hubs = cut(hubs.select("key", "word", "hub_root", "first_root", "dh"))
-    opened = hubs.filter("first_root <> hub_root").select("key").union(hubs.join(mixed, "word").select("key")).distinct()
-    wide = hubs.join(opened, "key").select("key", "word", "hub_root", "dh").join(held.select("word", "id", "root", "d"), "word")
-    wide = wide.select("key", "word", "id", "root", "hub_root", F.abs(F.col("dh") - F.col("d")).alias("low"), (F.col("dh") + F.col("d")).alias("high"))
-    close = held.join(mixed, "word").select(F.col("word").alias("key"), "word", "id", "root", F.col("first_root").alias("hub_root"), F.col("d").alias("low"), F.col("d").alias("high"))
-    members = cut(close.union(wide))
-    names = members.columns[1:]
-    one, two = (members.select("key", *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "ab")
-    slack = F.lit(within + 1e-9)
-    once = (F.col("root_a") == F.col("hub_root_a")) | (F.col("id_a") < F.col("id_b"))
-    other = (F.col("root_a") != F.col("root_b")) & ((F.col("key") < 0) | (F.col("key") < VARIANT) | (F.col("word_a") != F.col("word_b")))
-    near = (F.col("low_a") - F.col("high_b") <= slack) & (F.col("low_b") - F.col("high_a") <= slack)
-    met = two.filter("root_b <> hub_root_b").join(one, "key").filter(other & once & near).select("id_a", "id_b")
-    return _ordered(met).join(apart, ["u", "v"], "left_anti")
+def _near_prints(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that sizes and long fingerprints leave possible.
+
+    The smaller set has at least ``similarity`` times the shingles of the larger.
+    Fingerprint bits of two sets with a share ``s`` of equal shingles are signs
+    of two sums with a correlation of at least ``2s / (1 + s)``, so a bit differs
+    with a probability of at most ``arccos(2s / (1 + s)) / pi``. The limit lies
+    MARGIN standard deviations above that; small sets pass untested.
+    """
+    one, two = (prints.select(F.col("id").alias(c), F.col("size").alias(f"_n{c}"), F.col("fp").alias(f"_f{c}")) for c in "uv")
+    both = pairs.join(one, "u").join(two, "v")
+    less, more = F.least("_nu", "_nv"), F.greatest("_nu", "_nv")
+    bits = F.aggregate(F.zip_with("_fu", "_fv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * F.size("_fu")
+    close = (less < COARSE) | (bits <= share * n + MARGIN * F.sqrt(n * (share * (1 - share))))
+    return both.filter((less >= similarity * more) & close).select("u", "v").distinct()
 
 
 def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, longs: int = 6, id_col: str = "doc_id", text_col: str = "text", bands: int = 16, rows: int = 5) -> DataFrame:
@@ -293,11 +322,15 @@ def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, longs: i
     id stay or go together. Rows with a null id stay. An empty table stays empty.
     """
     marked = cut(sketches(docs, words, longs, bands, rows, id_col, text_col))
-    nodes = cut(marked.groupBy("digest", "fp", "bands").agg(F.min("doc_id").alias("id")))
+    nodes = cut(marked.groupBy("digest", "size", "fp", "bands").agg(F.min("doc_id").alias("id")))
     roots = connected(similar_links(nodes, docs, similarity, words, id_col, text_col)).withColumnRenamed("node", "id")
     lead = nodes.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("_lead"))
     gone = marked.select("doc_id", "digest").join(lead, "digest").filter("doc_id <> _lead").select(F.col("doc_id").alias("_op10_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_op10_gone"), "left_anti")
+    gone = cut(gone)
+    maybe, surely = sieve(docs, id_col, gone, "_op10_gone")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    left = maybe.withColumn("_op10_id", F.col(f"`{id_col}`").cast("long")).join(gone.withColumnRenamed("_op10_gone", "_op10_id"), "_op10_id", "left_anti")
+    return surely.select(*names).union(left.select(*names))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
