@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
 
 from envspark.catalog import domain as d
@@ -14,6 +15,7 @@ from envspark.models import (
     fold_column,
     importance,
     label_index,
+    latin_hypercube,
     metrics,
     node_stats,
     ols,
@@ -23,9 +25,11 @@ from envspark.models import (
     risk,
     roc_auc,
     roc_curve,
+    sequence,
     split_stratified,
     tree_regressor,
-    tune,
+    tune_points,
+    tune_tree,
 )
 from envspark.plans.modelling import best_group_models, compare_feature_sets, confusion_of, evaluate, score_columns, train_classifier, tune_classifier
 
@@ -227,26 +231,86 @@ def _(spark, sf):
     return residuals(model, rows, "value").select("event_id", "prediction", "residual")
 
 
+#: Cost per leaf as a share of the root's risk, and depth: five levels each, even in the exponent and in the depth.
+COSTS, DEPTHS = [10.0 ** (-10 + 2.25 * k) for k in range(5)], [1, 4, 8, 11, 15]
+
+
 @query("ml7_tree_regression")
 def _(spark, sf):
-    from pyspark.ml.evaluation import RegressionEvaluator
+    """Every depth with every cost over five folds, even in four strata of the outcome."""
+    rows = fold_column(_samples(spark, sf), 5, "event_id", 1, strata="value", breaks=4)
+    return tune_tree(tree_regressor("value", NUMERIC, CATEGORICAL, min_gain=0.0), rows, DEPTHS, COSTS, parallelism=8)
+
+
+def _cuts(name, rows):
+    """CTEs: the cut of ``rows`` (x, y) that leaves the smallest squared error, with at least 20 rows on either side."""
+    return f"""{name}_g AS (SELECT x, count(*)::DOUBLE AS n, sum(y) AS s, sum(y * y) AS q FROM {rows} GROUP BY x),
+    {name}_c AS (SELECT x, sum(n) OVER w AS ln, sum(s) OVER w AS ls, sum(q) OVER w AS lq, sum(n) OVER () AS n, sum(s) OVER () AS s, sum(q) OVER () AS q FROM {name}_g WINDOW w AS (ORDER BY x)),
+    {name} AS (SELECT x AS cut, lq - ls * ls / ln + (q - lq) - (s - ls) * (s - ls) / (n - ln) AS risk FROM {name}_c WHERE ln >= 20 AND n - ln >= 20 ORDER BY 2, 1 LIMIT 1)"""
+
 
-    rows = fold_column(_samples(spark, sf), 3, "event_id", 1, strata="value", breaks=4)
-    grid = {"maxDepth": [2, 4], "minInfoGain": [0.0, 1.0]}
-    _, table_ = tune(tree_regressor("value", NUMERIC, CATEGORICAL), rows, grid, RegressionEvaluator(labelCol="value", metricName="rmse"))
-    return table_
+@query(
+    "ml7_pruning_sequence",
+    f"""WITH r AS (SELECT day(ts) AS x, value AS y FROM events),
+    {_cuts("a", "r")}, l AS (SELECT r.* FROM r, a WHERE x <= cut), h AS (SELECT r.* FROM r, a WHERE x > cut),
+    {_cuts("b", "l")}, {_cuts("c", "h")},
+    risk AS (SELECT (SELECT sum(y * y) - sum(y) * sum(y) / count(*) FROM r) AS r0, (SELECT sum(y * y) - sum(y) * sum(y) / count(*) FROM l) AS rl,
+      (SELECT sum(y * y) - sum(y) * sum(y) / count(*) FROM h) AS rh, (SELECT risk FROM b) AS cl, (SELECT risk FROM c) AS ch),
+    g AS (SELECT r0, rl, rh, coalesce(cl, rl) AS bl, coalesce(ch, rh) AS bh, CASE WHEN cl IS NULL THEN 1 ELSE 2 END AS kl, CASE WHEN ch IS NULL THEN 1 ELSE 2 END AS kh,
+      coalesce(rl - cl, 'infinity'::DOUBLE) AS gl, coalesce(rh - ch, 'infinity'::DOUBLE) AS gh FROM risk),
+    one AS (SELECT *, (r0 - bl - bh) / (kl + kh - 1) AS g0 FROM g),
+    two AS (SELECT *, g0 <= least(gl, gh) AS whole, CASE WHEN gl < gh THEN (r0 - rl - bh) / kh ELSE (r0 - bl - rh) / kl END AS root2, greatest(gl, gh) AS other FROM one),
+    steps AS (SELECT least(g0, gl, gh) AS alpha, CASE WHEN whole THEN 1 WHEN gl < gh THEN 1 + kh ELSE kl + 1 END AS leaves, CASE WHEN whole THEN r0 WHEN gl < gh THEN rl + bh ELSE bl + rh END AS risk FROM two
+      UNION ALL SELECT least(root2, other), CASE WHEN root2 <= other THEN 1 ELSE 2 END, CASE WHEN root2 <= other THEN r0 ELSE rl + rh END FROM two WHERE NOT whole
+      UNION ALL SELECT r0 - rl - rh, 1, r0 FROM two WHERE NOT whole AND root2 > other)
+    SELECT round(alpha, 3) AS alpha, leaves, round(risk, 2) AS risk FROM steps""",
+)
+def _(spark, sf):
+    """The nested trees of a tree of two cuts, each cut and each weakest link found by SQL as well."""
+    rows = table(spark, sf, "events").select(F.dayofmonth("ts").cast("double").alias("day"), "value")
+    steps = sequence(tree_regressor("value", ["day"], depth=2, min_gain=0.0).fit(rows))
+    out = spark.createDataFrame(steps, "alpha double, leaves int, risk double")
+    return out.select(F.round("alpha", 3).alias("alpha"), "leaves", F.round("risk", 2).alias("risk"))
 
 
 @query("ml8_tuned_forest")
 def _(spark, sf):
+    """Twenty points over predictors per split and rows per node, ten folds."""
     from envspark.models import rf_classifier
+    from envspark.plans.modelling import forest_ranges
 
     rows = label_index(_samples(spark, sf), "quality", QUALITY_LEVELS)
-    forest = rf_classifier(NUMERIC, CATEGORICAL, **SMALL)
-    _, candidates = tune_classifier(rows, "quality", QUALITY_LEVELS, forest, {"featureSubsetStrategy": ["1", "3"], "minInstancesPerNode": [2, 20]}, "event_id", folds=2)
+    points = latin_hypercube(forest_ranges(len(NUMERIC) + len(CATEGORICAL)), 20, seed=345)
+    _, candidates = tune_classifier(rows, "quality", QUALITY_LEVELS, rf_classifier(NUMERIC, CATEGORICAL, **SMALL), points, "event_id", folds=10, parallelism=8)
     return candidates
 
 
+TEN_FOLDS = "r AS (SELECT event_id, day(ts) AS x, value AS y, (row_number() OVER (ORDER BY md5(event_id || '|234'), event_id) - 1) % 10 AS fold FROM events)"
+
+
+@query("ml8_fold_keys", f"WITH {TEN_FOLDS} SELECT event_id, fold FROM r")
+def _(spark, sf):
+    return fold_column(table(spark, sf, "events").select("event_id"), 10, "event_id", 234).select("event_id", F.col("fold").cast("long").alias("fold"))
+
+
+@query(
+    "ml8_tuned_stump",
+    f"""WITH {TEN_FOLDS}, t AS (SELECT f, x, y FROM r, range(10) k(f) WHERE fold <> f),
+    g AS (SELECT f, x, count(*)::DOUBLE AS n, sum(y) AS s, sum(y * y) AS q FROM t GROUP BY f, x),
+    c AS (SELECT f, x, sum(n) OVER w AS ln, sum(s) OVER w AS ls, sum(q) OVER w AS lq, sum(n) OVER a AS n, sum(s) OVER a AS s, sum(q) OVER a AS q FROM g WINDOW w AS (PARTITION BY f ORDER BY x), a AS (PARTITION BY f)),
+    p AS (SELECT f, arg_min(x, -ls * ls / ln - (s - ls) * (s - ls) / (n - ln)) AS cut, arg_min(ls / ln, -ls * ls / ln - (s - ls) * (s - ls) / (n - ln)) AS lo, arg_min((s - ls) / (n - ln), -ls * ls / ln - (s - ls) * (s - ls) / (n - ln)) AS hi
+      FROM c WHERE ln >= 20 AND n - ln >= 20 GROUP BY f),
+    e AS (SELECT f, sqrt(avg(pow(y - CASE WHEN x <= cut THEN lo ELSE hi END, 2))) AS rmse FROM r JOIN p ON p.f = r.fold GROUP BY f)
+    SELECT 'maxDepth' AS parameter, '1' AS value, round(avg(rmse), 6) AS mean, round(stddev_pop(rmse), 6) AS std FROM e""",
+)
+def _(spark, sf):
+    """The cross-validated error of a tree of one cut, whose cuts, folds and error SQL finds as well."""
+    rows = table(spark, sf, "events").select("event_id", F.dayofmonth("ts").cast("double").alias("day"), "value")
+    points = [{"maxDepth": 1}, {"maxDepth": 2}]
+    _, found = tune_points(tree_regressor("value", ["day"], min_gain=0.0), fold_column(rows, 10, "event_id", 234), points, RegressionEvaluator(labelCol="value", metricName="rmse"), parallelism=8)
+    return found.filter("candidate = 0").select("parameter", "value", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
 @query("ml13_importance")
 def _(spark, sf):
     model, _, _ = train_classifier(_samples(spark, sf), "quality", QUALITY_LEVELS, NUMERIC, CATEGORICAL, "event_id", **SMALL)

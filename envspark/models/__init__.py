@@ -22,4 +22,6 @@ from envspark.models.evaluate import (  # noqa: F401
     roc_curve,
 )
 from envspark.models.grouped_ols import ols_by  # noqa: F401
+from envspark.models.pruning import pruned, pruning_table, sequence, tune_tree  # noqa: F401
+from envspark.models.search import grid_points, latin_hypercube, regular_grid, tune_points  # noqa: F401
 from envspark.models.splits import fold_column, hash_rank, split_stratified  # noqa: F401

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from envspark.models.evaluate import _q, roc_auc
+from envspark.models.search import grid_points, tune_points
 
 MAX_DEPTH = 30  # Spark's limit
 
@@ -107,7 +106,7 @@ def tree_regressor(
     max_bins: int = 64,
     seed: int = 123,
 ) -> Pipeline:
-    """Regression tree; ``min_gain`` plays the part of the cost-complexity limit."""
+    """Regression tree; ``min_gain`` limits its growth, :mod:`envspark.models.pruning` prunes it by cost and complexity."""
     tree = DecisionTreeRegressor(
         labelCol=y,
         featuresCol="features",
@@ -121,61 +120,43 @@ def tree_regressor(
 
 
 class HandTillEvaluator(Evaluator):
-    """Hand-Till AUC of a classifier's ``probability`` column against ``label_index``."""
+    """Hand-Till AUC of a classifier's ``probability`` column against ``label_index``.
 
-    def __init__(self, n_levels: int):
+    With ``digits``, probabilities that agree to so many digits count as equal:
+    then counts per class and rounded probability are all there is to rank, a
+    bounded table whatever the number of rows, and a search over many
+    candidates costs one aggregation each. Without, ranks are exact.
+    """
+
+    def __init__(self, n_levels: int, digits: int | None = 4):
         super().__init__()
-        self.n_levels = n_levels
+        self.n_levels, self.digits = n_levels, digits
 
     def isLargerBetter(self) -> bool:
         return True
 
     def _evaluate(self, dataset: DataFrame) -> float:
         p = vector_to_array("probability")
-        names = [str(float(i)) for i in range(self.n_levels)]
-        scored = dataset.select(F.col("label_index").cast("string").alias("truth"), *[p[i].alias(f"s{i}") for i in range(self.n_levels)])
-        value = roc_auc(scored, "truth", {n: f"s{i}" for i, n in enumerate(names)}).first()["estimate"]
-        return 0.0 if value is None else value
+        levels = range(self.n_levels)
+        if self.digits is None:
+            scored = dataset.select(F.col("label_index").cast("string").alias("truth"), *[p[i].alias(f"s{i}") for i in levels])
+            value = roc_auc(scored, "truth", {str(float(i)): f"s{i}" for i in levels}).first()["estimate"]
+            return 0.0 if value is None else value
+        rows = dataset.select("label_index", F.posexplode(p).alias("level", "p")).select("label_index", "level", F.round("p", self.digits).alias("p"))
+        counts = rows.groupBy("level", "p").agg(*[F.count(F.when(F.col("label_index") == j, 1)).alias(f"n{j}") for j in levels])
+        below = Window.partitionBy("level").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # at most 10^digits + 1 rows
+        own = F.element_at(F.array(*[F.col(f"n{j}") for j in levels]), F.col("level") + 1)
+        ranked = counts.select("level", own.alias("own"), *[(F.coalesce(F.sum(f"n{j}").over(below), F.lit(0)) + F.col(f"n{j}") / 2).alias(f"b{j}") for j in levels], *[f"n{j}" for j in levels])
+        sums = ranked.groupBy("level").agg(F.sum("own").alias("own"), *[F.sum(F.col("own") * F.col(f"b{j}")).alias(f"u{j}") for j in levels], *[F.sum(f"n{j}").alias(f"n{j}") for j in levels]).collect()
+        pairs = [r[f"u{j}"] / (r["own"] * r[f"n{j}"]) for r in sums for j in levels if j != r["level"] and r["own"] and r[f"n{j}"]]
+        return sum(pairs) / len(pairs) if pairs else 0.0
 
 
 def tune(
     pipeline: Pipeline, df: DataFrame, grid: dict[str, Sequence], evaluator: Evaluator, fold_col: str = "fold", parallelism: int = 4
 ) -> tuple[PipelineModel, DataFrame]:
-    """Cross-validated search over the last stage's parameters.
-
-    Returns the model refitted with the best candidate on all rows, and the
-    candidates as (candidate, parameter, value, mean, std, best) rows. ``df``
-    is read once per fold and candidate, so it is kept in memory and on disk meanwhile.
-    """
-    estimator: Estimator = pipeline.getStages()[-1]
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(name), list(values))
-    maps = builder.build()
-    folds = df.select(fold_col).distinct().count()
-    search = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, foldCol=fold_col, parallelism=parallelism
-    )
-    df = df.persist()
-    try:
-        fitted = search.fit(df)
-    finally:
-        df.unpersist()
-    scores, spread = fitted.avgMetrics, fitted.stdMetrics
-    best = (max if evaluator.isLargerBetter() else min)(range(len(scores)), key=lambda i: scores[i])
-    rows = [
-        (i, param.name, str(value), float(scores[i]), float(spread[i]), i == best)
-        for i, candidate in enumerate(maps)
-        for param, value in candidate.items()
-    ]
-    table = df.sparkSession.createDataFrame(rows, "candidate int, parameter string, value string, mean double, std double, best boolean")
-    return fitted.bestModel, table
-
-
-def regular_grid(**ranges: tuple[float, float, int]) -> list[dict]:
-    """Every combination of evenly spaced values, from (low, high, levels) per parameter."""
-    axes = [[lo + (hi - lo) * i / max(levels - 1, 1) for i in range(levels)] for lo, hi, levels in ranges.values()]
-    return [dict(zip(ranges, point)) for point in product(*axes)]
+    """Cross-validated search over every combination of the listed values; see :func:`tune_points`."""
+    return tune_points(pipeline, df, grid_points(grid), evaluator, fold_col, parallelism=parallelism)
 
 
 def augment(model: PipelineModel, df: DataFrame, levels: Sequence[str], prefix: str = ".pred_") -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from envspark.models.estimators import HandTillEvaluator, augment, label_index, rf_classifier, tune
+from envspark.models.estimators import HandTillEvaluator, augment, label_index, rf_classifier
 from envspark.models.evaluate import confusion, metrics, roc_curve
 from envspark.models.grouped_ols import ols_by
+from envspark.models.search import grid_points, tune_points
 from envspark.models.splits import fold_column, split_stratified
 from envspark.operators.reshape import tagged_union
 from envspark.session import staged
@@ -49,12 +50,22 @@ def confusion_of(model: PipelineModel, rows: DataFrame, label: str, levels: Sequ
     return confusion(augment(model, rows, levels), label, f"{PREFIX}class", levels, share_by)
 
 
+def forest_ranges(predictors: int) -> dict[str, tuple[int, int]]:
+    """What is searched for a forest: predictors tried per split, and rows a node holds at least."""
+    return {"featureSubsetStrategy": (1, predictors), "minInstancesPerNode": (2, 40)}
+
+
 def tune_classifier(
-    train: DataFrame, label: str, levels: Sequence[str], pipeline: Pipeline, grid: dict[str, Sequence], key: str, folds: int = 10, seed: int = 234, parallelism: int = 4
+    train: DataFrame, label: str, levels: Sequence[str], pipeline: Pipeline, grid: dict[str, Sequence] | Sequence[dict], key: str, folds: int = 10, seed: int = 234, parallelism: int = 4
 ) -> tuple[PipelineModel, DataFrame]:
-    """Cross-validated search by Hand-Till AUC and refit with the best candidate."""
+    """Cross-validated search by Hand-Till AUC and refit with the best candidate.
+
+    ``grid`` lists values per parameter, all combinations of which are tried, or
+    the points themselves (see :func:`latin_hypercube`).
+    """
     rows = fold_column(train, folds, key, seed)
-    return tune(pipeline, rows, grid, HandTillEvaluator(len(levels)), parallelism=parallelism)
+    points = grid_points(grid) if isinstance(grid, dict) else grid
+    return tune_points(pipeline, rows, points, HandTillEvaluator(len(levels)), parallelism=parallelism)
 
 
 def compare_feature_sets(
