@@ -123,14 +123,14 @@ def test_a_third_of_all_rows_at_one_time(spark):
         assert {r["x"]: r["count"] for r in got} == {395: 1000, None: 2000}
 
 
-@pytest.mark.parametrize("bits", [12, 2])
-def test_exact_quantiles(spark, bits):
+@pytest.mark.parametrize("levels", [1, 2])
+def test_exact_quantiles(spark, levels):
     import numpy as np
 
     rng = random.Random(2)
     rows = [(k, round(rng.lognormvariate(3, 2), 2)) for k, n in (("hot", 500), ("b", 3), ("c", 1)) for _ in range(n)] + [("d", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r["k"]: (r["n"], r["q"]) for r in group_quantiles(df, ["k"], "v", [0, 0.25, 0.5, 0.9, 1], bits).collect()}
+    got = {r["k"]: (r["n"], r["q"]) for r in group_quantiles(df, ["k"], "v", [0, 0.25, 0.5, 0.9, 1], levels).collect()}
     for k in ("hot", "b", "c"):
         data = [v for kk, v in rows if kk == k]
         assert got[k][0] == len(data)
