@@ -27,7 +27,7 @@ from envspark.operators import (
     unnest,
     unpivot_year,
 )
-from envspark.streaming import missing_keys, top_up
+from envspark.streaming import commit_top_up, missing_keys, top_up
 
 DAILY = "daily AS (SELECT user_id, CAST(ts AS DATE) AS date, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)"
 
@@ -254,6 +254,18 @@ def _(spark, sf):
     return out.select("event_id", position(out, "ts").alias("us"))
 
 
+@query("in1_committed_top_up", "SELECT event_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, epoch_us(ts) AS us FROM events")
+def _(spark, sf):
+    """A store filled in three runs, the second of which finds nothing new."""
+    e = table(spark, sf, "events").select("event_id", "ts", F.to_date("ts").alias("date"))
+    path = scratch(spark, "topped-up")
+    early = e.filter(F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz"))
+    for rows in (early, early, e):
+        commit_top_up(rows, path, "ts", ["event_id"], "date")
+    store = spark.read.schema(e.schema).parquet(path)
+    return shown(store.select("event_id", "date", position(store, "ts").alias("us")))
+
+
 @query(
     "in2_missing_keys",
     "SELECT DISTINCT user_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date FROM events a WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'view' AND b.user_id = a.user_id AND CAST(b.ts AS DATE) = CAST(a.ts AS DATE))",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from envspark.operators.quantiles import group_median, group_quantiles
 from envspark.operators.reshape import first_by
-from envspark.operators.slices import POS, join_on, running_sum
+from envspark.operators.slices import join_on
+from envspark.session import staged
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -167,10 +168,22 @@ def top_k(df: DataFrame, col: str, k: int, ties: bool = True, largest: bool = Tr
 
 
 def with_place(df: DataFrame, col: str, ties: Sequence[str], name: str, descending: bool = False) -> DataFrame:
-    """Each row's place in the order of a numeric column, ties by further columns; no window over the whole table."""
-    order = F.col(col).desc() if descending else F.col(col).asc()
-    rows = df.withColumns({POS: F.col(col), "_all": F.lit(0), "_one": F.lit(1)})
-    return running_sum(rows, ["_all"], {name: "_one"}, descending, order=[order, *[F.col(c) for c in ties]]).select(*df.columns, name)
+    """Each row's place in the order of a column, ties by further columns; rows equal in all of them in any order.
+
+    Rows are dealt by ranges of the whole order, the row itself being its last
+    part, so that equal values spread over the tasks like others. The dealt
+    rows are written once, as ranges come from a sample; counts per range give
+    the places before it, and only a range is ranked by a task.
+    """
+    order = [F.col(col).desc() if descending else F.col(col).asc(), *[F.col(c) for c in ties], F.col("_row")]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(parts, *order)
+    dealt = staged(dealt.withColumn("_part", F.spark_partition_id()), "places")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    placed = dealt.withColumn("_local", local).join(F.broadcast(before), "_part")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_local")).alias(name))
 
 
 def top_n_by(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int = 1, ties: bool = False) -> DataFrame:

@@ -1,3 +1,3 @@
 """Incremental top-up of stored tables. The engine's domain has no unbounded streams; new data arrives in batches."""
 
-from envspark.streaming.topup import missing_keys, top_up  # noqa: F401
+from envspark.streaming.topup import commit_top_up, missing_keys, top_up  # noqa: F401
