@@ -9,8 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "envspark", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with AQE (coalescing, skew-join splitting) on. Cluster settings win over these defaults."""
+#: The zone of the domain's wall clocks.
+ZONE = "America/New_York"
+
+
+def build_session(app: str = "envspark", master: str | None = None, shuffle_partitions: int | None = None, zone: str | None = None) -> SparkSession:
+    """A session with AQE (coalescing, skew-join splitting) on. Cluster settings win over these defaults.
+
+    ``zone`` (ZONE for this domain's sources) is the session's time zone; left
+    out, the cluster's stays.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -22,6 +30,8 @@ def build_session(app: str = "envspark", master: str | None = None, shuffle_part
     )
     if master:
         builder = builder.master(master)
+    if zone:
+        builder = builder.config("spark.sql.session.timeZone", zone)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
