@@ -49,6 +49,16 @@ def sieve(rows: DataFrame, row_id: str, ids: DataFrame, id_col: str, slots: int
     return tuple(found.filter(c).drop("_slot_of_ids", "_bits_of_ids") for c in (there & (bit.bitwiseAND(F.lit(1)) == 1), ~there | (bit.bitwiseAND(F.lit(1)) == 0)))
 
 
+def sheltered(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """The rows under names that no helper column takes, where each column went, and the columns under their own names again.
+
+    Operators that carry whole rows compute on these, so that input columns may
+    have any names.
+    """
+    held = {c: f"_{k}_of_row" for k, c in enumerate(df.columns)}
+    return df.toDF(*held.values()), held, [F.col(h).alias(c) for c, h in held.items()]
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions to spread small rows over that become many rows each; asked for by number, they are not merged at run time."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -89,7 +99,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """Connected components of links (u, v): rows (node, root), root being the component's smallest node.
 
     Alternates between pointing every node's larger neighbours and its smaller
-    neighbours at its smallest one until the links no longer change. Each round
+    neighbours at its smallest one until every component is a star. Each round
     is two aggregations and two joins, written to the shared folder; the minima
     are written before they are joined, so that the join can split a node with very
     many links. Nulls and self links are ignored; nodes without links are not
@@ -97,8 +107,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     rounds = Rounds()
     links = rounds.keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = _state(links)
-    while state[0]:
+    while not _stars(links):
         rounds.turn()
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = rounds.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
@@ -107,12 +116,12 @@ def connected(edges: DataFrame) -> DataFrame:
         low = rounds.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = rounds.keep(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        before, state = state, _state(links)
-        if before == state:
-            break
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _stars(links: DataFrame) -> bool:
+    """Whether no node has two smaller neighbours, nor both a smaller and a larger one."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("smaller"), F.lit(0).alias("larger")).union(links.select("v", F.lit(0), F.lit(1)))
+    held = ends.groupBy("node").agg(F.sum("smaller").alias("smaller"), F.max("larger").alias("larger"))
+    return held.filter("smaller > 1 or smaller = 1 and larger = 1").isEmpty()

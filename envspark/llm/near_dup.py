@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from envspark.llm.common import Rounds, connected, cut, sieve, star, table, tasks
+from envspark.llm.common import Rounds, connected, cut, sheltered, sieve, star, table, tasks
 from envspark.session import staged
 
 #: Shingles whose bits are counted at a time; bounds a worker's memory and changes no result.
@@ -240,11 +240,13 @@ def _members(nodes: DataFrame) -> DataFrame:
     return cut(equal.union(met.join(parts.withColumnRenamed("key", "word"), "word").select("variant", "id")))
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (u, v) that join up all ids of a key whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+def similar_roots(nodes: DataFrame, docs: DataFrame, similarity: float, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, root) of the components of ids of a key whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+
+    The root is a component's smallest id; ids alike to no other have no row.
 
     Keys are bands and balls around words of the fingerprint (:func:`_members`).
-    Every link is verified on the shingle sets themselves, after its
+    Every link between two ids is verified on the shingle sets themselves, after its
     fingerprints, whose limit leaves a margin of four standard deviations.
 
     It goes in rounds. In each, a key's hubs are compared with its ids of other
@@ -261,13 +263,12 @@ def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, words: i
     prints = nodes.select("id", "size", "fp")
     hubs = 1
     while True:
-        held = members.withColumn("root", F.col("id")) if labels is None else members.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        held = rounds.keep(held)
+        held = members.withColumn("root", F.col("id")) if labels is None else rounds.keep(members.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
         sizes = held.groupBy("key", "root").agg(F.count("*").alias("n"))
         main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.count("*").alias("n")).filter("n > 1").select("key", "main")
         still = rounds.keep(held.join(main, "key"))
         if still.isEmpty():
-            return nodes.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0) if links is None else links
+            return nodes.select("id", F.col("id").alias("root")).limit(0) if labels is None else labels
         place = F.row_number().over(W.partitionBy("key").orderBy("hub"))
         outside = still.filter("root <> main").select("key", F.col("id").alias("hub"), F.col("root").alias("hub_root"))
         picked = rounds.keep(outside.withColumn("_at", place).filter(F.col("_at") <= hubs).drop("_at"))
@@ -315,22 +316,24 @@ def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, longs: i
     """One document of each group of similar texts, the one with the smallest id, with all its columns.
 
     Texts are similar when the Jaccard similarity of their sets of shingles of
-    ``words`` words is at least ``similarity`` (see :func:`similar_links`);
+    ``words`` words is at least ``similarity`` (see :func:`similar_roots`);
     groups are connected components. Fingerprints of ``64 * longs`` bits and
     ``bands`` keys of ``rows`` lowest hashes find the pairs to compare. Texts
     without words form one group. The id names a document: rows that repeat an
     id stay or go together. Rows with a null id stay. An empty table stays empty.
+    Columns may have any name.
     """
+    docs, held, back = sheltered(docs)
+    id_col, text_col = held[id_col], held[text_col]
     marked = cut(sketches(docs, words, longs, bands, rows, id_col, text_col))
     nodes = cut(marked.groupBy("digest", "size", "fp", "bands").agg(F.min("doc_id").alias("id")))
-    roots = connected(similar_links(nodes, docs, similarity, words, id_col, text_col)).withColumnRenamed("node", "id")
+    roots = similar_roots(nodes, docs, similarity, words, id_col, text_col)
     lead = nodes.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("_lead"))
     gone = marked.select("doc_id", "digest").join(lead, "digest").filter("doc_id <> _lead").select(F.col("doc_id").alias("_op10_gone")).distinct()
     gone = cut(gone)
     maybe, surely = sieve(docs, id_col, gone, "_op10_gone")
-    names = [F.col(f"`{c}`") for c in docs.columns]
     left = maybe.withColumn("_op10_id", F.col(f"`{id_col}`").cast("long")).join(gone.withColumnRenamed("_op10_gone", "_op10_id"), "_op10_id", "left_anti")
-    return surely.select(*names).union(left.select(*names))
+    return surely.select(*back).union(left.select(*back))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

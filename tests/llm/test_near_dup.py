@@ -139,3 +139,22 @@ def test_copies_link_though_the_hubs_of_their_keys_fail(make_docs):
     for more in ({"bands": 4, "rows": 1, "longs": 1},):
         kept = {r.doc_id for r in drop_near(docs, **more).select("doc_id").collect()}
         assert kept == {i for i, _ in pages}
+
+
+def test_rows_that_stay_keep_all_columns(odd_docs, clashing):
+    docs = clashing(odd_docs)
+    got = drop_near(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["1", "3", "6", "7", "8", "8", "9", "None"]
+    assert all(r["_op10_id"] == "extra _op10_id" and r["_bits_of_ids"] == "extra _bits_of_ids" for r in rows)
+
+
+def test_components_end_as_stars(spark):
+    """A path, a star and a clique, by the smallest node each."""
+    path = [(i, i + 1) for i in range(40)]
+    star = [(100, i) for i in range(101, 140)]
+    clique = [(a, b) for a in range(200, 212) for b in range(200, a)]
+    got = {r.node: r.root for r in connected(spark.createDataFrame(path + star + clique + [(7, 7), (None, 3)], "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {i: 200 for i in range(200, 212)}
+    assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
