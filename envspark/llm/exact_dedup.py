@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from envspark.llm.common import cut, lower_ascii, table
+from envspark.llm.common import cut, lower_ascii, sheltered, table
 
 
 def normalised(text: Column) -> Column:
@@ -50,8 +50,10 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The row with the smallest (or largest) id stays. Rows that repeat this id
     and text are one document: the one whose other columns hash lowest stays.
+    Columns may have any name. An empty table stays empty.
     """
-    text = normalised(F.col(text_col))
+    docs, held, back = sheltered(docs)
+    id_col, text = held[id_col], normalised(F.col(held[text_col]))
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.unhex(F.md5(text)).alias("_digest"))
     keys = {"_op3_digest": F.unhex(F.md5(text)), "_op3_sha": F.unhex(F.sha2(text, 256))}
     groups = _groups(rows, keep).select(F.col("_digest").alias("_op3_digest"), F.col("_sha").alias("_op3_sha"), F.coalesce("keep_id", F.lit(0)).alias("_op3_id"), F.col("keep_id").isNull().alias("_op3_null"))
@@ -59,7 +61,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     on = ["_op3_digest", "_op3_sha", "_op3_id", "_op3_null"]
     hashed = F.xxhash64(*[f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
     first = F.row_number().over(W.partitionBy(*on).orderBy(hashed))
-    return marked.join(groups, on).withColumn("_op3_first", first).filter("_op3_first = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return marked.join(groups, on).withColumn("_op3_first", first).filter("_op3_first = 1").select(*back)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

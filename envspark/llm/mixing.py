@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from envspark.llm.common import WORD, cut, table
+from envspark.llm.common import WORD, cut, sheltered, table
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -50,12 +50,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     Null text has size 0, a null source is a source of its own and the last.
     Sources without words have target 0 and rate 0. Repeated rows are documents
-    each. Ids decide the order, so reruns agree; rows with a null id share cells.
+    each. Ids decide the order, so reruns agree; rows with a null id share cells. Other
+    columns are carried and may have any name but ``_mix``.
     """
-    rows = docs.withColumns({"_size": word_count(F.col(text_col)), "_null": F.col(source_col).isNull(), "_source": F.coalesce(F.col(source_col), F.lit(""))})
+    rows, held, back = sheltered(docs)
+    rows = rows.withColumns({"_size": word_count(F.col(held[text_col])), "_null": F.col(held[source_col]).isNull(), "_source": F.coalesce(F.col(held[source_col]), F.lit(""))})
     bits = F.length(F.bin("_size"))
     band = bits * 16 + F.expr("shiftright(_size, greatest(length(bin(_size)) - 4, 0))")
-    hashed = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 2)
+    hashed = F.substring(F.md5(F.coalesce(F.col(held[id_col]).cast("string"), F.lit(""))), 1, 2)
     rows = rows.withColumns({"_band": band, "_hash": hashed})
     cell = ["_null", "_source", "_band", "_hash"]
     cells = cut(rows.groupBy(*cell).agg(F.count("*").alias("_n"), F.sum("_size").alias("_words")))
@@ -64,17 +66,17 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = cells.withColumn("_base", base).join(_target(cells, weights, share, most), ["_null", "_source"]).select(*cell, "_base", "source_size", "target", rate.alias("_rate"), offset.alias("_offset"))
     plan = plan.select(*cell, F.struct("_base", "source_size", "target", "_rate", "_offset").alias("_plan"))
-    at = F.col("_plan._base") + F.row_number().over(W.partitionBy(*cell).orderBy("_size", F.col(f"`{id_col}`"))) - 1
+    at = F.col("_plan._base") + F.row_number().over(W.partitionBy(*cell).orderBy("_size", held[id_col])) - 1
     crossed = F.floor((F.col("_at") + 1) * F.col("_plan._rate") + F.col("_plan._offset")) - F.floor(F.col("_at") * F.col("_plan._rate") + F.col("_plan._offset"))
     found = rows.join(plan, cell).withColumn("_at", at).withColumn("_copies", crossed.cast("long"))
     mix = F.struct(F.col("_size").alias("size"), F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"), F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], mix.alias("_mix"))
+    return found.select(*back, mix.alias("_mix"))
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with the columns of ``docs``."""
-    taken = mixed(docs, **options).filter("_mix.copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, _mix.copies)")))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = mixed(docs, **options).filter("_mix.copies > 0")
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.expr("sequence(1L, _mix.copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envspark.llm.common import lower_ascii, table
+from envspark.llm.common import lower_ascii, sheltered, table
 
 #: (rule, verdict): a host, then a path that starts with "/".
 RULES = (
@@ -62,7 +62,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     default verdict unless a rule fits the empty url. Repeated rows are judged
     alike; other columns are carried and may have any name but ``_url``.
     """
-    parts = pages.withColumns({"_host": host_of(F.col(url_col)), "_path": path_of(F.col(url_col))})
+    rows, held_at, back = sheltered(pages)
+    parts = rows.withColumns({"_host": host_of(F.col(held_at[url_col])), "_path": path_of(F.col(held_at[url_col]))})
     urls = parts.select("_host", "_path").distinct()
     held = urls.withColumn("_token", F.explode(F.concat(_tokens(F.col("_host"), F.col("_path")), F.array(F.lit("\0")))))
     wanted = rules.select("rule", F.explode(F.when(F.size("_literals") > 0, F.col("_literals")).otherwise(F.array(F.lit("\0")))).alias("_token"))
@@ -73,7 +74,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     best = fits.groupBy("_host", "_path").agg(F.min(F.struct((-F.length("rule")).alias("l"), "rule", "action")).alias("_best"))
     found = parts.join(best, ["_host", "_path"], "left")
     url = F.struct(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.action", F.lit(default)).alias("verdict"))
-    return found.select(*[F.col(f"`{c}`") for c in pages.columns], url.alias("_url"))
+    return found.select(*back, url.alias("_url"))
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

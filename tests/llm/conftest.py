@@ -30,6 +30,8 @@ def odd_docs(make_docs):
 
 
 CLASHES = ["_id", "_text", "_digest", "_sha", "keep_id", "kept", "rule", "host", "fp", "size", "score", "path", "_mix", "rank", "mask", "length"]
+CLASHES += ["_size", "_null", "_source", "_band", "_hash", "_words", "_plan", "_at", "_copies", "_copy", "_host", "_path", "_token", "_best", "_score", "_limit", "_row", "apart"]
+CLASHES += ["_op3_first", "_op3_digest", "_op3_sha", "_op3_id", "_op10_gone", "_op10_id", "_slot_of_ids", "_bits_of_ids", "digest", "bands", "root", "node"]
 
 
 @pytest.fixture(scope="session")
