@@ -234,7 +234,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     s = group_median(table(spark, sf, "lineitem"), ["l_suppkey"], "l_quantity").drop("n")
-    return shown(top_k(s, "median_l_quantity", 10))
+    return shown(top_k(s, "median_l_quantity", 10, once=True))
 
 
 @query(

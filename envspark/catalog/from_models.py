@@ -10,6 +10,7 @@ from envspark.catalog.base import query, shown, table
 from envspark.functions.measures import ENTEROCOCCI_BREAKS, QUALITY_LEVELS, cut, season_index
 from envspark.models import (
     augment,
+    category_codes,
     confusion,
     confusion_wide,
     fold_column,
@@ -20,6 +21,7 @@ from envspark.models import (
     node_stats,
     ols,
     ols_by,
+    regression_errors,
     residuals,
     rf_regressor,
     risk,
@@ -30,6 +32,7 @@ from envspark.models import (
     tree_regressor,
     tune_points,
     tune_tree,
+    with_codes,
 )
 from envspark.plans.modelling import best_group_models, compare_feature_sets, confusion_of, evaluate, score_columns, train_classifier, tune_classifier
 
@@ -103,6 +106,16 @@ def _(spark, sf):
     return coded.select("event_id", F.col("event_type_ix").alias("code"))
 
 
+@query(
+    "ml4_codes_joined",
+    """WITH c AS (SELECT o_custkey, row_number() OVER (ORDER BY n DESC, o_custkey) - 1 AS code FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1))
+    SELECT c_custkey, coalesce(code, (SELECT count(*) FROM c)) AS code FROM customer LEFT JOIN c ON c_custkey = o_custkey""",
+)
+def _(spark, sf):
+    codes = category_codes(table(spark, sf, "orders"), "o_custkey").withColumnRenamed("o_custkey", "c_custkey")
+    return shown(with_codes(table(spark, sf, "customer").select("c_custkey"), codes, "c_custkey", "code"))
+
+
 @query("ml9_confusion", f"""WITH {d.SCORED}, l AS (SELECT unnest(['Safe', 'Caution', 'Unsafe']) AS level),
     g AS (SELECT t.level AS truth, p.level AS prediction, count(s.event_id) AS n FROM l t CROSS JOIN l p LEFT JOIN scored s ON s.quality = t.level AND s.pred = p.level GROUP BY 1, 2)
     SELECT truth, prediction, n, round(n / sum(n) OVER (PARTITION BY truth), 6) AS prop FROM g""")
@@ -190,6 +203,31 @@ def _(spark, sf):
     return out.select("l_suppkey", "nobs", F.round("r_squared", 6).alias("r_squared"), F.round("adj_r_squared", 6).alias("adj_r_squared"), *[F.round(c, 3).alias(c) for c in three])
 
 
+@query(
+    "ml17_likelihoods",
+    """WITH m AS (SELECT l_suppkey, count(*) AS n, var_pop(l_quantity) AS a, var_pop(l_discount) AS b, covar_pop(l_quantity, l_discount) AS c, covar_pop(l_quantity, l_tax) AS p, covar_pop(l_discount, l_tax) AS q, var_pop(l_tax) AS y FROM lineitem GROUP BY 1),
+    g AS (SELECT *, (p * (p * b - q * c) + q * (q * a - p * c)) / (a * b - c * c) / y AS r2 FROM m),
+    l AS (SELECT *, -0.5 * n * (ln(2 * pi()) + ln(y * (1 - r2)) + 1) AS ll FROM g)
+    SELECT l_suppkey, n AS nobs, round(power(1 - r2, (n - 3) / 2.0), 6) AS p_value, round(ll, 4) AS log_lik, round(-2 * ll + 4 * ln(n), 4) AS bic FROM l""",
+)
+def _(spark, sf):
+    out = ols_by(table(spark, sf, "lineitem"), ["l_suppkey"], "l_tax", ["l_quantity", "l_discount"])
+    return out.select("l_suppkey", "nobs", F.round("p_value", 6).alias("p_value"), F.round("log_lik", 4).alias("log_lik"), F.round("bic", 4).alias("bic"))
+
+
+@query(
+    "ml20_fit_errors",
+    """WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem),
+    p AS (SELECT l_returnflag, l_extendedprice AS y, a + b * l_quantity AS e FROM lineitem, f)
+    SELECT l_returnflag, count(*) AS n, round(sqrt(avg((e - y) * (e - y))), 2) AS rmse, round(avg(abs(e - y)), 2) AS mae, round(avg(e - y), 2) AS bias, round(corr(y, e) * corr(y, e), 6) AS rsq FROM p GROUP BY 1""",
+)
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity")
+    fit = ols(rows, "l_extendedprice", ["l_quantity"])[2]
+    found = regression_errors(residuals(fit, rows, "l_extendedprice", "fitted"), "l_extendedprice", "fitted", ["l_returnflag"])
+    return found.select("l_returnflag", "n", *[F.round(c, 2).alias(c) for c in ("rmse", "mae", "bias")], F.round("rsq", 6).alias("rsq"))
+
+
 @query("ml17_best_group", f"WITH {TWO} SELECT l_suppkey, n AS nobs, round(r2, 6) AS r_squared, CAST(round(r2, 9) = max(round(r2, 9)) OVER () AS VARCHAR) AS best FROM g WHERE n > 100 AND r2 < 1")
 def _(spark, sf):
     best = best_group_models(table(spark, sf, "lineitem"), ["l_suppkey"], "l_extendedprice", ["l_quantity", "l_discount"])

@@ -1,5 +1,6 @@
 """Splits, Spark ML estimators, tuning and model evaluation."""
 
+from envspark.models.codes import category_codes, with_codes  # noqa: F401
 from envspark.models.estimators import (  # noqa: F401
     HandTillEvaluator,
     augment,
@@ -17,6 +18,7 @@ from envspark.models.evaluate import (  # noqa: F401
     confusion,
     confusion_wide,
     metrics,
+    regression_errors,
     risk,
     roc_auc,
     roc_curve,

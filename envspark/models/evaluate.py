@@ -141,3 +141,17 @@ def metrics(df: DataFrame, truth: str, pred: str, scores: dict[str, str]) -> Dat
         *[F.struct(F.lit(m).alias("metric"), F.lit("multiclass").alias("estimator"), v.alias("estimate")) for m, v in found.items()]
     )
     return one.select(F.inline(rows)).unionByName(roc_auc(df, truth, scores))
+
+
+def regression_errors(df: DataFrame, truth: str, estimate: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per group: ``n`` rows with both values, ``rmse``, ``mae``, ``bias`` (mean of estimate less truth) and ``rsq``, their squared correlation.
+
+    One pass of partial sums. A group without a complete row has n 0 and NULL
+    errors; a constant truth or estimate has NULL rsq.
+    """
+    t, e = _q(truth).cast("double"), _q(estimate).cast("double")
+    known = t.isNotNull() & e.isNotNull()
+    off, t, e = F.when(known, e - t), F.when(known, t), F.when(known, e)
+    spread = F.var_pop(t) * F.var_pop(e)
+    rsq = F.when(spread > 0, F.covar_pop(t, e) ** 2 / spread)
+    return df.groupBy(*by).agg(F.count(off).alias("n"), F.sqrt(F.avg(off * off)).alias("rmse"), F.avg(F.abs(off)).alias("mae"), F.avg(off).alias("bias"), rsq.alias("rsq"))

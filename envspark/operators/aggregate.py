@@ -154,11 +154,15 @@ def reference_agreement(df: DataFrame, date: str, cols: Sequence[str], reference
     return means.join(reference, date, "left")
 
 
-def top_k(df: DataFrame, col: str, k: int, ties: bool = True, largest: bool = True) -> DataFrame:
+def top_k(df: DataFrame, col: str, k: int, ties: bool = True, largest: bool = True, once: bool = False) -> DataFrame:
     """The k largest (smallest) rows by value; ties with the k-th are kept.
 
     The k-th value is found by a bounded top-k, so nothing is ranked in one partition.
+    The rows are read twice for that. ``once`` writes them first, for rows that
+    are costly to make and few, such as one per group.
     """
+    if once and ties:
+        df = staged(df, "ranked")
     order = F.col(col).desc() if largest else F.col(col).asc()
     leaders = df.filter(F.col(col).isNotNull()).select(col).orderBy(order).limit(k)
     if not ties:

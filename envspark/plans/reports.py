@@ -20,7 +20,7 @@ from envspark.operators.windows import roll_sum
 def ranked_sites(df: DataFrame, site: str, level: str, min_n: int, k: int, cleanest: bool) -> DataFrame:
     """The k cleanest or dirtiest sites by median (ties kept) among those with more than ``min_n`` rows, with their box."""
     boxes = quartiles(df, [site], level).filter(F.col("n_rows") > min_n).drop("n").withColumnRenamed("n_rows", "n_obs")
-    return whiskers(df, top_k(boxes, "median", k, ties=True, largest=not cleanest), [site], level)
+    return whiskers(df, top_k(boxes, "median", k, ties=True, largest=not cleanest, once=True), [site], level)
 
 
 def cohort_trend(df: DataFrame, site: str, date: str, level: str, rain: str, min_years: int, since_year: int, periods: int = 52) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from envspark.functions.measures import QUALITY_LEVELS
-from envspark.models import confusion, confusion_wide, fold_column, metrics, ols_by, risk, roc_auc, roc_curve, split_stratified
+from envspark.models import category_codes, confusion, confusion_wide, fold_column, metrics, ols_by, regression_errors, risk, roc_auc, roc_curve, split_stratified, with_codes
 from envspark.models.grouped_ols import _f_tail
 
 SCHEMA = "quality string, pred string, s double, c double, u double"
@@ -92,3 +92,33 @@ def test_f_tail_against_known_values():
     assert _f_tail(2.228138852 ** 2, 1, 10) == pytest.approx(0.05, abs=1e-8)
     assert _f_tail(3.3258345, 3, 9) < 0.08
     assert _f_tail(1.0, 5, 5) == pytest.approx(0.5)
+
+
+def test_codes_follow_frequency_and_leave_a_place_for_the_unseen(spark):
+    labels = [f"v{i}" for i in range(3000) for _ in range(1 + i % 4)] + [None] * 9
+    df = spark.createDataFrame([(x, "extra") for x in labels], "label string, _code string")
+    order = sorted({x for x in labels if x}, key=lambda x: (-labels.count(x), x))
+    codes = category_codes(df, "label")
+    assert {r.label: r.code for r in codes.collect()} == {x: k for k, x in enumerate(order)}
+    new = spark.createDataFrame([("v3", "a"), ("never", "b"), (None, "c"), ("v3", "a")], "label string, _label string")
+    got = with_codes(new, codes, "label", "code")
+    assert got.columns == ["label", "_label", "code"]
+    assert sorted((r._label, r.code) for r in got.collect()) == [("a", order.index("v3"))] * 2 + [("b", 3000), ("c", 3000)]
+    none = category_codes(df.limit(0), "label")
+    assert [r.code for r in with_codes(new.limit(1), none, "label", "code").collect()] == [0]
+
+
+def test_million_labels_are_not_collected(spark):
+    df = spark.range(1_000_000).select(F.concat(F.lit("k"), "id").alias("label")).union(spark.createDataFrame([("k77",)], "label string"))
+    codes = category_codes(df, "label")
+    most = codes.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert codes.filter("label = 'k77'").first().code == 0 and most < 500_000
+    assert codes.agg(F.countDistinct("code"), F.max("code")).first()[:] == (1_000_000, 999_999)
+
+
+def test_regression_errors(spark):
+    rows = [("a", 1.0, 2.0), ("a", 3.0, 3.0), ("a", None, 9.0), ("a", 5.0, 3.0), ("b", 1.0, 1.0), ("b", 1.0, 3.0), ("c", None, 1.0)]
+    got = {r.g: r for r in regression_errors(spark.createDataFrame(rows, "g string, t double, e double"), "t", "e", ["g"]).collect()}
+    assert got["a"].n == 3 and got["a"].rmse == pytest.approx((5 / 3) ** 0.5) and got["a"].mae == pytest.approx(1) and got["a"].bias == pytest.approx(-1 / 3)
+    assert got["a"].rsq == pytest.approx(0.75) and got["b"].rsq is None and got["b"].rmse == pytest.approx(2**0.5)
+    assert got["c"].n == 0 and got["c"].rmse is None
