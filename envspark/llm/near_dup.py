@@ -30,6 +30,9 @@ VARIANT = 1 << 52
 #: Times the hubs of a key that the next round takes.
 MORE_HUBS = 16
 
+#: Pairs of a key that a round after the first may make whatever its number of hubs; keys of up to 256 ids end in it.
+KEY_PAIRS = 1 << 16
+
 #: Standard deviations by which two fingerprints may differ in more bits than expected before their shingles are compared.
 MARGIN = 4.0
 
@@ -254,35 +257,37 @@ def similar_roots(nodes: DataFrame, docs: DataFrame, similarity: float, words: i
     largest component, so that one stranger among many copies costs one row a
     copy and no more rounds. A key is done when all its ids are of one
     component, after the first round for a group of copies. A round takes
-    MORE_HUBS times as many hubs of a key as the one before, so rounds grow with
-    the logarithm of the ids that are like no other of their key. No two ids of a key are left uncompared
-    and in different components; no round compares ids of one component.
+    MORE_HUBS times as many hubs of a key as the one before, and from the second
+    on as many as make KEY_PAIRS pairs, so small keys end in the second round and
+    rounds grow with the logarithm of the ids that are like no other of their
+    key. No two ids of a key are left uncompared and in different components; no
+    round compares ids of one component. Components of a round are stars to the
+    next, which adds its links to them.
     """
-    members, labels, tried, links = _members(nodes), None, None, None
+    members, labels, tried = _members(nodes), None, None
     rounds = Rounds()
     prints = nodes.select("id", "size", "fp")
     hubs = 1
     while True:
         held = members.withColumn("root", F.col("id")) if labels is None else rounds.keep(members.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
         sizes = held.groupBy("key", "root").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.count("*").alias("n")).filter("n > 1").select("key", "main")
-        still = rounds.keep(held.join(main, "key"))
+        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"))
+        still = rounds.keep(held.join(main.filter("roots > 1").drop("roots"), "key"))
         if still.isEmpty():
             return nodes.select("id", F.col("id").alias("root")).limit(0) if labels is None else labels
         place = F.row_number().over(W.partitionBy("key").orderBy("hub"))
-        outside = still.filter("root <> main").select("key", F.col("id").alias("hub"), F.col("root").alias("hub_root"))
-        picked = rounds.keep(outside.withColumn("_at", place).filter(F.col("_at") <= hubs).drop("_at"))
-        pairs = _ordered(still.join(picked, "key").filter("root <> hub_root").select("id", "hub"))
-        pairs = staged(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        near = rounds.keep(_near_prints(pairs, prints, similarity))
+        most = F.lit(hubs) if hubs == 1 else F.greatest(F.lit(hubs), F.floor(F.lit(KEY_PAIRS) / F.col("n")))
+        outside = still.filter("root <> main").select("key", F.col("id").alias("hub"), F.col("root").alias("hub_root"), "n")
+        picked = rounds.keep(outside.withColumn("_at", place).filter(F.col("_at") <= most).select("key", "hub", "hub_root"))
+        near = _near_prints(_ordered(still.join(picked, "key").filter("root <> hub_root").select("id", "hub")), prints, similarity)
+        near = staged(near if tried is None else near.join(tried, ["u", "v"], "left_anti"), "near")
+        tried = near if tried is None else tried.union(near)
         if not near.isEmpty():
-            ids = rounds.keep(near.select(F.col("u").alias("id")).union(near.select("v")).distinct())
+            ids = near.select(F.col("u").alias("id")).union(near.select("v"))
             sets = rounds.keep(shingle_sets(docs, ids, words, id_col, text_col))
-            found = staged(alike(near, sets).filter(F.col("alike") >= similarity).select("u", "v"), "links")
+            found = rounds.keep(alike(near, sets).filter(F.col("alike") >= similarity).select("u", "v"))
             if not found.isEmpty():
-                links = found if links is None else links.union(found)
-                labels = staged(connected(links).withColumnRenamed("node", "id"), "labels")
+                labels = connected(found if labels is None else found.union(labels.select(F.col("id").alias("u"), F.col("root").alias("v")))).withColumnRenamed("node", "id")
         members = still.join(picked.withColumnRenamed("hub", "id"), ["key", "id"], "left_anti").select("key", "id")
         hubs *= MORE_HUBS
         rounds.turn()
@@ -303,7 +308,7 @@ def _near_prints(pairs: DataFrame, prints: DataFrame, similarity: float) -> Data
     MARGIN standard deviations above that; small sets pass untested.
     """
     one, two = (prints.select(F.col("id").alias(c), F.col("size").alias(f"_n{c}"), F.col("fp").alias(f"_f{c}")) for c in "uv")
-    both = pairs.join(one, "u").join(two, "v")
+    both = pairs.join(two, "v").join(one, "u")  # hubs are mostly the smaller id: their join is followed by another, so it can be split
     less, more = F.least("_nu", "_nv"), F.greatest("_nu", "_nv")
     bits = F.aggregate(F.zip_with("_fu", "_fv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
