@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from envspark.functions.times import UNITS_PER_HOUR, hours_between, kind_of, position_as
-from envspark.operators.slices import POS, TIME_BITS, VALUE_BITS, last_known
+from envspark.operators.slices import POS, TIME_BITS, VALUE_BITS, last_and_next, last_known
 
 _ROW_KEYS = "_key"
 
@@ -70,17 +70,29 @@ def _asof(
     sign = -1 if forward else 1
     mine = {k: F.col(l) for k, (l, _) in zip(keys, by)} or {keys[0]: F.lit(0)}
     theirs = {k: F.col(r) for k, (_, r) in zip(keys, by)} or {keys[0]: F.lit(0)}
-    known = [f"{k} is not null" for k in (*keys, POS)]
     rows = left.withColumns(mine | {POS: left_pos * sign})
+    found = _looked_up(rows.select(*keys, POS), _events(right, theirs, right_pos * sign, tie_break, carry), keys, strict, bits)
+    return rows.join(found, [*keys, POS], "left").select(*left.columns, "_event")
+
+
+def _known(keys: Sequence[str]) -> str:
+    return " and ".join(f"{k} is not null" for k in (*keys, POS))
+
+
+def _events(right: DataFrame, keys: dict[str, Column], at: Column, tie_break: Sequence[Column], carry: Sequence[str]) -> DataFrame:
+    """One event per key and position, the one that wins the tie."""
     tie = F.struct(*tie_break) if tie_break else F.struct(F.lit(0).alias("t"))
-    events = right.select(*[c.alias(k) for k, c in theirs.items()], (right_pos * sign).alias(POS), F.struct(tie.alias("tie"), F.struct(*carry).alias("row")).alias("_event"))
-    events = events.filter(" and ".join(known)).groupBy(*keys, POS).agg(F.max("_event")["row"].alias("_event"))
-    wanted = rows.select(*keys, POS).filter(" and ".join(known)).distinct()
+    events = right.select(*[c.alias(k) for k, c in keys.items()], at.alias(POS), F.struct(tie.alias("tie"), F.struct(*carry).alias("row")).alias("_event"))
+    return events.filter(_known(list(keys))).groupBy(*keys, POS).agg(F.max("_event")["row"].alias("_event"))
+
+
+def _looked_up(wanted: DataFrame, events: DataFrame, keys: Sequence[str], strict: bool, bits: int) -> DataFrame:
+    """The distinct wanted (key, position) pairs with the last event before them (at or before, unless ``strict``)."""
     # at equal positions a strict join must not see the event, so the event sorts after the row
     row_first, event_first = (0, 1) if strict else (1, 0)
-    stream = wanted.withColumn("_kind", F.lit(row_first)).unionByName(events.withColumn("_kind", F.lit(event_first)), allowMissingColumns=True)
-    found = last_known(stream, keys, [F.col(POS), F.col("_kind")], "_event", bits).filter(F.col("_kind") == row_first).drop("_kind")
-    return rows.join(found, [*keys, POS], "left").select(*left.columns, "_event")
+    pairs = wanted.filter(_known(keys)).distinct().withColumn("_kind", F.lit(row_first))
+    stream = pairs.unionByName(events.withColumn("_kind", F.lit(event_first)), allowMissingColumns=True)
+    return last_known(stream, keys, [F.col(POS), F.col("_kind")], "_event", bits).filter(F.col("_kind") == row_first).drop("_kind")
 
 
 def _pairs(by) -> list[tuple[str, str]]:
@@ -163,7 +175,8 @@ def asof_with_fallback(
 ) -> DataFrame:
     """Backward as-of; rows with no event within ``max_gap_hours`` take the fallback key's event and ``flag`` false.
 
-    Adds ``hours_since``. The flag column comes from the event where the own key
+    Positions are wanted of the own and of the fallback key, and looked up in one
+    pass over one stream. Adds ``hours_since``. The flag column comes from the event where the own key
     served the row.
     """
     (pair,) = _pairs(by)
@@ -175,10 +188,14 @@ def asof_with_fallback(
     at, event_at, kind = _positions(left, left_time, right, right_time)
     if kind not in UNITS_PER_HOUR:
         raise TypeError(f"{left_time}: a plain number has no hours")
-    width = _bits(kind, bits)
-    own = _asof(left, right, [pair], at, event_at, width, True, tie_break, carry, False).withColumnRenamed("_event", "_own")
-    default = right.filter(F.col(pair[1]) == F.lit(fallback_key))
-    both = _asof(own, default, [], at, event_at, width, True, tie_break, carry, False)
+    key = f"{_ROW_KEYS}0"
+    spare_key = F.lit(fallback_key).cast(left.schema[pair[0]].dataType)
+    rows = left.withColumns({key: F.col(pair[0]), POS: at})
+    wanted = rows.select(F.explode(F.array(key, spare_key)).alias(key), POS)
+    found = _looked_up(wanted, _events(right, {key: F.col(pair[1])}, event_at, tie_break, carry), [key], True, _bits(kind, bits))
+    own = found.withColumnRenamed("_event", "_own")
+    default = found.filter(F.col(key) == spare_key).select(POS, "_event")
+    both = rows.join(own, [key, POS], "left").join(default, POS, "left")
 
     def gap(event: str) -> Column:
         return hours_between(F.col(left_time), F.col(event)[right_time])
@@ -197,8 +214,12 @@ def nearest_value(left: DataFrame, right: DataFrame, left_col: str, right_col: s
     """The value of ``right`` closest to each left value; of two equally close ones the smaller."""
     wanted = left.select(left_col).filter(F.col(left_col).isNotNull()).distinct()
     values = right.select(F.col(right_col).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-    below = asof_backward(wanted, values.withColumnRenamed("_v", "_below"), [], left_col, "_below", strict=False, bits=bits)
-    both = asof_forward(below, values.withColumnRenamed("_v", "_above"), [], left_col, "_above", strict=False, bits=bits)
+    at, value_at, kind = _positions(wanted, left_col, values, "_v")
+    all_of = F.lit(0).alias(f"{_ROW_KEYS}all")
+    # a value at a row's own position sorts before the row: it is the last one there, at no distance
+    stream = wanted.select(F.col(left_col), all_of, at.alias(POS), F.lit(1).alias("_kind")).unionByName(values.select(all_of, value_at.alias(POS), F.lit(0).alias("_kind"), F.struct("_v").alias("_event")), allowMissingColumns=True)
+    found = last_and_next(stream, [f"{_ROW_KEYS}all"], [F.col(POS), F.col("_kind")], "_event", _bits(kind, bits)).filter("_kind = 1")
+    both = found.select(left_col, F.col("_last._v").alias("_below"), F.col("_next._v").alias("_above"))
     down, up = _distance(both, left_col, "_below"), _distance(both, "_above", left_col)
     pick = F.when(F.col("_above").isNull() | (down <= up), F.col("_below")).otherwise(F.col("_above"))
     return left.join(both.select(left_col, pick.alias(name)), left_col, "left")
