@@ -49,8 +49,6 @@ def _connect(folder):
 
 @pytest.mark.parametrize("name", ["op3_exact_dedup", "op4_source_mix", "op5_licence_scan", "op7_url_rules", "op11_vector_codes", "op12_ranked_search", "op13_warc"])
 def test_odd_rows_match_sql(spark, odd_dir, name):
-    if name == "op5_licence_scan":
-        pytest.skip("its SQL takes ids as unique; see test_licences")
     assert compare(spark, _connect(odd_dir), odd_dir, QUERIES[name], ORACLES[name]) is None
 
 
