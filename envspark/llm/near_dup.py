@@ -211,11 +211,14 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str = "doc
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["_id"], "set": [np.unique(shingle_hashes(x, words)).view(np.int64) for x in pdf["_text"]]})
+            for a in range(0, len(pdf), 256):
+                part = pdf.iloc[a : a + 256]
+                yield pd.DataFrame({"id": part["_id"], "set": [np.unique(shingle_hashes(x, words)).view(np.int64) for x in part["_text"]]})
 
     named = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     maybe, _ = sieve(named, "_id", ids, "id")
-    return maybe.join(ids.withColumnRenamed("id", "_id"), "_id", "left_semi").mapInPandas(compute, "id long, set array<long>").distinct()
+    # a semi join would be moved below the sieve, and all texts shuffled
+    return maybe.join(ids.select(F.col("id").alias("_id")).distinct(), "_id").select("_id", "_text").mapInPandas(compute, "id long, set array<long>").distinct()
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -337,7 +340,8 @@ def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, longs: i
     gone = marked.select("doc_id", "digest").join(lead, "digest").filter("doc_id <> _lead").select(F.col("doc_id").alias("_op10_gone")).distinct()
     gone = cut(gone)
     maybe, surely = sieve(docs, id_col, gone, "_op10_gone")
-    left = maybe.withColumn("_op10_id", F.col(f"`{id_col}`").cast("long")).join(gone.withColumnRenamed("_op10_gone", "_op10_id"), "_op10_id", "left_anti")
+    # an anti join would be moved below the sieve, and all rows shuffled
+    left = maybe.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_op10_gone"), "left").filter("_op10_gone is null")
     return surely.select(*back).union(left.select(*back))
 
 
