@@ -98,12 +98,14 @@ def last_known(rows: DataFrame, by: Sequence[str], order: Sequence[Column], payl
 def last_and_next(rows: DataFrame, by: Sequence[str], order: Sequence[Column], payload: str, bits: int = VALUE_BITS) -> DataFrame:
     """``payload``'s last non-NULL value at or before each row as ``_last``, and its first at or after it as ``_next``.
 
-    As :func:`last_known`, with both ways carried by one pass over the rows.
+    As :func:`last_known`, with both ways carried by one pass over the rows;
+    ``order`` holds plain columns, each sorted upwards.
     """
     placed = _bucketed(rows, by, bits)
-    inside = Window.partitionBy(_KEY, _BUCKET).orderBy(*order)
-    back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
-    local = placed.withColumns({"_last": F.last(payload, ignorenulls=True).over(back), "_next": F.first(payload, ignorenulls=True).over(ahead)})
+    # a frame that ends at the last row is summed up anew for every row; the opposite order's running frame is not
+    so_far = lambda *way: Window.partitionBy(_KEY, _BUCKET).orderBy(*way).rowsBetween(Window.unboundedPreceding, 0)
+    known_by = F.last(payload, ignorenulls=True)
+    local = placed.withColumns({"_last": known_by.over(so_far(*order)), "_next": known_by.over(so_far(*[c.desc() for c in order]))})
     known = F.col(payload).isNotNull()
     ends = lambda at: [F.max_by("_last", F.when(F.col("_last").isNotNull(), at)).alias("_last"), F.min_by("_next", F.when(F.col("_next").isNotNull(), at)).alias("_next")]
     at = F.when(known, F.struct(*order))
@@ -111,9 +113,8 @@ def last_and_next(rows: DataFrame, by: Sequence[str], order: Sequence[Column], p
     spans = buckets.groupBy(_KEY, _SPAN).agg(*ends(F.col(_BUCKET)))
 
     def beside(partition: Sequence[str], step: str, names: tuple[str, str]) -> list[Column]:
-        along = Window.partitionBy(*partition).orderBy(step)
-        before, after = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
-        return [F.last("_last", ignorenulls=True).over(before).alias(names[0]), F.first("_next", ignorenulls=True).over(after).alias(names[1])]
+        before, after = _earlier(partition, F.col(step)), _earlier(partition, F.col(step).desc())
+        return [F.last("_last", ignorenulls=True).over(before).alias(names[0]), F.last("_next", ignorenulls=True).over(after).alias(names[1])]
 
     of_span = spans.select(_KEY, _SPAN, *beside([_KEY], _SPAN, ("_far_last", "_far_next")))
     of_bucket = buckets.select(_KEY, _SPAN, _BUCKET, *beside([_KEY, _SPAN], _BUCKET, ("_near_last", "_near_next")))

@@ -187,3 +187,15 @@ def test_repeated_turns_do_not_depend_on_input_order(spark):
     for some in (rows, rows[::-1]):
         got = phase_features(spark.createDataFrame(some, "s string, t timestamp, level double").coalesce(1), "s", "t", "level").collect()
         assert sorted((r["level"], r["tide_range_ft"] or -1) for r in got) == [(2.0, 3.0), (5.0, -1)]
+
+
+def test_nearest_value_never_sums_up_a_frame_anew_for_every_row(spark):
+    """A frame that ends at a partition's last row costs the square of the partition's rows."""
+    left = spark.range(3000).select((F.col("id") / 1000 + 5000).alias("x"))
+    right = spark.range(0, 3000, 7).select((F.col("id") / 1000 + 5000.0005).alias("p"))
+    found = nearest_value(left, right, "x", "p", "closest")
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "window" in plan and "unboundedfollowing" not in plan
+    values = [r.p for r in right.collect()]
+    for r in found.filter("x < 5000.3").collect():
+        assert r.closest == min(values, key=lambda v: (abs(v - r.x), v))
