@@ -119,3 +119,45 @@ def test_area_from_rounded_scores_is_the_exact_one_where_scores_have_few_digits(
     assert HandTillEvaluator(3).evaluate(scored) == pytest.approx(HandTillEvaluator(3, digits=None).evaluate(scored))
     one = scored.filter("label_index = 0")
     assert HandTillEvaluator(3).evaluate(one) == 0.0
+
+
+def test_links_of_a_large_tree_are_cut_without_reading_it_whole_at_every_step():
+    import time
+
+    nodes = []
+
+    def grow(parent, depth, risk):
+        i = len(nodes)
+        nodes.append({"node": i, "parent": parent, "depth": depth, "leaf": None, "risk": risk, "n": 1.0, "prediction": 0.0})
+        if depth < 13:
+            share = 0.3 + (i * 7919 % 101) / 400
+            grow(i, depth + 1, risk * 0.9 * share)
+            grow(i, depth + 1, risk * 0.9 * (1 - share))
+
+    grow(None, 0, 100.0)
+    began = time.process_time()
+    alphas = [x["alpha"] for x in weakest_links(nodes)]
+    assert time.process_time() - began < 20 and len(nodes) == 16383
+    assert all(alphas[x["node"]] <= alphas[x["parent"]] for x in nodes[1:])
+
+
+def test_search_grows_one_tree_a_fold_and_scores_all_depths_as_trees_grown_no_deeper(spark, monkeypatch):
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    rows = spark.range(3000).select("id", (F.col("id") * 7919 % 61).cast("double").alias("x"), (F.col("id") % 13).cast("double").alias("z"))
+    rows = fold_column(rows.withColumn("y", F.round(F.sin(F.col("x") / 90) * 100) + F.col("z") * F.col("z")), 3, "id", 5)
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    depths, costs, fits = [1, 3, 6], [1e-10, 1e-3, 0.1], []
+    expected = {}
+    for depth in depths:
+        errors = {c: [] for c in costs}
+        for k in range(3):
+            model = tree_regressor("y", ["x", "z"], depth=depth, min_gain=0.0).fit(rows.filter(F.col("fold") != k))
+            for r in pruned(model, rows.filter(F.col("fold") == k), costs).groupBy("cost").agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2)).alias("e")).collect():
+                errors[r["cost"]].append(r["e"])
+        expected |= {(depth, c): sum(e) / 3 for c, e in errors.items()}
+    grown = DecisionTreeRegressor._fit
+    monkeypatch.setattr(DecisionTreeRegressor, "_fit", lambda self, df: fits.append(self.getMaxDepth()) or grown(self, df))
+    got = {(r["depth"], r["cost"]): r["mean"] for r in tune_tree(tree_regressor("y", ["x", "z"], min_gain=0.0), rows, depths, costs).collect()}
+    assert fits == [6, 6, 6]
+    assert got == {k: pytest.approx(v) for k, v in expected.items()}
