@@ -109,3 +109,24 @@ def test_thresholds_match_a_search():
         cuts = {c: 2 * (y * (s >= c)).sum() / ((s >= c).sum() + y.sum()) for c in np.unique(s)}
         found = calibrate(s, y, ["a"] * 120)["a"]
         assert 2 * (y * (s >= found)).sum() / ((s >= found).sum() + y.sum()) == pytest.approx(max(cuts.values()))
+
+
+def test_every_labelled_document_is_learnt_from(spark):
+    """The only toxic documents come after more than ten thousand others, in the order of their id hashes."""
+    docs = spark.range(15000).select(F.col("id").alias("doc_id"), F.concat(F.lit("quiet"), F.col("id") % 50, F.lit(" calm"), F.col("id") % 7).alias("text"), F.lit("en").alias("lang"))
+    late = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).orderBy(F.xxhash64("doc_id").desc()).limit(400).select(F.col("doc_id").alias("late"))
+    docs = docs.join(late, F.col("doc_id") == F.col("late"), "left").cache()
+    docs = docs.withColumn("text", F.when(F.col("late").isNotNull(), F.concat("text", F.lit(" vilest"))).otherwise(F.col("text")))
+    labels = docs.select("doc_id", F.col("late").isNotNull().cast("int").alias("toxic"))
+    model = train_toxicity(docs.drop("late"), labels)
+    clean, foul = model.scores([Hasher()("quiet1 calm2"), Hasher()("quiet1 vilest calm2")])
+    assert clean < 0.1 and foul > 0.5 and model.thresholds.keys() == {"en"}
+
+
+def test_thresholds_of_a_table_are_those_of_arrays(spark):
+    from envspark.llm.toxicity import thresholds
+
+    rng = np.random.default_rng(4)
+    rows = [(str(rng.choice(["", "a", "b", "c"])), float(rng.integers(0, 200)) / 200, int(rng.random() < 0.3)) for _ in range(800)] + [("rare", 0.5, 1), ("full", 0.2, 0)]
+    lang, scores, y = zip(*rows)
+    assert thresholds(spark.createDataFrame(rows, "lang string, score double, toxic int")) == pytest.approx(calibrate(np.array(scores), np.array(y), list(lang)))
