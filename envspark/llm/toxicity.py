@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +21,7 @@ from envspark.operators.slices import POS, running_sum
 ROWS, SIZE, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 16
 
 #: Labelled documents of a shard, about, and passes over all of them. Shards learn apart and are averaged after a pass.
-SHARD, EPOCHS = 5_000, 3
+SHARD, EPOCHS = 10_000, 3
 
 #: Documents of a gradient step; steps of the whole numbers in which weights are added up, so that the order adds nothing.
 BATCH, GRAIN = 32, float(1 << 32)
@@ -287,13 +288,13 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
             new = pdf["_id"].ne(pdf["_id"].shift(fill_value=last))
             last = pdf["_id"].iloc[-1] if len(pdf) else last
             pdf = pdf[new]
-            yield pd.DataFrame({"toxic": pdf["toxic"], "lang": pdf["lang"], "apart": pdf["apart"], "ids": [hasher(x).tobytes() for x in pdf["_text"]]})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "lang": pdf["lang"], "apart": pdf["apart"], "ids": [zlib.compress(hasher(x).tobytes(), 1) for x in pdf["_text"]]})
 
     return cut(rows.sortWithinPartitions("_order", "_id", "_text", "lang").mapInPandas(hash_words, "toxic int, lang string, apart boolean, ids binary"))
 
 
 def _words(pdf: pd.DataFrame) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int32).reshape(-1, 3) for x in pdf["ids"]]
+    return [np.frombuffer(zlib.decompress(x), np.int32).reshape(-1, 3) for x in pdf["ids"]]
 
 
 def _seen(rows: DataFrame) -> np.ndarray:
