@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -42,29 +43,42 @@ OUT_RATE, FILTER_RATE, WORD_RATE = 0.05, 0.02, 0.01
 SCORED, REMEMBERED = 1 << 15, 50_000
 
 _WORDS = re.compile(r"[^\W\d_]+")
+_APART = {k: " " for k in range(128) if not chr(k).isalpha()}
+
+
+def _rows_of(word: str) -> tuple[int, int, int]:
+    h = xxhash.xxh64_intdigest(word)
+    stem = xxhash.xxh64_intdigest(word[:STEM], 1) % (ROWS - 1) + 1 if len(word) > STEM else 0
+    return h % (ROWS - 1) + 1, (h >> 32) % (ROWS - 1) + 1, stem
 
 
 class Hasher:
     """Three embedding rows per word: two of the word, so that it shares both with another almost never, and one of its first letters."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, int, int]] = {}
+        self.known: dict[str, int] = {}  # a word's place among the rows
+        self.rows = np.zeros((REMEMBERED, 3), np.int32)
 
     def __call__(self, text: str) -> np.ndarray:
-        words = _WORDS.findall(text.lower())
-        known = self.known
-        try:
-            found = [known[w] for w in words]
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for w in dict.fromkeys(words):
-                if w not in known:
-                    h = xxhash.xxh64_intdigest(w)
-                    stem = xxhash.xxh64_intdigest(w[:STEM], 1) % (ROWS - 1) + 1 if len(w) > STEM else 0
-                    known[w] = (h % (ROWS - 1) + 1, (h >> 32) % (ROWS - 1) + 1, stem)
-            found = [known[w] for w in words]
-        return np.array(found, np.int32).reshape(-1, 3)
+        text = text.lower()
+        words = text.translate(_APART).split() if text.isascii() else _WORDS.findall(text)
+        places = [*map(self.known.get, words)]
+        if None not in places:
+            return self.rows[np.array(places, np.int64)]
+        # frequent words come early; what comes when all places are taken is hashed again in each text
+        new: dict[str, int] = {}
+        for w, k in zip(words, places):
+            if k is None and w not in new:
+                new[w] = REMEMBERED + len(new)
+        found = np.array([_rows_of(w) for w in new], np.int32)
+        at, free = len(self.known), max(REMEMBERED - len(self.known), 0)
+        self.rows[at : at + len(found[:free])] = found[:free]
+        self.known |= zip(islice(new, free), range(at, REMEMBERED))
+        places = np.array([new[w] if k is None else k for w, k in zip(words, places)], np.int64)
+        out = self.rows.take(places, axis=0, mode="clip")
+        unknown = places >= REMEMBERED
+        out[unknown] = found[places[unknown] - REMEMBERED]
+        return out
 
 
 @dataclass
@@ -280,7 +294,8 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     maybe, _ = sieve(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), F.coalesce("lang", F.lit("")).alias("lang")), "doc_id", known, "doc_id")
     apart = F.pmod(F.xxhash64("doc_id", F.lit("thresholds")), F.lit(CALIBRATED)) == 0
     rows = maybe.repartition(shards, "doc_id").join(known.repartition(shards, "doc_id"), "doc_id").withColumn("apart", apart)
-    rows = rows.select(F.xxhash64("doc_id").alias("_order"), F.col("doc_id").cast("string").alias("_id"), "_text", "lang", "toxic", "apart")
+    # a join of tables too large to be sent whole may be planned with another number of partitions
+    rows = rows.coalesce(shards).select(F.xxhash64("doc_id").alias("_order"), F.col("doc_id").cast("string").alias("_id"), "_text", "lang", "toxic", "apart")
 
     def hash_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, last = Hasher(), None

@@ -130,3 +130,37 @@ def test_thresholds_of_a_table_are_those_of_arrays(spark):
     rows = [(str(rng.choice(["", "a", "b", "c"])), float(rng.integers(0, 200)) / 200, int(rng.random() < 0.3)) for _ in range(800)] + [("rare", 0.5, 1), ("full", 0.2, 0)]
     lang, scores, y = zip(*rows)
     assert thresholds(spark.createDataFrame(rows, "lang string, score double, toxic int")) == pytest.approx(calibrate(np.array(scores), np.array(y), list(lang)))
+
+
+def test_words_are_hashed_as_one_by_one(monkeypatch):
+    import xxhash
+
+    from envspark.llm import toxicity
+    from envspark.llm.toxicity import ROWS, STEM
+
+    def row(w):
+        h = xxhash.xxh64_intdigest(w)
+        return h % (ROWS - 1) + 1, (h >> 32) % (ROWS - 1) + 1, xxhash.xxh64_intdigest(w[:STEM], 1) % (ROWS - 1) + 1 if len(w) > STEM else 0
+
+    odd = ["", " \t\n", "One two,three ONE", "Äpfel\u2003und_Öl x²y 12ab34", "x" * 500 + " " + "ab-" * 300, "42 -- 7", "ſtraße\x1cİstanbul", "One two,three ONE"]
+    for remembered in (1, 3, 50_000):
+        monkeypatch.setattr(toxicity, "REMEMBERED", remembered)
+        hasher = Hasher()
+        for text in odd + [f"w{chr(97 + i % 26)}{chr(97 + i // 26)} again" for i in range(300)] + odd:
+            assert hasher(text).tolist() == [list(row(w)) for w in toxicity._WORDS.findall(text.lower())]
+        assert len(hasher.known) <= remembered
+
+
+def test_shards_follow_the_labels_however_the_join_is_planned(spark):
+    from envspark.llm.toxicity import _labelled
+
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("calm words").alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", F.lit(0).alias("toxic"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "31")
+        assert _labelled(docs, labels).rdd.getNumPartitions() == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
