@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from envspark.session import remove, staged
 
+#: Rows of a fold's table per task: each fit reads it in a dozen short passes, so small tables go in few tasks.
+TASK_ROWS = 1 << 18
+
 CANDIDATES = "candidate int, parameter string, value string, mean double, std double, best boolean"
 
 
@@ -57,11 +60,14 @@ class Folds:
     """Training and held-out rows of every fold, with the feature stages fitted once per fold and their output written once.
 
     All candidates of a fold read the same two tables; only the columns
-    ``features`` and ``keep`` are in them.
+    ``features`` and ``keep`` are in them. Their number of files follows the rows.
+    ``rows`` are those of all folds, until :meth:`close`.
     """
 
     def __init__(self, stages: Sequence, df: DataFrame, fold_col: str, keep: Sequence[str], parallelism: int):
-        rows = staged(df, "folds")
+        held = staged(df, "folds")
+        tasks = max(1, -(-held.count() // TASK_ROWS))
+        rows = self.rows = held.coalesce(tasks)
         self.names = sorted(r[0] for r in rows.select(fold_col).distinct().collect())
 
         def prepare(fold: int) -> tuple[DataFrame, DataFrame]:
@@ -71,9 +77,9 @@ class Folds:
 
         with ThreadPool(parallelism) as pool:
             self.parts = pool.map(inheritable_thread_target(df.sparkSession)(prepare), self.names)
-        remove(rows)
 
     def close(self) -> None:
+        remove(self.rows)
         for part in self.parts:
             for df in part:
                 remove(df)
@@ -103,10 +109,10 @@ def tune_points(
 
     with ThreadPool(parallelism) as pool:
         scores = pool.map(inheritable_thread_target(df.sparkSession)(score), [(p, part) for p in points for part in folds.parts], chunksize=1)
-    folds.close()
     each = [scores[i : i + len(folds.names)] for i in range(0, len(scores), len(folds.names))]
     means = [fmean(x) for x in each]
     best = (max if evaluator.isLargerBetter() else min)(range(len(means)), key=means.__getitem__)
     rows = [(i, name, str(value), means[i], pstdev(each[i]), i == best) for i, point in enumerate(points) for name, value in point.items()]
-    final = Pipeline(stages=[*pipeline.getStages()[:-1], estimator.copy(params(points[best]))]).fit(df)
+    final = Pipeline(stages=[*pipeline.getStages()[:-1], estimator.copy(params(points[best]))]).fit(folds.rows)
+    folds.close()
     return final, df.sparkSession.createDataFrame(rows, CANDIDATES)

@@ -161,3 +161,21 @@ def test_search_grows_one_tree_a_fold_and_scores_all_depths_as_trees_grown_no_de
     got = {(r["depth"], r["cost"]): r["mean"] for r in tune_tree(tree_regressor("y", ["x", "z"], min_gain=0.0), rows, depths, costs).collect()}
     assert fits == [6, 6, 6]
     assert got == {k: pytest.approx(v) for k, v in expected.items()}
+
+
+def test_fold_tables_have_files_by_their_rows(spark, monkeypatch):
+    """Each fit reads its rows in many short passes; a small table from many tasks goes in one."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from envspark.models import search
+
+    df = spark.range(0, 400, 1, 12).select((F.col("id") % 2).cast("int").alias("fold"), F.col("id").cast("double").alias("x"), "id")
+    for rows, least, most in ((1 << 18, 1, 1), (50, 2, 8)):
+        monkeypatch.setattr(search, "TASK_ROWS", rows)
+        folds = search.Folds([VectorAssembler(inputCols=["x"], outputCol="features")], df, "fold", ["id"], 2)
+        assert folds.names == [0, 1] and sorted(r.id for r in folds.rows.collect()) == list(range(400))
+        for k, (train, held_out) in enumerate(folds.parts):
+            assert least <= train.rdd.getNumPartitions() <= most
+            assert sorted(r.id for r in held_out.collect()) == list(range(k, 400, 2))
+            assert sorted(r.id for r in train.collect()) == list(range(1 - k, 400, 2))
+        folds.close()
