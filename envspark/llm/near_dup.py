@@ -140,7 +140,8 @@ def ball_links(nodes: DataFrame, radius: int, bits: int = 64) -> DataFrame:
         near = nodes.filter(odd).select("fp", F.explode(F.lit(_masks(bits, half))).alias("_m"))
         variant = F.col("fp").bitwiseXOR(F.col("_m")).alias("_variant")
         hubs = near.select("fp", variant).groupBy("_variant").agg(F.min("fp").alias("v"))
-        met = far.select(F.col("fp").alias("u"), variant).join(hubs, "_variant")
+        # variants are many times what the planner takes them for: without the hint it would send them all through the driver
+        met = far.select(F.col("fp").alias("u"), variant).join(hubs.hint("merge"), "_variant")
         links = links.union(met.select("u", "v"))
     return links
 
@@ -239,11 +240,12 @@ def _members(nodes: DataFrame) -> DataFrame:
     words = F.transform(F.slice("fp", 1, BALLS), lambda x, at: F.shiftleft(at.cast("long"), BITS).bitwiseOR(x.bitwiseAND(F.lit((1 << BITS) - 1))))
     parts = nodes.select("id", F.explode(F.concat(words, "bands")).alias("key"))
     counts = cut(parts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1 or key >= 0"))
-    equal = parts.join(counts.filter("n > 1").select("key"), "key").select("key", "id")
+    # keys and variants are many times what the planner takes them for, and must not be sent through the driver
+    equal = parts.join(counts.filter("n > 1").select("key").hint("merge"), "key").select("key", "id")
     spread = counts.filter("key >= 0").select(F.col("key").alias("word")).repartition(tasks(nodes.sparkSession), "word")
     spread = spread.select("word", F.explode(F.lit([0, *_masks(BITS, 1)])).alias("_m")).select("word", F.col("word").bitwiseXOR(F.col("_m")).bitwiseOR(F.lit(VARIANT)).alias("variant"))
     met = cut(spread.withColumn("_n", F.count("*").over(W.partitionBy("variant"))).filter("_n > 1").drop("_n"))
-    return cut(equal.union(met.join(parts.withColumnRenamed("key", "word"), "word").select("variant", "id")))
+    return cut(equal.union(met.hint("merge").join(parts.withColumnRenamed("key", "word"), "word").select("variant", "id")))
 
 
 def similar_roots(nodes: DataFrame, docs: DataFrame, similarity: float, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

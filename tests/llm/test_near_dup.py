@@ -158,3 +158,11 @@ def test_components_end_as_stars(spark):
     got = {r.node: r.root for r in connected(spark.createDataFrame(path + star + clique + [(7, 7), (None, 3)], "u long, v long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {i: 200 for i in range(200, 212)}
     assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_variants_are_not_sent_through_the_driver(spark):
+    """A value has up to a thousand variants, of which the planner knows nothing."""
+    from envspark.llm.near_dup import ball_links
+
+    plan = ball_links(spark.range(500).select(F.xxhash64("id").alias("fp")), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
