@@ -151,16 +151,18 @@ def test_words_are_hashed_as_one_by_one(monkeypatch):
         assert len(hasher.known) <= remembered
 
 
-def test_shards_follow_the_labels_however_the_join_is_planned(spark):
+def test_shards_follow_the_labels_however_the_join_is_planned(spark, monkeypatch):
+    from envspark.llm import toxicity
     from envspark.llm.toxicity import _labelled
 
+    monkeypatch.setattr(toxicity, "SHARD", 100)
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("calm words").alias("text"), F.lit("en").alias("lang"))
     labels = docs.select("doc_id", F.lit(0).alias("toxic"))
     before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         spark.conf.set("spark.sql.shuffle.partitions", "31")
-        assert _labelled(docs, labels).rdd.getNumPartitions() == 1
+        assert _labelled(docs, labels).rdd.getNumPartitions() == 4
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
