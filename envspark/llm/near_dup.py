@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from envspark.llm.common import Rounds, connected, cut, sheltered, sieve, star, table, tasks
+from envspark.llm.common import Rounds, connected, cut, lean, modest_batches, sheltered, sieve, star, table, tasks
 from envspark.session import staged
 
 #: Shingles whose bits are counted at a time; bounds a worker's memory and changes no result.
@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, words: int, longs: int = 1, id_col: str = "doc
             yield pd.DataFrame({"doc_id": pd.array([None if x is None else int(x) for x in pdf["_id"]], "Int64"), "fp": list(np.concatenate(done))})
 
     rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return rows.mapInPandas(compute, "doc_id long, fp array<long>")
+    return rows.mapInPandas(lean(compute), "doc_id long, fp array<long>")
 
 
 def _masks(bits: int, flips: int, within: int | None = None) -> list[int]:
@@ -157,7 +157,8 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     and are never a component's id unless it has no other. Repeated rows are
     returned each; other columns are not read; an empty table gives no rows.
     """
-    marked = cut(fingerprints(docs, words, 1, id_col, text_col).select("doc_id", F.col("fp")[0].alias("fp")))
+    with modest_batches(docs.sparkSession):
+        marked = cut(fingerprints(docs, words, 1, id_col, text_col).select("doc_id", F.col("fp")[0].alias("fp")))
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = connected(ball_links(nodes, radius))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -204,7 +205,7 @@ def sketches(docs: DataFrame, words: int, longs: int, bands: int, rows: int, id_
             yield pd.DataFrame({"doc_id": pd.array([int(x) for x in pdf["_id"]], "Int64"), **{name: [x[k] for x in done] for k, name in enumerate(("digest", "size", "fp", "bands"))}})
 
     named = docs.select(F.col(id_col).cast("long").cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return named.filter("_id is not null").mapInPandas(compute, "doc_id long, digest binary, size long, fp array<long>, bands array<long>")
+    return named.filter("_id is not null").mapInPandas(lean(compute), "doc_id long, digest binary, size long, fp array<long>, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,7 +220,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str = "doc
     named = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     maybe, _ = sieve(named, "_id", ids, "id")
     # a semi join would be moved below the sieve, and all texts shuffled
-    return maybe.join(ids.select(F.col("id").alias("_id")).distinct(), "_id").select("_id", "_text").mapInPandas(compute, "id long, set array<long>").distinct()
+    return maybe.join(ids.select(F.col("id").alias("_id")).distinct(), "_id").select("_id", "_text").mapInPandas(lean(compute), "id long, set array<long>").distinct()
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -289,7 +290,8 @@ def similar_roots(nodes: DataFrame, docs: DataFrame, similarity: float, words: i
         tried = near if tried is None else tried.union(near)
         if not near.isEmpty():
             ids = near.select(F.col("u").alias("id")).union(near.select("v"))
-            sets = rounds.keep(shingle_sets(docs, ids, words, id_col, text_col))
+            with modest_batches(docs.sparkSession):
+                sets = rounds.keep(shingle_sets(docs, ids, words, id_col, text_col))
             found = rounds.keep(alike(near, sets).filter(F.col("alike") >= similarity).select("u", "v"))
             if not found.isEmpty():
                 labels = connected(found if labels is None else found.union(labels.select(F.col("id").alias("u"), F.col("root").alias("v")))).withColumnRenamed("node", "id")
@@ -335,7 +337,8 @@ def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, longs: i
     """
     docs, held, back = sheltered(docs)
     id_col, text_col = held[id_col], held[text_col]
-    marked = cut(sketches(docs, words, longs, bands, rows, id_col, text_col))
+    with modest_batches(docs.sparkSession):
+        marked = cut(sketches(docs, words, longs, bands, rows, id_col, text_col))
     nodes = cut(marked.groupBy("digest", "size", "fp", "bands").agg(F.min("doc_id").alias("id")))
     roots = similar_roots(nodes, docs, similarity, words, id_col, text_col)
     lead = nodes.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("_lead"))

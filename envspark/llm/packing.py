@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from envspark.llm.common import cut, table
+from envspark.llm.common import cut, lean, modest_batches, table
 
 #: Ends every document.
 END_ID = 2
@@ -97,7 +97,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, size: int = 1024
             yield out
 
     rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return rows.mapInPandas(encode, PIECES)
+    return rows.mapInPandas(lean(encode), PIECES)
 
 
 def plan_bins(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -173,7 +173,8 @@ def pack(pieces: DataFrame, size: int = 1024, cells: int = 256) -> DataFrame:
     rank inside its cell) and takes the place of that rank. A length that holds
     a third of all pieces is spread over its cells.
     """
-    pieces = cut(pieces)
+    with modest_batches(pieces.sparkSession):
+        pieces = cut(pieces)
     keyed = pieces.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)))
     counts = cut(keyed.groupBy("length", "_cell").agg(F.count("*").alias("_n")))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}  # at most ``size`` rows
@@ -196,7 +197,7 @@ def pack(pieces: DataFrame, size: int = 1024, cells: int = 256) -> DataFrame:
                     sequence[some], offset[some] = begins[k] + q, offsets[k][m]
             yield pdf.drop(columns="_rank").assign(sequence_id=sequence, offset=offset)
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInPandas(lean(place), PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = 1024, **columns) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envspark.llm.common import cut, sheltered, sieve, table
+from envspark.llm.common import cut, lean, modest_batches, sheltered, sieve, table
 from envspark.operators.slices import POS, running_sum
 
 #: Embedding rows (row 0 stays zero), their size, filter widths, and filters of each width.
@@ -305,7 +305,8 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
             pdf = pdf[new]
             yield pd.DataFrame({"toxic": pdf["toxic"], "lang": pdf["lang"], "apart": pdf["apart"], "ids": [zlib.compress(hasher(x).tobytes(), 1) for x in pdf["_text"]]})
 
-    return cut(rows.sortWithinPartitions("_order", "_id", "_text", "lang").mapInPandas(hash_words, "toxic int, lang string, apart boolean, ids binary"))
+    with modest_batches(docs.sparkSession):
+        return cut(rows.sortWithinPartitions("_order", "_id", "_text", "lang").mapInPandas(lean(hash_words), "toxic int, lang string, apart boolean, ids binary"))
 
 
 def _words(pdf: pd.DataFrame) -> list[np.ndarray]:
@@ -323,7 +324,7 @@ def _seen(rows: DataFrame) -> np.ndarray:
         at = np.flatnonzero(seen.any(axis=0))
         yield pd.DataFrame({"row": at, "clean": seen[0, at], "toxic": seen[1, at]})
 
-    found = rows.mapInPandas(count, "row long, clean long, toxic long").groupBy("row").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    found = rows.mapInPandas(lean(count), "row long, clean long, toxic long").groupBy("row").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     seen = np.zeros((2, ROWS))
     seen[:, found["row"].to_numpy()] = [found["clean"].to_numpy(), found["toxic"].to_numpy()]
     return seen
@@ -360,7 +361,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
                 at, learnt = mine.table(np.unique(np.concatenate(changed)).astype(np.int64))
                 yield pd.DataFrame({"row": at} | dict(zip(weights, np.rint(learnt * GRAIN).astype(np.int64).T)))
 
-        found = taught.mapInPandas(learn, "row long, " + ", ".join(f"{w} long" for w in weights)).groupBy("row").agg(F.count("*").alias("n"), *[F.sum(w).alias(w) for w in weights]).toArrow()
+        found = taught.mapInPandas(lean(learn), "row long, " + ", ".join(f"{w} long" for w in weights)).groupBy("row").agg(F.count("*").alias("n"), *[F.sum(w).alias(w) for w in weights]).toArrow()
         training.take(found["row"].to_numpy(), np.stack([found[w].to_numpy() for w in weights], axis=1) / found["n"].to_numpy()[:, None] / GRAIN)
         sent.unpersist()
     model = training.model
@@ -370,7 +371,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
         for pdf in batches:
             yield pd.DataFrame({"lang": pdf["lang"], "score": judge.value.scores(_words(pdf)), "toxic": pdf["toxic"]})
 
-    model.thresholds = thresholds(cut(rows.filter("apart").select("lang", "toxic", "ids").mapInPandas(score, "lang string, score double, toxic int")))
+    model.thresholds = thresholds(cut(rows.filter("apart").select("lang", "toxic", "ids").mapInPandas(lean(score), "lang string, score double, toxic int")))
     return model
 
 
@@ -385,6 +386,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_c
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
     @F.pandas_udf("double")
+    @lean
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hasher, model = Hasher(), sent.value
         for texts in parts:
