@@ -71,7 +71,7 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprints_of(hashes: list[np.ndarray], longs: int) -> np.ndarray:
     """A row of ``longs`` 64-bit words per text: a bit is 1 if it is set in over half of the text's hashes."""
-    sizes = np.array([len(h) for h in hashes])
+    sizes = np.array([len(h) for h in hashes], np.int64)
     out = np.zeros((len(hashes), longs), np.int64)
     flat = np.concatenate(hashes) if len(hashes) else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(hashes)), sizes)
@@ -169,7 +169,7 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
 
 def _lowest(hashes: list[np.ndarray], bands: int, rows: int) -> list[np.ndarray]:
     """``bands`` negative keys per text, each of the lowest of its hashes under ``rows`` orders; none for a text without words."""
-    sizes = np.array([len(h) for h in hashes])
+    sizes = np.array([len(h) for h in hashes], np.int64)
     flat = np.concatenate(hashes) if len(hashes) else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(hashes)), sizes)
     rng = np.random.default_rng(SEED)

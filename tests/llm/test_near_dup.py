@@ -4,7 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from envspark.llm.common import connected
-from envspark.llm.near_dup import ball_links, drop_near, near_components, shingle_hashes
+from envspark.llm.near_dup import COUNTED, ball_links, drop_near, fingerprints_of, near_components, shingle_hashes
 
 
 def fingerprint(text, words=3):
@@ -166,3 +166,11 @@ def test_variants_are_not_sent_through_the_driver(spark):
 
     plan = ball_links(spark.range(500).select(F.xxhash64("id").alias("fp")), 3)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_batch_that_ends_with_the_hashes_counted_at_a_time(spark, make_docs):
+    """Nothing is left over for the batch's last fingerprints."""
+    full = " ".join(f"w{i}" for i in range(8 * COUNTED + 2))
+    docs = make_docs([(1, "a b c d"), (2, full)]).coalesce(1)
+    assert {r.doc_id: r.fingerprint for r in near_components(docs).collect()} == {i: f"{fingerprint(t):016x}" for i, t in [(1, "a b c d"), (2, full)]}
+    assert fingerprints_of([], 2).shape == (0, 2)
