@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from envspark.llm.common import Rounds, connected, cut, lean, modest_batches, sheltered, sieve, star, table, tasks
-from envspark.session import staged
+from envspark.session import remove, staged
 
 #: Shingles whose bits are counted at a time; bounds a worker's memory and changes no result.
 COUNTED = 1 << 15
@@ -36,6 +36,9 @@ KEY_PAIRS = 1 << 16
 #: Standard deviations by which two fingerprints may differ in more bits than expected before their shingles are compared.
 MARGIN = 4.0
 
+#: Ratio of the largest to the smallest size of sets that the later rounds file as one class.
+SIZE_CLASS = 1.05
+
 #: Distinct shingles from which on the share of differing bits is a normal variable.
 COARSE = 64
 
@@ -262,44 +265,105 @@ def similar_roots(nodes: DataFrame, docs: DataFrame, similarity: float, words: i
     components, and leave the key; hubs are the smallest ids outside the key's
     largest component, so that one stranger among many copies costs one row a
     copy and no more rounds. A key is done when all its ids are of one
-    component, after the first round for a group of copies. A round takes
-    MORE_HUBS times as many hubs of a key as the one before, and from the second
-    on as many as make KEY_PAIRS pairs, so small keys end in the second round and
+    component, after the first round for a group of copies. The second round's hub
+    is the id with the largest share of shingles found elsewhere (:func:`_central`).
+    Rounds after it take MORE_HUBS times as many hubs of a key as the one before,
+    and as many as make KEY_PAIRS pairs, so small keys end in the third round and
     rounds grow with the logarithm of the ids that are like no other of their
-    key. No two ids of a key are left uncompared and in different components; no
-    round compares ids of one component. Components of a round are stars to the
-    next, which adds its links to them.
+    key. No two ids of a key that may be alike are left uncompared and in different
+    components; no round compares ids of one component. Components of a round are
+    stars to the next, which adds its links to them.
+
+    From the second round on, only shingles found in several components count:
+    they bound the sizes of the sets an id can be alike to (:func:`_reach`). Ids
+    that no size is left for leave their keys, and hubs meet the sizes within
+    their bounds and those of the other side. This too loses no link.
     """
-    members, labels, tried = _members(nodes), None, None
+    members, labels, tried, sets, reach = _members(nodes), None, None, None, None
     rounds = Rounds()
     prints = nodes.select("id", "size", "fp")
-    hubs = 1
+    hubs, central = 1, False
     while True:
         held = members.withColumn("root", F.col("id")) if labels is None else rounds.keep(members.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
-        sizes = held.groupBy("key", "root").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"))
-        still = rounds.keep(held.join(main.filter("roots > 1").drop("roots"), "key"))
+        still = rounds.keep(_undone(held))
+        if (central or reach is not None) and not still.isEmpty():
+            if sets is None:
+                with modest_batches(docs.sparkSession):
+                    sets = staged(shingle_sets(docs, still.select("id"), words, id_col, text_col), "sets")
+            reach = rounds.keep(_reach(sets, still.select("id", "root").distinct(), similarity))
+            still = rounds.keep(_undone(still.join(reach.select("id").distinct(), "id").select("key", "id", "root")))
         if still.isEmpty():
+            if sets is not None:
+                remove(sets)
             return nodes.select("id", F.col("id").alias("root")).limit(0) if labels is None else labels
-        place = F.row_number().over(W.partitionBy("key").orderBy("hub"))
-        most = F.lit(hubs) if hubs == 1 else F.greatest(F.lit(hubs), F.floor(F.lit(KEY_PAIRS) / F.col("n")))
-        outside = still.filter("root <> main").select("key", F.col("id").alias("hub"), F.col("root").alias("hub_root"), "n")
-        picked = rounds.keep(outside.withColumn("_at", place).filter(F.col("_at") <= most).select("key", "hub", "hub_root"))
-        near = _near_prints(_ordered(still.join(picked, "key").filter("root <> hub_root").select("id", "hub")), prints, similarity)
+        if central:
+            picked = rounds.keep(_central(still, reach))
+        else:
+            place = F.row_number().over(W.partitionBy("key").orderBy("hub"))
+            most = F.lit(hubs) if hubs == 1 else F.greatest(F.lit(hubs), F.floor(F.lit(KEY_PAIRS) / F.col("n")))
+            outside = still.filter("root <> main").select("key", F.col("id").alias("hub"), F.col("root").alias("hub_root"), "n")
+            picked = rounds.keep(outside.withColumn("_at", place).filter(F.col("_at") <= most).select("key", "hub", "hub_root"))
+        met = still.join(picked, "key") if reach is None else _within_reach(still, picked, reach, similarity)
+        near = _near_prints(_ordered(met.filter("root <> hub_root").select("id", "hub")), prints, similarity)
         near = staged(near if tried is None else near.join(tried, ["u", "v"], "left_anti"), "near")
         tried = near if tried is None else tried.union(near)
         if not near.isEmpty():
-            ids = near.select(F.col("u").alias("id")).union(near.select("v"))
-            with modest_batches(docs.sparkSession):
-                sets = rounds.keep(shingle_sets(docs, ids, words, id_col, text_col))
-            found = rounds.keep(alike(near, sets).filter(F.col("alike") >= similarity).select("u", "v"))
+            compared = sets
+            if sets is None:
+                ids = near.select(F.col("u").alias("id")).union(near.select("v"))
+                with modest_batches(docs.sparkSession):
+                    compared = rounds.keep(shingle_sets(docs, ids, words, id_col, text_col))
+            found = rounds.keep(alike(near, compared).filter(F.col("alike") >= similarity).select("u", "v"))
             if not found.isEmpty():
                 labels = connected(found if labels is None else found.union(labels.select(F.col("id").alias("u"), F.col("root").alias("v")))).withColumnRenamed("node", "id")
         members = still.join(picked.withColumnRenamed("hub", "id"), ["key", "id"], "left_anti").select("key", "id")
-        hubs *= MORE_HUBS
+        hubs, central = (1, True) if reach is None else (hubs * MORE_HUBS, False)
         rounds.turn()
 
 
+def _undone(held: DataFrame) -> DataFrame:
+    """Rows (key, id, root) of the keys whose ids are of several components, with the largest one's root and the key's number of ids."""
+    sizes = held.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"))
+    return held.join(main.filter("roots > 1").drop("roots"), "key")
+
+
+def _reach(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Rows (id, size, limit): a set's size, and the largest size of a set of another component of ``roots`` that it can be alike to.
+
+    Two sets are alike if they share at least ``s / (1 + s)`` of the sum of their
+    sizes. They share no more than a set has shingles found in several
+    components, which leaves the other's size a limit; it has at least ``s``
+    times the set's size. Sets for which no size is left are not returned.
+    """
+    parts = sets.join(roots, "id").select("id", "root", F.xxhash64("set").alias("name"), F.size("set").alias("size"), F.explode("set").alias("shingle"))
+    common = parts.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("shingle")
+    # shingles are many times what the planner takes them for, and must not be sent through the driver
+    shared = parts.join(common.hint("merge"), "shingle").groupBy("id", "name", "size").agg(F.count("*").alias("shared"))
+    limit = F.floor(F.col("shared") * ((1 + similarity) / similarity) + 1e-6) - F.col("size")
+    return shared.select("id", "size", limit.alias("limit")).filter(F.col("limit") >= F.col("size") * similarity - 1e-6).distinct()
+
+
+def _central(still: DataFrame, reach: DataFrame) -> DataFrame:
+    """A hub for each key, of whichever component: the id with the largest share of shingles found in other components.
+
+    Of texts made from one template it is the one with the fewest changes, which
+    more of the others are like than are like each other.
+    """
+    share = reach.groupBy("id").agg(F.max(F.col("limit") / F.col("size")).alias("share"))
+    first = F.min(F.struct((-F.col("share")).alias("rank"), F.col("id").alias("hub"), F.col("root").alias("hub_root")))
+    return still.join(share, "id").groupBy("key").agg(first.alias("first")).select("key", "first.hub", "first.hub_root")
+
+
+def _within_reach(still: DataFrame, picked: DataFrame, reach: DataFrame, similarity: float) -> DataFrame:
+    """Ids of a key beside its hubs, where the size of either is within the reach of the other; met by classes of size."""
+    filed = lambda size: F.floor(F.log(F.greatest(size, F.lit(1))) / math.log(SIZE_CLASS))
+    others = still.join(reach, "id").withColumn("class", filed(F.col("size")))
+    hubs = picked.join(reach.toDF("hub", "hub_size", "hub_limit"), "hub")
+    hubs = hubs.withColumn("class", F.explode(F.sequence(filed(F.ceil(F.col("hub_size") * similarity - 1e-6)), filed(F.col("hub_limit")))))
+    return others.join(hubs, ["key", "class"]).filter("size <= hub_limit and hub_size <= limit")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     u, v = (F.col(c) for c in pairs.columns)
     return pairs.filter(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()

@@ -174,3 +174,37 @@ def test_a_batch_that_ends_with_the_hashes_counted_at_a_time(spark, make_docs):
     docs = make_docs([(1, "a b c d"), (2, full)]).coalesce(1)
     assert {r.doc_id: r.fingerprint for r in near_components(docs).collect()} == {i: f"{fingerprint(t):016x}" for i, t in [(1, "a b c d"), (2, full)]}
     assert fingerprints_of([], 2).shape == (0, 2)
+
+
+def test_pairs_in_a_family_of_templated_pages_grow_with_its_size(make_docs, monkeypatch):
+    from envspark.llm import near_dup
+
+    rng = np.random.default_rng(8)
+    near, made, totals = near_dup._near_prints, [], []
+    monkeypatch.setattr(near_dup, "_near_prints", lambda pairs, *rest: made.append(pairs.count()) or near(pairs, *rest))
+    for n in (60, 180):
+        made.clear()
+        assert drop_near(make_docs(family(rng, [f"w{i}" for i in range(304)], n, 0, [54] * n))).count() == n
+        totals.append(sum(made))
+    assert totals[1] < 5 * totals[0]
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.75, 0.8])
+def test_pairs_within_reach_hold_all_that_are_alike(spark, similarity):
+    from envspark.llm.near_dup import _reach, _within_reach
+
+    rng = np.random.default_rng(9)
+    bases = [rng.permutation(1000)[:n] for n in (4, 5, 12, 12, 30, 60)]
+    sets, roots = {}, {}
+    for i in range(120):
+        base = bases[i % 6]
+        own = 2000 + 100 * i + np.arange(rng.integers(0, len(base) // 2 + 1))
+        sets[i] = {int(x) for x in [*base[rng.random(len(base)) > rng.choice([0, 0.05, 0.3])], *own]} or {-1}
+        roots[i] = i - i % 3 if i % 5 else i
+    reach = _reach(spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id long, set array<long>"), spark.createDataFrame(list(roots.items()), "id long, root long"), similarity)
+    still = spark.createDataFrame([(1, i, r, 0, 120) for i, r in roots.items()], "key long, id long, root long, main long, n long")
+    met = _within_reach(still, still.select("key", still.id.alias("hub"), still.root.alias("hub_root")), reach, similarity)
+    got = {(r.id, r.hub) for r in met.filter("root <> hub_root").collect()}
+    apart = {(a, b) for a in sets for b in sets if roots[a] != roots[b]}
+    wanted = {(a, b) for a, b in apart if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity}
+    assert wanted and wanted <= got and len(got) < len(apart) / 2
