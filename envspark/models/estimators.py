@@ -124,8 +124,8 @@ class HandTillEvaluator(Evaluator):
 
     With ``digits``, probabilities that agree to so many digits count as equal:
     then counts per class and rounded probability are all there is to rank, a
-    bounded table whatever the number of rows, and a search over many
-    candidates costs one aggregation each. Without, ranks are exact.
+    bounded table whatever the number of rows, and :meth:`evaluate_by` takes
+    all candidates of a search in one aggregation. Without, ranks are exact.
     """
 
     def __init__(self, n_levels: int, digits: int | None = 4):
@@ -142,14 +142,21 @@ class HandTillEvaluator(Evaluator):
             scored = dataset.select(F.col("label_index").cast("string").alias("truth"), *[p[i].alias(f"s{i}") for i in levels])
             value = roc_auc(scored, "truth", {str(float(i)): f"s{i}" for i in levels}).first()["estimate"]
             return 0.0 if value is None else value
-        rows = dataset.select("label_index", F.posexplode(p).alias("level", "p")).select("label_index", "level", F.round("p", self.digits).alias("p"))
-        counts = rows.groupBy("level", "p").agg(*[F.count(F.when(F.col("label_index") == j, 1)).alias(f"n{j}") for j in levels])
-        below = Window.partitionBy("level").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # at most 10^digits + 1 rows
+        return self.evaluate_by(dataset.select("label_index", p.alias("probability")), []).get((), 0.0)
+
+    def evaluate_by(self, dataset: DataFrame, by: Sequence[str]) -> dict[tuple, float]:
+        """The value of every group of rows, of (``by``, ``label_index``, ``probability``) with probabilities as an array."""
+        levels = range(self.n_levels)
+        rows = dataset.select(*by, "label_index", F.posexplode("probability").alias("level", "p")).select(*by, "label_index", "level", F.round("p", self.digits).alias("p"))
+        counts = rows.groupBy(*by, "level", "p").agg(*[F.count(F.when(F.col("label_index") == j, 1)).alias(f"n{j}") for j in levels])
+        below = Window.partitionBy(*by, "level").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # at most 10^digits + 1 rows
         own = F.element_at(F.array(*[F.col(f"n{j}") for j in levels]), F.col("level") + 1)
-        ranked = counts.select("level", own.alias("own"), *[(F.coalesce(F.sum(f"n{j}").over(below), F.lit(0)) + F.col(f"n{j}") / 2).alias(f"b{j}") for j in levels], *[f"n{j}" for j in levels])
-        sums = ranked.groupBy("level").agg(F.sum("own").alias("own"), *[F.sum(F.col("own") * F.col(f"b{j}")).alias(f"u{j}") for j in levels], *[F.sum(f"n{j}").alias(f"n{j}") for j in levels]).collect()
-        pairs = [r[f"u{j}"] / (r["own"] * r[f"n{j}"]) for r in sums for j in levels if j != r["level"] and r["own"] and r[f"n{j}"]]
-        return sum(pairs) / len(pairs) if pairs else 0.0
+        ranked = counts.select(*by, "level", own.alias("own"), *[(F.coalesce(F.sum(f"n{j}").over(below), F.lit(0)) + F.col(f"n{j}") / 2).alias(f"b{j}") for j in levels], *[f"n{j}" for j in levels])
+        sums = ranked.groupBy(*by, "level").agg(F.sum("own").alias("own"), *[F.sum(F.col("own") * F.col(f"b{j}")).alias(f"u{j}") for j in levels], *[F.sum(f"n{j}").alias(f"n{j}") for j in levels]).collect()
+        pairs: dict[tuple, list] = {tuple(r[c] for c in by): [] for r in sums}
+        for r in sums:
+            pairs[tuple(r[c] for c in by)] += [r[f"u{j}"] / (r["own"] * r[f"n{j}"]) for j in levels if j != r["level"] and r["own"] and r[f"n{j}"]]
+        return {at: sum(x) / len(x) if x else 0.0 for at, x in pairs.items()}
 
 
 def tune(

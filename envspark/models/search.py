@@ -15,6 +15,7 @@ from pyspark.ml.param import TypeConverters
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from envspark.models.forests import can_grow, search_scores
 from envspark.session import remove, staged
 
 #: Rows of a fold's table per task: each fit reads it in a dozen short passes, so small tables go in few tasks.
@@ -65,9 +66,9 @@ class Folds:
     """
 
     def __init__(self, stages: Sequence, df: DataFrame, fold_col: str, keep: Sequence[str], parallelism: int):
-        held = staged(df, "folds")
-        tasks = max(1, -(-held.count() // TASK_ROWS))
-        rows = self.rows = held.coalesce(tasks)
+        held = self.rows = staged(df, "folds")
+        rows = held.coalesce(max(1, -(-held.count() // TASK_ROWS)))
+        self.fold_col = fold_col
         self.names = sorted(r[0] for r in rows.select(fold_col).distinct().collect())
 
         def prepare(fold: int) -> tuple[DataFrame, DataFrame]:
@@ -93,8 +94,9 @@ def tune_points(
     Returns the model refitted with the best candidate on all rows, and the
     candidates as (candidate, parameter, value, mean, std, best) rows; of equal
     candidates the first is best. Feature stages see the training rows of their
-    fold only. Fits of different folds and candidates run at the same time,
-    ``parallelism`` of them.
+    fold only. Forests of all folds and candidates grow together (see
+    :mod:`envspark.models.forests`); other estimators are fitted one by one,
+    ``parallelism`` at the same time.
     """
     estimator = pipeline.getStages()[-1]
     folds = Folds(pipeline.getStages()[:-1], df, fold_col, dict.fromkeys([estimator.getLabelCol(), *keep]), parallelism)
@@ -107,8 +109,11 @@ def tune_points(
         point, (train, held_out) = job
         return evaluator.evaluate(estimator.fit(train, params(point)).transform(held_out))
 
-    with ThreadPool(parallelism) as pool:
-        scores = pool.map(inheritable_thread_target(df.sparkSession)(score), [(p, part) for p in points for part in folds.parts], chunksize=1)
+    if can_grow(estimator, points, evaluator):
+        scores = search_scores(folds, estimator, [params(p) for p in points], evaluator, parallelism)
+    else:
+        with ThreadPool(parallelism) as pool:
+            scores = pool.map(inheritable_thread_target(df.sparkSession)(score), [(p, part) for p in points for part in folds.parts], chunksize=1)
     each = [scores[i : i + len(folds.names)] for i in range(0, len(scores), len(folds.names))]
     means = [fmean(x) for x in each]
     best = (max if evaluator.isLargerBetter() else min)(range(len(means)), key=means.__getitem__)
