@@ -299,6 +299,8 @@ class Search:
         self.specs, self.spark = specs, folds.rows.sparkSession
         column, self.label = estimator.getFeaturesCol(), estimator.getLabelCol()
         found = folds.rows.groupBy(folds.fold_col, self.label).count().collect()  # folds times classes
+        if any(y is None or y < 0 or y % 1 for _, y, _ in found):
+            raise ValueError(f"labels in {self.label} must be 0, 1, 2 ...")
 
         def bins(k: int) -> Bins:
             seen = [(r[1], r[2]) for r in found if r[0] != folds.names[k]]
